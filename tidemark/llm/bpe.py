@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
+from .common import small_batches
 
 #: Words in each of the two generations of ids that a worker remembers between runs.
 REMEMBERED_WORDS = 400_000
@@ -196,7 +197,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], names=[*rest, ids])
 
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids, T.BinaryType())])
-    return docs.select(*rest).mapInArrow(run, schema)
+    return small_batches(docs.select(*rest)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -37,3 +37,15 @@ def held_out(doc_id: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Hash that, beside doc_id, identifies a document's content; null and empty text differ."""
     return F.xxhash64(text, text.isNull())
+
+
+#: Rows of an Arrow batch at most, so that a batch of long texts stays small in a Python worker.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded before texts are handed to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df

@@ -7,18 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, neardup, quality_classifier, quality_rules
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op2_quality_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), neardup.plan(shingle=3, num=85, den=100))
+
+
 def op7_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_boosted_rules": op2_quality_boosted_rules,
+    "op6_hamming_near_duplicates": op6_hamming_near_duplicates,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
+    "op8_quality_discriminant": op8_quality_discriminant,
 }
 
 ORACLE_SQL: dict[str, str] = {}
