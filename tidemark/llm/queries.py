@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, quality_classifier, quality_rules
+from . import bpe, decontaminate, line_dedup, neardup, quality_classifier, quality_rules
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -17,6 +17,10 @@ def op2_quality_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op3_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), neardup.plan(shingle=3, num=85, den=100))
 
@@ -29,11 +33,21 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_boosted_rules": op2_quality_boosted_rules,
+    "op3_line_site_spread": op3_line_site_spread,
     "op6_hamming_near_duplicates": op6_hamming_near_duplicates,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
     "op8_quality_discriminant": op8_quality_discriminant,
+    "op9_benchmark_windows": op9_benchmark_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_site_spread": line_dedup.REPORT_SQL,
+    "op6_hamming_near_duplicates": neardup.LINK_SQL,
+    "op9_benchmark_windows": decontaminate.REPORT_SQL,
+}
