@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,22 +11,33 @@ from pyspark.sql import functions as F
 #: The share of documents that supervised operators hold out (crc32(doc_id as text) mod 4 = 2).
 HOLD_MODULUS, HOLD_REMAINDER = 4, 2
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes when the session ends."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    name = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage is cut.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where no
-    folder is set at all (single-machine tests) a temporary one is chosen.
+    folder is set at all (single-machine tests) a temporary one is chosen. A table is written and
+    not an RDD checkpoint: the planner then knows its true size, where checkpoints carry
+    estimates that every self-join of a loop squares.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint()
+    name = scratch(df.sparkSession)
+    df.write.parquet(name)
+    return df.sparkSession.read.schema(df.schema).parquet(name)
 
 
 def held_out(doc_id: Column) -> Column:
