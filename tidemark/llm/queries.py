@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, neardup, quality_classifier, quality_rules
+from . import bpe, decontaminate, langid, line_dedup, neardup, quality_classifier, quality_rules, shards
 from .common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
@@ -21,6 +25,11 @@ def op3_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), neardup.plan(shingle=3, num=85, den=100))
 
@@ -38,8 +47,10 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_shards": op1_hilbert_shards,
     "op2_quality_boosted_rules": op2_quality_boosted_rules,
     "op3_line_site_spread": op3_line_site_spread,
+    "op4_kneser_ney_language": op4_kneser_ney_language,
     "op6_hamming_near_duplicates": op6_hamming_near_duplicates,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
     "op8_quality_discriminant": op8_quality_discriminant,
