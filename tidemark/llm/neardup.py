@@ -30,6 +30,8 @@ PLACES = 5
 MISS = 1e-5
 #: Members of a block in the exact comparison of crowded keys.
 BLOCK = 256
+#: Ids up to which they are broadcast to pick documents by, 8 bytes each.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -154,6 +156,14 @@ def sets(docs: DataFrame, how: Plan) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of these ids; texts are only shuffled if the ids are too many to broadcast."""
+    ids = settle(ids.distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def _keys(classes: DataFrame, how: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +253,7 @@ def _crowded_links(members: DataFrame, roots: DataFrame, classes: DataFrame, doc
     each = open_members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
     parts = each.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     each = settle(each.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int")))
-    whole = sets(docs.join(each.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), how).dropDuplicates(["doc_id"])
+    whole = sets(_with_ids(docs, each.select(F.col("node").alias("doc_id"))), how).dropDuplicates(["doc_id"])
     full = each.join(classes.select("node", "signature"), "node").join(_side(whole, "doc_id", to="node", shingles="shingles"), "node")
     # a pair of blocks (i, j) with i <= j takes the members of both
     spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -272,8 +282,8 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     signed = pairs.join(_side(classes, "node", to="a", sa="signature"), "a").join(_side(classes, "node", to="b", sb="signature"), "b")
     near = settle(_near(signed, how).distinct())
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    whole = sets(docs.join(ends, "doc_id", "left_semi"), how).dropDuplicates(["doc_id"])
+    ends = near.select(F.col("a").alias("doc_id")).union(near.select("b"))
+    whole = sets(_with_ids(docs, ends), how).dropDuplicates(["doc_id"])
     links = settle(_confirmed(near, whole, how))
     roots = components(links)
     more = settle(_crowded_links(shared.filter("n > 2").drop("n"), roots, classes, docs, how))
