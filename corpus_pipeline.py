@@ -1,17 +1,55 @@
-"""Five corpus stages from raw documents to token ids."""
+"""Five corpus stages from raw documents to token ids, each over all that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import bpe, decontaminate, line_dedup, neardup, quality_rules
+from tidemark.llm.common import settle, table
+from tidemark.llm.queries import RANK_FILE
 
-#: The stages hold learned models and signatures, which SQL can't express.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from the texts; every document stays."""
+    return line_dedup.remove_boilerplate(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words, similarity 0.8."""
+    return neardup.deduplicate(docs, neardup.plan(shingle=5, num=4, den=5))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the encoded and decoded texts."""
+    return bpe.digest(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level BPE", token_ids),
+]
+
+#: The stages hold a learned model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of ``sf_dir``; what a stage returns is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

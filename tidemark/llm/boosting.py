@@ -23,7 +23,11 @@ class Trees:
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each row."""
+        """Probability of label 1 by boosted trees, whose leaves add to the log-odds."""
+        return sigmoid(self.vote(x))
+
+    def vote(self, x: np.ndarray) -> np.ndarray:
+        """Base and sum of the leaves that each row falls into."""
         out = np.full(len(x), self.base)
         for low in range(0, len(x), 4096):
             rows = x[low : low + 4096]
@@ -34,7 +38,7 @@ class Trees:
                 below = rows[each, np.maximum(feature, 0)] <= self.threshold[node]
                 node = np.where(feature < 0, node, np.where(below, self.left[node], self.right[node]))
             out[low : low + 4096] += self.value[node].sum(axis=1)
-        return sigmoid(out)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,7 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, tr
     return Trees(flat[:, 0].astype(np.int64), flat[:, 1], flat[:, 2].astype(np.int64), flat[:, 3].astype(np.int64), flat[:, 4], np.array(roots), depth, base)
 
 
-def _split(binned, slope, bend, g, h, own, direction, low, high, ridge, least, width):
+def _split(binned, slope, bend, g, h, own, direction, low, high, ridge, least, width, usable=None):
     """Feature, bin and halves' values of the best allowed split, or None."""
     flat = binned.ravel()
     sums = [np.bincount(flat, weights=np.repeat(w, width) if w is not None else None, minlength=width * BINS).reshape(width, BINS).cumsum(axis=1)[:, :-1] for w in (slope, bend, None)]
@@ -100,6 +104,42 @@ def _split(binned, slope, bend, g, h, own, direction, low, high, ridge, least, w
     worth = lambda gg, hh, w: -(gg * w + 0.5 * (hh + ridge) * w * w)
     gain = worth(g_left, h_left, w_left) + worth(g - g_left, h - h_left, w_right) - worth(g, h, own)
     allowed = (n_left >= least) & (len(binned) - n_left >= least) & (direction[:, None] * (w_right - w_left) >= 0)
-    gain = np.where(allowed, gain, -np.inf)
+    gain = np.where(allowed if usable is None else allowed & usable[:, None], gain, -np.inf)
     k, b = np.unravel_index(np.argmax(gain), gain.shape)
     return (int(k), int(b), w_left[k, b], w_right[k, b]) if gain[k, b] > 1e-6 else None
+
+
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 10, least: int = 2, seed: int = 7) -> Trees:
+    """Random forest: every tree sees a bootstrap sample, every split a third of the features.
+
+    A leaf holds its share of label 1, divided by the number of trees, so that vote() is a plain sum.
+    """
+    rng = np.random.default_rng(seed)
+    n, width = x.shape
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for k in range(width)]
+    binned = np.column_stack([np.searchsorted(edges[k], x[:, k], side="left") for k in range(width)]) + np.arange(width) * BINS
+    nodes: list[list[float]] = []
+    roots = []
+    for _ in range(trees):
+        roots.append(len(nodes))
+        nodes.append([-1, 0, -1, -1, 0])
+        open_nodes = [(roots[-1], rng.integers(0, n, n), 0)]
+        while open_nodes:
+            at, rows, level = open_nodes.pop()
+            share = y[rows].mean()
+            usable = np.zeros(width, dtype=bool)
+            usable[rng.choice(width, max(1, width // 3), replace=False)] = True
+            split = None
+            if level < depth and 0 < share < 1:
+                split = _split(binned[rows], -y[rows], np.ones(len(rows)), -y[rows].sum(), len(rows), share, np.zeros(width), 0.0, 1.0, 1e-9, least, width, usable)
+            if split is None:
+                nodes[at][4] = share / trees
+                continue
+            k, b = split[:2]
+            under = binned[rows, k] <= k * BINS + b
+            nodes[at][:4] = [k, edges[k][b], len(nodes), len(nodes) + 1]
+            for part in (rows[under], rows[~under]):
+                open_nodes.append((len(nodes), part, level + 1))
+                nodes.append([-1, 0, -1, -1, 0])
+    flat = np.array(nodes)
+    return Trees(flat[:, 0].astype(np.int64), flat[:, 1], flat[:, 2].astype(np.int64), flat[:, 3].astype(np.int64), flat[:, 4], np.array(roots), depth, 0.0)

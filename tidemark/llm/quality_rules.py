@@ -35,16 +35,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[boos
     return trees, float(min(0.5, np.quantile(good, 1 - KEEP_GOOD, method="lower"))) if len(good) else 0.5
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_ROWS) -> DataFrame:
-    """The columns ``keep`` of every document with its counts, base_failed, tree_score and kept.
+def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_ROWS, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of every document with its counts, base_failed, tree_score and kept, each named with ``prefix``.
 
     Null text has no words, so that it fails the base rules; so do empty texts. Repeated rows get
     equal verdicts. Without enough labels (also for empty tables) the base rules alone decide and tree_score
     is 1. Rows are judged where they are read, without a shuffle.
     """
     model = fit(docs, labels, limit)
-    counts = [T.StructField(name, T.LongType()) for name in COUNTS[:5]]
-    made = [*counts, T.StructField("base_failed", T.BooleanType()), T.StructField("tree_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    kinds = {name: T.LongType() for name in COUNTS[:5]} | {"base_failed": T.BooleanType(), "tree_score": T.DoubleType(), "kept": T.BooleanType()}
+    made = [T.StructField(prefix + name, kind) for name, kind in kinds.items()]
 
     def work(c: dict[str, np.ndarray]) -> list[np.ndarray]:
         failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED_PERCENT * c["n_words"])
@@ -52,3 +52,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_
         return [*(c[name] for name in COUNTS[:5]), failed, score, ~failed & (score >= (model[1] if model else 0.5))]
 
     return per_document(docs, keep, made, work)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    prefix = "__quality_"
+    return judge(docs, labels, docs.columns, prefix=prefix).filter(f"{prefix}kept").select(*docs.columns)

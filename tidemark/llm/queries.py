@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, line_dedup, neardup, quality_classifier, quality_rules, shards
-from .common import table
+from . import bpe, decontaminate, langid, line_dedup, neardup, quality_classifier, quality_rules, secrets, shards, token_rollup
+from .common import scratch, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -30,6 +30,11 @@ def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = {name: public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return token_rollup.maintain(spark, table(spark, sf_dir, "documents"), scratch(spark), versions, public_tokenizers.PATTERN)
+
+
 def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), neardup.plan(shingle=3, num=85, den=100))
 
@@ -46,15 +51,21 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_quality_boosted_rules": op2_quality_boosted_rules,
     "op3_line_site_spread": op3_line_site_spread,
     "op4_kneser_ney_language": op4_kneser_ney_language,
+    "op5_token_rollups": op5_token_rollups,
     "op6_hamming_near_duplicates": op6_hamming_near_duplicates,
     "op7_bpe_merge_replay": op7_bpe_merge_replay,
     "op8_quality_discriminant": op8_quality_discriminant,
     "op9_benchmark_windows": op9_benchmark_windows,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {
