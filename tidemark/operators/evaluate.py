@@ -14,13 +14,14 @@ def long_replicates(wide: DataFrame, keys: list[str], columns: list[str], name:
 
 
 def replicate_stats(replicates: DataFrame, keys: list[str], value: str, divisor: int | None = 5) -> DataFrame:
-    """Mean and population deviation, rounded half-even, and the 95 % half-width.
+    """Mean and population deviation, rounded half-even, and the 95 % half-width; noise under a millionth decides no tie.
 
     The half-width divides by the root of ``divisor`` whatever is missing, or of the true number if it is None.
     """
     n = F.lit(float(divisor)) if divisor else F.count(value).cast("double")
+    whole = lambda x: F.bround(F.round(x, 6), 0)
     return replicates.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.bround(F.avg(value), 0).alias("mean"), F.bround(F.stddev_pop(value), 0).alias("deviation"), F.bround(Z95 * F.stddev_pop(value) / F.sqrt(n), 0).alias("half_width")
+        F.count(value).alias("n"), whole(F.avg(value)).alias("mean"), whole(F.stddev_pop(value)).alias("deviation"), whole(Z95 * F.stddev_pop(value) / F.sqrt(n)).alias("half_width")
     )
 
 
@@ -113,9 +114,9 @@ def two_level_fit(df: DataFrame, outer: list[str], inner: str, x: str, y: str) -
     )
 
 
-def mean_fit(df: DataFrame, unit: str, level: str, x: str, y: str, position: str, skip_from: int = 2) -> DataFrame:
+def mean_fit(df: DataFrame, unit: str, level: str, x: str, y: str, order: list[str], skip_from: int = 2) -> DataFrame:
     """Mean and population deviation over units of the slopes fitted at each level; from level ``skip_from`` on without a fit's first point."""
-    first = F.row_number().over(Window.partitionBy(unit, level).orderBy(position)) == 1
+    first = F.row_number().over(Window.partitionBy(unit, level).orderBy(*order)) == 1
     own = df.withColumn("__first", first).filter(~(F.col("__first") & (F.col(level) >= skip_from)))
     fits = own.groupBy(unit, level).agg(F.regr_slope(y, x).alias("slope"))
     return fits.groupBy(level).agg(F.avg("slope").alias("mean_slope"), F.stddev_pop("slope").alias("std_slope"))

@@ -1,4 +1,4 @@
-"""All queries over the relational and telemetry tables, by name."""
+"""All queries over the relational and telemetry tables, by name, and the SQL of those that have one."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import outcomes, policies, telemetry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = telemetry.QUERIES | policies.QUERIES | outcomes.QUERIES
+ORACLE_SQL: dict[str, str] = telemetry.SQL | policies.SQL | outcomes.SQL
 FLAGSHIP = "cycle_summary"
