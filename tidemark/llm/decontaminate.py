@@ -1,11 +1,15 @@
-"""Benchmark decontamination: a broadcast hash set of benchmark windows, scanned for in document text.
+"""Benchmark decontamination: a broadcast hash set of benchmark word runs, scanned for in document text.
 
-DataFrame functions only. Every word is hashed, every run of words gives the hash of its
-word hashes, and a run whose hash is in the benchmark set is verified word by word.
+DataFrame functions only. A run of n words holds, wherever it begins, a whole block of
+(n + 1) // 2 words that begins at a multiple of that number. So only every such block of a document is
+hashed and looked up among all blocks of the benchmark; the words around a block that is
+found are then compared with the benchmark's windows word by word.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,60 +20,77 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 
-#: Distinct benchmark windows up to which their table is broadcast, a few hundred bytes each; beyond it is shuffled.
-BROADCAST_WINDOWS = 100_000
+#: Distinct benchmark blocks up to which their hashes are broadcast, 8 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_BLOCKS = 2_000_000
 
 
 def words(text: Column) -> Column:
-    """The words of a text with A-Z lower-cased; pure ASCII takes the quick way to the same letters."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
-
-
-def word_hashes(found: Column) -> Column:
-    return F.transform(found, lambda w: F.xxhash64(w))
+    """The words of a text with A-Z lower-cased: all that stands between words becomes blank, and blanks split."""
+    plain = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.coalesce(F.array_remove(F.split(plain, " ", -1), ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """run (words), h (hash) and items of every distinct window; an item of fewer than WINDOW words is one window."""
+    """run (words), n (their number) and items of every distinct window; an item of fewer than WINDOW words is one window."""
     found = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
     runs = found.select("item_id", F.explode(cut).alias("run")).groupBy("run").agg(F.collect_set("item_id").alias("items"))
-    return runs.select("run", F.xxhash64(word_hashes(F.col("run"))).alias("h"), "items")
+    return runs.select("run", F.size("run").alias("n"), "items")
+
+
+def _block(n: Column) -> Column:
+    return F.floor((n + 1) / 2).cast("int")
+
+
+def benchmark_blocks(windows: DataFrame) -> DataFrame:
+    """n and h (hash) of every block that a window of n words may hold."""
+    size = _block(F.col("n"))
+    cut = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.xxhash64(F.slice("run", i, size)))
+    return windows.select("n", F.explode(cut).alias("h")).distinct()
+
+
+def _blocks(docs: DataFrame, lengths: list[int], *more: str) -> DataFrame:
+    """n, begin (from 0) and h of every aligned block of every document, for windows of each n of ``lengths``."""
+    cut = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).filter(F.size("w") >= min(lengths))
+    sized = cut.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")) if len(lengths) > 1 else cut.withColumn("n", F.lit(lengths[0]))
+    size = reduce(lambda c, n: c.when(F.col("n") == n, (n + 1) // 2), lengths, F.when(F.lit(False), 0)) if len(lengths) > 1 else F.lit((lengths[0] + 1) // 2)
+    last = F.floor(F.size("w") / size).cast("int") - 1
+    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.xxhash64(F.slice("w", b * size + 1, size))))
+    spread = sized.select("doc_id", "key", "n", "w", F.posexplode(hashes).alias("block", "h"))
+    return spread.select("doc_id", "key", "n", (F.col("block") * size).alias("begin"), "h", *more)
 
 
-def _scan(docs: DataFrame, lengths: list[int], *more: str) -> DataFrame:
-    """at (from 0), n and h of every run of n words of every document, for each n of ``lengths``."""
-    cut = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
-    hashed = cut.filter(F.size("w") >= min(lengths)).select("*", word_hashes(F.col("w")).alias("hashes"))
-    sized = hashed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")) if len(lengths) > 1 else hashed.withColumn("n", F.lit(lengths[0]))
-    runs = F.transform("hashes", lambda _, i: F.xxhash64(F.slice("hashes", i + 1, F.col("n"))))
-    spread = sized.select("doc_id", "key", "n", "w", F.posexplode(runs).alias("at", "h"))
-    return spread.filter(F.col("at") <= F.size("w") - F.col("n")).select("doc_id", "key", "at", "n", "h", *more)
+def _around(w: Column) -> list[Column]:
+    """The words that a window with the block at ``begin`` can reach, and the place of the first."""
+    reach = F.col("n") - _block(F.col("n"))
+    first = F.greatest(F.col("begin") - reach, F.lit(0))
+    return [first.alias("first"), F.slice(w, first + 1, F.col("begin") + F.col("n") - first).alias("near")]
 
 
-def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_WINDOWS) -> DataFrame:
+def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
     """doc_id, key, at, n and items of every verified occurrence of a benchmark window."""
-    lengths = sorted(r[0] for r in windows.select(F.size("run")).distinct().collect())  # WINDOW numbers at most
-    if not lengths:
-        lengths = [WINDOW]
-    if windows.count() <= broadcast_up_to:
-        found = _scan(docs, lengths, "w").join(F.broadcast(windows), "h")
-        return found.filter(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("run")).select("doc_id", "key", "at", "n", "items")
-    # too many windows to broadcast: only hashes are shuffled, and the few documents with candidates are read again
-    some = _scan(docs, lengths).join(windows.select("h").distinct(), "h", "left_semi")
-    places = some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
-    match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])
-    each = again.join(places, match).select(again["doc_id"], again["key"], "w", F.explode("places").alias("p"))
-    runs = each.select("doc_id", "key", "p.at", "p.n", F.slice("w", F.col("p.at") + 1, F.col("p.n")).alias("run"))
-    return runs.join(windows.select("run", "items"), "run").select("doc_id", "key", "at", "n", "items")
-
-
-def hit_documents(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_WINDOWS) -> DataFrame:
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect()) or [WINDOW]  # WINDOW numbers at most
+    blocks = settle(benchmark_blocks(windows))
+    if blocks.count() <= broadcast_up_to:
+        # the words are only copied for the few blocks that the join lets through
+        near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around(F.col("w")))
+    else:
+        # hashes alone are shuffled, and the few documents with a block are read again
+        some = _blocks(docs, lengths).join(blocks, ["n", "h"], "left_semi")
+        places = some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "begin")).alias("places"))
+        again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
+        match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])
+        each = again.join(places, match).select(again["doc_id"], again["key"], "w", F.inline("places"))
+        near = each.select("doc_id", "key", "n", *_around(F.col("w")))
+    runs = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("n")), lambda i: F.struct((F.col("first") + i).alias("at"), F.slice("near", i + 1, F.col("n")).alias("run")))
+    cut = near.filter(F.size("near") >= F.col("n")).select("doc_id", "key", "n", F.inline(runs)).distinct()
+    return cut.join(windows, ["n", "run"]).select("doc_id", "key", "at", "n", "items")
+
+
+def hit_documents(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
     """doc_id, key, hit_words (positions of words in any window) and hit_items of documents with an occurrence."""
     found = hits(docs, settle(benchmark_windows(benchmark)), broadcast_up_to)
     per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"))
@@ -81,7 +102,7 @@ def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(found.withColumnsRenamed({"doc_id": "__hit_id", "key": "__hit_key"}), (F.col("__key") == F.col("__hit_key")) & F.col("doc_id").eqNullSafe(F.col("__hit_id")), how)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row for every row of ``docs``.
 
     Null and empty texts have no words and no hits, benchmark rows without item_id or words no
@@ -89,7 +110,7 @@ def report(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCA
     benchmark hits nothing.
     """
     found = hit_documents(docs, benchmark, broadcast_up_to)
-    counted = docs.select("doc_id", text_key(F.col("text")).alias("__key"), F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("__key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items = F.coalesce("hit_items", F.array().cast("array<bigint>"))
     names = F.array_sort(F.transform(items, lambda i: i.cast("string")))
     return _beside(counted, found, "left").select(
