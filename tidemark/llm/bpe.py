@@ -9,6 +9,8 @@ word, and only the two pairs that touch a merged position enter the index anew.
 from __future__ import annotations
 
 import base64
+import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -29,17 +31,29 @@ REMEMBERED_PAIRS = 300_000
 PIECES_AT_ONCE = 200_000
 
 
+def tokens(rank_file: bytes) -> list[bytes]:
+    """The bytes of every rank; empty where the file has none."""
+    pairs = [(base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, rank_file.splitlines())]
+    out = [b""] * (max(rank for _, rank in pairs) + 1)
+    for token, rank in pairs:
+        out[rank] = token
+    return out
+
+
+def decode_ids(token: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(token.__getitem__, memoryview(ids).cast("I")))
+
+
 class MergeReplay:
-    """Encoder and decoder for a rank file (lines of base64 token and rank)."""
+    """Encoder for a rank file (lines of base64 token and rank)."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
 
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines()) if token}
-        self.token = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.token[rank] = token
+        self.token = tokens(rank_file)
+        self.ranks = {token: rank for rank, token in enumerate(self.token) if token}
         self.byte_rank = [self.ranks[bytes([b])] for b in range(256)]
+        self.first_ranks = {(a, b): rank for a in range(256) for b in range(256) if (rank := self.ranks.get(bytes((a, b)))) is not None}
         self.pattern = regex.compile(pattern)
         self.joined: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
@@ -63,18 +77,23 @@ class MergeReplay:
         word_of: list[int] = []
         firsts: list[int] = []
         where: dict[int, list[int]] = {}
-        pair_rank, byte_rank = self._pair_rank, self.byte_rank
+        joined, pair_rank, byte_rank, first_ranks = self.joined, self._pair_rank, self.byte_rank, self.first_ranks
         for w, word in enumerate(words):
             first, size = len(ids), len(word)
             firsts.append(first)
+            if not size:
+                continue
             ids += [byte_rank[b] for b in word]
-            before += [-1, *range(first, first + size - 1)] if size else []
-            after += [*range(first + 1, first + size), -1] if size else []
+            before += range(first - 1, first + size - 1)
+            after += range(first + 1, first + size + 1)
+            before[first] = after[-1] = -1
             word_of += [w] * size
-            for p in range(first, first + size - 1):
-                rank = pair_rank(ids[p], ids[p + 1])
-                if rank >= 0:
-                    where.setdefault(rank, []).append(p)
+            for p, rank in enumerate(map(first_ranks.get, zip(word, word[1:])), first):
+                if rank is not None:
+                    if rank in where:
+                        where[rank].append(p)
+                    else:
+                        where[rank] = [p]
         waiting = list(where)
         heapify(waiting)
         while waiting:
@@ -83,11 +102,13 @@ class MergeReplay:
             if positions is None:
                 continue
             overtaken: set[int] = set()  # words in which a merge has made a pair of lower rank
-            for p in sorted(positions):
-                q = after[p] if ids[p] >= 0 else -1
-                if q < 0 or pair_rank(ids[p], ids[q]) != rank:
+            positions.sort()
+            for p in positions:
+                left = ids[p]
+                q = after[p]
+                if left < 0 or q < 0 or joined.get(left << 32 | ids[q]) != rank and pair_rank(left, ids[q]) != rank:
                     continue
-                if word_of[p] in overtaken:
+                if overtaken and word_of[p] in overtaken:
                     if rank not in where:
                         where[rank] = []
                         heappush(waiting, rank)
@@ -95,21 +116,32 @@ class MergeReplay:
                     continue
                 ids[p], ids[q] = rank, -1
                 r = after[p] = after[q]
-                touched = []
+                o = before[p]
                 if r >= 0:
                     before[r] = p
-                    touched.append((p, pair_rank(rank, ids[r])))
-                if (o := before[p]) >= 0:
-                    touched.append((o, pair_rank(ids[o], rank)))
-                for at, made in touched:
-                    if made < 0:
-                        continue
-                    if made not in where:
-                        where[made] = []
-                        heappush(waiting, made)
-                    where[made].append(at)
-                    if made < rank:
-                        overtaken.add(word_of[p])
+                    made = joined.get(rank << 32 | ids[r])
+                    if made is None:
+                        made = pair_rank(rank, ids[r])
+                    if made >= 0:
+                        if made in where:
+                            where[made].append(p)
+                        else:
+                            where[made] = [p]
+                            heappush(waiting, made)
+                        if made < rank:
+                            overtaken.add(word_of[p])
+                if o >= 0:
+                    made = joined.get(ids[o] << 32 | rank)
+                    if made is None:
+                        made = pair_rank(ids[o], rank)
+                    if made >= 0:
+                        if made in where:
+                            where[made].append(o)
+                        else:
+                            where[made] = [o]
+                            heappush(waiting, made)
+                        if made < rank:
+                            overtaken.add(word_of[p])
         out = []
         for first, word in zip(firsts, words):
             found, p = [], first if word else -1
@@ -139,7 +171,7 @@ class MergeReplay:
             else:
                 self.known[piece] = rank.to_bytes(4, "little")
         for (piece, _), ids in zip(merge, self.replay([word for _, word in merge])):
-            self.known[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -154,17 +186,15 @@ class MergeReplay:
             out.append(b"".join(map(self.known.__getitem__, pieces)))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
-
 
-_loaded: dict[int, MergeReplay] = {}
+_loaded: dict[tuple[bytes, str], MergeReplay] = {}
 
 
 def _codec(shared, pattern: str) -> MergeReplay:
-    """One codec per worker process and broadcast rank file."""
-    key = hash((shared.id if hasattr(shared, "id") else id(shared), pattern))
+    """The codec of a rank file, which a worker process keeps between tasks; only the last is kept."""
+    key = (hashlib.sha256(shared.value).digest(), pattern)
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = MergeReplay(shared.value, pattern)
     return _loaded[key]
 
@@ -200,18 +230,18 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     return small_batches(docs.select(*rest)).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with a binary column ``out``: the bytes that ``ids`` stands for; null ids give no bytes."""
     rest = [c for c in encoded.columns if c != out]
     shared = _rank_file(encoded.sparkSession, rank_path)
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        token = tokens(shared.value)
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 part = batch.slice(row, 500)
-                done = [codec.decode(x or b"") for x in part.column(at).to_pylist()]
+                done = [decode_ids(token, x or b"") for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], names=[*rest, out])
 
     schema = T.StructType([*encoded.select(*rest).schema.fields, T.StructField(out, T.BinaryType())])
@@ -221,7 +251,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, ids: str = "token_i
 def digest(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, number of ids, and SHA-256 of the packed ids and of the bytes that they decode to."""
     coded = encode(docs.select("doc_id", "text"), rank_path, pattern).drop("text")
-    return decode(coded, rank_path, pattern).select(
+    return decode(coded, rank_path).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
