@@ -24,9 +24,9 @@ from . import textkit
 from .common import small_batches
 
 #: Words in each of the two generations of ids that a worker remembers between runs.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 #: Token pairs whose rank a worker remembers.
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 200_000
 #: Pieces of one text that are handled at once.
 PIECES_AT_ONCE = 200_000
 
@@ -204,15 +204,18 @@ def _rank_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids", back: str | None = None) -> DataFrame:
     """``docs`` with a binary column ``ids``: the token ids of ``text`` as little-endian unsigned 32-bit integers.
 
+    With ``back``, a column of that name has the bytes that the ids decode to, made by the same task.
+
     Null and empty texts get zero ids, without null. Each match of ``pattern`` is encoded
     separately and no special token is known. All other columns, also one named like a
     temporary of ours, pass unchanged; a column already named ``ids`` is replaced. Rows are
     handled where they are read: no shuffle, and one long text takes memory for itself only.
     """
-    rest = [c for c in docs.columns if c != ids]
+    rest = [c for c in docs.columns if c not in (ids, back)]
+    made = [ids, back] if back else [ids]
     shared = _rank_file(docs.sparkSession, rank_path)
     at = rest.index(text)
 
@@ -224,9 +227,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
                 texts = [t or "" for t in column.slice(row, stop - row).to_pylist()]
                 done = [codec.encode_long(texts[0])] if len(data) > textkit.RUN_BYTES else codec.encode(texts)
                 part = batch.slice(row, stop - row)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], names=[*rest, ids])
+                columns = [done, [decode_ids(codec.token, x) for x in done]] if back else [done]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.binary()) for c in columns)], names=[*rest, *made])
 
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids, T.BinaryType())])
+    schema = T.StructType([*docs.select(*rest).schema.fields, *(T.StructField(c, T.BinaryType()) for c in made)])
     return small_batches(docs.select(*rest)).mapInArrow(run, schema)
 
 
@@ -250,8 +254,7 @@ def decode(encoded: DataFrame, rank_path: str, ids: str = "token_ids", out: str
 
 def digest(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, number of ids, and SHA-256 of the packed ids and of the bytes that they decode to."""
-    coded = encode(docs.select("doc_id", "text"), rank_path, pattern).drop("text")
-    return decode(coded, rank_path).select(
+    return encode(docs.select("doc_id", "text"), rank_path, pattern, back="decoded").select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
