@@ -1,0 +1,171 @@
+"""Operators that judge or encode one document at a time, against plain versions of their rules."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import bpe, boosting, docstats, langid, quality_classifier, quality_rules, secrets, textkit
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TEXTS = st.text(alphabet=st.sampled_from(list("ab cd\n\t.,|#!É é中 \x1c0")), max_size=120)
+
+
+def plain_counts(text):
+    w = WORD.findall(text)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), again, len(covered), len(set(w))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=6))
+def test_counts(texts):
+    texts.append(" ".join(["a b c d e f g h i"] * 3) + "\nx y\nx y")
+    got = []
+    for _, _, data, at in textkit.runs(pa.array(texts), limit=64):
+        c = docstats.count(data, at)
+        got += zip(*(c[k].tolist() for k in docstats.COUNTS[:6]))
+    assert got == [plain_counts(t) for t in texts]
+
+
+def test_quality_rules(spark, documents, labels, odd, none):
+    rows = quality_rules.judge(documents, labels, ["doc_id"]).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for r in rows:
+        n, chars, symbols, again, repeat, _ = plain_counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, again, repeat)
+        assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n)
+        assert not (r["base_failed"] and r["kept"])
+    good = [r["kept"] for r in rows if quality.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    assert np.mean(good) > 0.97
+    assert quality_rules.judge(odd, labels, ["doc_id"]).count() == odd.count()
+    assert quality_rules.judge(none, labels, ["doc_id"]).count() == 0
+    assert quality_rules.judge(odd, labels.limit(0), ["doc_id"]).filter("tree_score = 1").count() == odd.count()
+    kept = quality_rules.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.dtypes == odd.dtypes
+    kept.collect()
+
+
+def test_monotone_trees():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 3))
+    y = (x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.2 * rng.normal(size=3000) < 0.6).astype(float)
+    trees = boosting.fit(x, y, {0: -1})
+    for other in rng.random((20, 2)):
+        line = np.column_stack([np.linspace(0, 1, 200), np.full(200, other[0]), np.full(200, other[1])])
+        assert (np.diff(trees.score(line)) <= 1e-12).all()
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.8
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    ones = label.sum()
+    return (rank[label > 0].sum() - ones * (ones + 1) / 2) / (ones * (len(label) - ones))
+
+
+def test_quality_classifier(spark, odd, none, labels):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_classifier.classify(docs, marks).toPandas().merge(marks.toPandas(), on="doc_id")
+    held = rows[rows["held_out"]]
+    assert (held["held_out"] == (held["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4) == 2)).all()
+    assert auc(held["score"].to_numpy(), held["quality"].to_numpy()) > 0.95
+    assert rows["score"].between(0, 1).all() and ((rows["score"] >= 0.7) == (rows["predicted"] == 1)).all()
+    assert quality_classifier.classify(odd, marks).filter("score between 0 and 1").count() == odd.count()
+    assert quality_classifier.classify(none, labels).count() == 0
+
+
+def test_languages(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.fit(docs)
+    rows = langid.identify(docs, models).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = rows[rows["held_out"]]
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.98 and rows["score"].between(0, 1).all()
+    strange = {r["doc_id"]: r for r in langid.identify(odd, models).collect() if r["doc_id"]}
+    assert [strange[i]["lang_pred"] for i in (1, 2, 8, 10)] == ["und"] * 4 and strange[5]["lang_pred"] in models.languages
+    assert langid.fit(none) is None and langid.identify(odd, None).filter("lang_pred = 'und'").count() == odd.count()
+    assert langid.identify(none, models).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    models = langid.Models(["x"], [], 3)
+    codes, at, _, _ = langid.stream(["ab ba abba", "a b ab", "bab"])
+    grams, counts = np.unique(np.column_stack([codes[at - k] for k in (3, 2, 1, 0)]), axis=0, return_counts=True)
+    models.levels = [langid.build([grams[:, k].astype(np.int64) for k in range(4)], counts)]
+    for context in ([32, 32, 32], [97, 98, 32], [98, 98, 98]):
+        cells = [np.full(4, c) for c in context] + [np.array([32, 97, 98, 0x10FFF0])]
+        assert np.exp(-models._cost(cells)[:, 0]).sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def coders():
+    raw = open(RANKS, "rb").read()
+    own = bpe.MergeReplay(raw, public_tokenizers.PATTERN)
+    return own, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.text(max_size=40)), max_size=5))
+def test_bpe_is_what_the_library_says(coders, texts):
+    own, library = coders
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    packed = own.encode(texts)
+    assert [list(memoryview(p).cast("I")) for p in packed] == [library.encode_ordinary(t) for t in texts]
+    assert [bpe.decode_ids(own.token, p).decode() for p in packed] == texts
+
+
+def test_bpe_with_pairs_that_overtake():
+    # a merge that makes a pair of lower rank must yield to it before the same word goes on
+    ranks = [bytes([b]) for b in range(256)] + [b"cd", b"abcd", b"ab"]
+    import base64
+
+    raw = b"\n".join(base64.b64encode(t) + b" " + str(k).encode() for k, t in enumerate(ranks))
+    own = bpe.MergeReplay(raw, r"\S+")
+    library = tiktoken.Encoding("t", pat_str=r"\S+", mergeable_ranks=own.ranks, special_tokens={})
+    texts = ["abcdab", "ababcdcd", "cdabab", "aabbcdd"]
+    assert [list(memoryview(p).cast("I")) for p in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_query_and_odd_rows(spark, documents, odd, none, coders):
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    for r in bpe.digest(documents, RANKS, public_tokenizers.PATTERN).collect():
+        ids = np.array(coders[1].encode_ordinary(texts[r["doc_id"]]), dtype="<u4").tobytes()
+        assert r["n_tokens"] == len(ids) // 4 and r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    assert bpe.digest(odd, RANKS, public_tokenizers.PATTERN).filter("n_tokens is not null").count() == odd.count()
+    assert bpe.encode(odd, RANKS, public_tokenizers.PATTERN).columns == [*odd.columns, "token_ids"]
+    assert bpe.digest(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_secrets(spark, documents, odd, none):
+    model = secrets.train(secrets.made_findings())
+    held = [(secrets._judged(t, p, model), label) for t, p, label in secrets.made_findings(400, seed=5)]
+    assert np.mean([(found[0][3] >= 0.5) == label for found, label in held if found]) > 0.95
+    rows = secrets.scan(documents).collect()
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    wanted = {i for i, t in texts.items() if re.search(r"\bAKIA[0-9A-Z]{16}\b|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"", t or "")}
+    assert wanted <= {r["doc_id"] for r in rows if r["is_secret"]}
+    for r in rows:
+        assert hashlib.sha256(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].encode()).hexdigest() == r["sha256"]
+    secrets.scan(odd).collect()
+    assert secrets.scan(none).count() == 0
+    clean = secrets.redact(documents)
+    assert clean.columns == documents.columns and secrets.scan(clean).filter("is_secret").count() == 0
+    assert secrets.redact(odd).count() == odd.count()

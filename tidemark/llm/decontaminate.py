@@ -20,6 +20,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words from the earliest begin to the latest end of a window that holds a given block.
+_REACH = 2 * WINDOW - (WINDOW + 1) // 2
 BETWEEN = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 
 #: Distinct benchmark blocks up to which their hashes are broadcast, 8 bytes each; beyond it they are joined by a shuffle.
@@ -45,10 +47,15 @@ def _block(n: Column) -> Column:
     return F.floor((n + 1) / 2).cast("int")
 
 
+def _hash(w: Column | str, first: Column, size: Column) -> Column:
+    """Hash of ``size`` words from ``first`` (from 0) on; words are fetched one by one, as a slice would walk the whole text."""
+    return F.xxhash64(*(F.when(size > j, F.get(w, (first + j).cast("int"))) for j in range((WINDOW + 1) // 2)))
+
+
 def benchmark_blocks(windows: DataFrame) -> DataFrame:
     """n and h (hash) of every block that a window of n words may hold."""
     size = _block(F.col("n"))
-    cut = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.xxhash64(F.slice("run", i, size)))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - size), lambda i: _hash("run", i, size))
     return windows.select("n", F.explode(cut).alias("h")).distinct()
 
 
@@ -58,16 +65,18 @@ def _blocks(docs: DataFrame, lengths: list[int], *more: str) -> DataFrame:
     sized = cut.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")) if len(lengths) > 1 else cut.withColumn("n", F.lit(lengths[0]))
     size = reduce(lambda c, n: c.when(F.col("n") == n, (n + 1) // 2), lengths, F.when(F.lit(False), 0)) if len(lengths) > 1 else F.lit((lengths[0] + 1) // 2)
     last = F.floor(F.size("w") / size).cast("int") - 1
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.xxhash64(F.slice("w", b * size + 1, size))))
+    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: _hash("w", b * size, size)))
     spread = sized.select("doc_id", "key", "n", "w", F.posexplode(hashes).alias("block", "h"))
     return spread.select("doc_id", "key", "n", (F.col("block") * size).alias("begin"), "h", *more)
 
 
-def _around(w: Column) -> list[Column]:
-    """The words that a window with the block at ``begin`` can reach, and the place of the first."""
-    reach = F.col("n") - _block(F.col("n"))
-    first = F.greatest(F.col("begin") - reach, F.lit(0))
-    return [first.alias("first"), F.slice(w, first + 1, F.col("begin") + F.col("n") - first).alias("near")]
+def _around(w: str) -> list[Column]:
+    """The words that a window with the block at ``begin`` can reach, null past the end, and the place of the first.
+
+    Plain fetches and no lambda: the join's generated code then makes them itself and never copies all words of a text.
+    """
+    first = F.greatest(F.col("begin") - F.col("n") + _block(F.col("n")), F.lit(0)).cast("int")
+    return [first.alias("first"), F.array(*(F.get(w, first + j) for j in range(_REACH))).alias("near")]
 
 
 def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
@@ -76,7 +85,7 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_B
     blocks = settle(benchmark_blocks(windows))
     if blocks.count() <= broadcast_up_to:
         # the words are only copied for the few blocks that the join lets through
-        near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around(F.col("w")))
+        near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around("w"))
     else:
         # hashes alone are shuffled, and the few documents with a block are read again
         some = _blocks(docs, lengths).join(blocks, ["n", "h"], "left_semi")
@@ -84,9 +93,9 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_B
         again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
         match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])
         each = again.join(places, match).select(again["doc_id"], again["key"], "w", F.inline("places"))
-        near = each.select("doc_id", "key", "n", *_around(F.col("w")))
-    runs = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("n")), lambda i: F.struct((F.col("first") + i).alias("at"), F.slice("near", i + 1, F.col("n")).alias("run")))
-    cut = near.filter(F.size("near") >= F.col("n")).select("doc_id", "key", "n", F.inline(runs)).distinct()
+        near = each.select("doc_id", "key", "n", *_around("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(_REACH) - F.col("n")), lambda i: F.struct((F.col("first") + i).alias("at"), F.slice("near", i + 1, F.col("n")).alias("run")))
+    cut = near.select("doc_id", "key", "n", F.inline(runs)).distinct()
     return cut.join(windows, ["n", "run"]).select("doc_id", "key", "at", "n", "items")
 
 
@@ -129,12 +138,15 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit word, and what stands between it and the next word, cut from ``text``."""
     found = hit_documents(docs, benchmark).select("doc_id", "key", "hit_words")
-    beside = _beside(docs.withColumn("__key", text_key(F.col("text"))), found, "left")
+    others = [c for c in docs.columns if c != "text"]
     pieces = F.regexp_extract_all("text", F.lit(f"({WORD_ANY_CASE})([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(0))
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    left = F.filter(pieces, lambda _, i: ~F.array_contains("hit_words", i))
-    cut = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
-    return beside.withColumn("text", cut).select(*docs.columns)
+    # pieces travel in place of the text, and those that stay are picked by number
+    cut = docs.select(*others, text_key(F.col("text")).alias("__key"), lead.alias("__lead"), pieces.alias("__pieces"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("hit_words"))
+    left = F.when(F.col("hit_words").isNull(), F.col("__pieces")).otherwise(F.transform(stay, lambda i: F.get("__pieces", i)))
+    text = F.concat("__lead", F.array_join(left, ""))
+    return _beside(cut, found, "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 #: report() in DuckDB.

@@ -56,13 +56,17 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     spread = settle(boilerplate(docs, site, min_sites))
     places = lines(docs, site).join(spread, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("__places"))
     places = places.withColumnsRenamed({"doc_id": "__id", "key": "__places_key"})
-    beside = docs.withColumn("__key", text_key(F.col("text"))).join(places, (F.col("__key") == F.col("__places_key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__places", i)), "\n")
-    some = beside.withColumn("__left", F.when(F.col("__places").isNotNull(), left))
-    cut = F.col("__left").isNotNull() & (_count_words("__left") >= LEAST_LEFT * _count_words("text"))
-    some = some.withColumn("__found", F.coalesce(F.size("__places"), F.lit(0))).withColumn("__cut", F.when(cut, F.col("__found")).otherwise(0))
-    some = some.withColumn("__lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
-    text = F.when(F.col("__cut") > 0, F.col("__left")).otherwise(F.col("text")).alias("text")
+    # lines travel in place of the text, and those that stay are picked by number, in time that grows with the text alone
+    others = [c for c in docs.columns if c != "text"]
+    cut = docs.select(*others, text_key(F.col("text")).alias("__key"), F.split("text", "\n", -1).alias("__text"))
+    beside = cut.join(places, (F.col("__key") == F.col("__places_key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__text") - 1), F.col("__places"))
+    some = beside.withColumn("__whole", F.array_join("__text", "\n"))
+    some = some.withColumn("__left", F.when(F.col("__places").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__text", i)), "\n")))
+    does = F.col("__left").isNotNull() & (_count_words("__left") >= LEAST_LEFT * _count_words("__whole"))
+    some = some.withColumn("__found", F.coalesce(F.size("__places"), F.lit(0))).withColumn("__cut", F.when(does, F.col("__found")).otherwise(0))
+    some = some.withColumn("__lines", F.coalesce(F.size("__text"), F.lit(0)))
+    text = F.when(F.col("__cut") > 0, F.col("__left")).otherwise(F.col("__whole")).alias("text")
     rest = [text if c == "text" else F.col(c) for c in docs.columns]
     return some.select(*rest, "__lines", "__found", "__cut")
 
