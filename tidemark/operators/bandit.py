@@ -117,7 +117,10 @@ def run_rounds(arms: DataFrame, observed: DataFrame, settings: Settings, experim
         return out
 
     schema = f"`{experiment}` {kind}, arm_id long, upper double, lower double, mean double, place long, proposal long, best long"
-    return arms.select(experiment, "arm_id", "point").groupBy(experiment).cogroup(observed.select(experiment, "round", "arm_id", "outcome").groupBy(experiment)).applyInPandas(one, schema)
+    # new names for the columns, as both frames may come from one
+    mine = arms.select(experiment, "arm_id", "point").toDF(experiment, "arm_id", "point")
+    seen = observed.select(experiment, "round", "arm_id", "outcome").toDF(experiment, "round", "arm_id", "outcome")
+    return mine.groupBy(experiment).cogroup(seen.groupBy(experiment)).applyInPandas(one, schema)
 
 
 def kernel_pairs(points: DataFrame, id_: str, vector: str, gamma: float) -> DataFrame:
