@@ -87,10 +87,27 @@ def test_policy_space_has_its_known_size_and_range(spark):
     assert round(low, 3) == 2.585 and round(high, 3) == 4.8
 
 
-def test_simulated_lives():
-    # known lives of five protocols without noise, and of the whole range
-    lives = simulate.lives(np.array([[3.6, 6.0, 5.6], [4.4, 5.6, 5.2], [8.0, 7.0, 5.2]]))
-    assert lives.min() >= 500 and len(set(lives.tolist())) == 3
+def test_simulated_lives(spark):
+    # fixed values: published lives of five protocols without noise
+    known = {(3.6, 6.0, 5.6): 974, (5.2, 5.2, 5.2): 1010, (6.0, 4.4, 5.6): 996, (7.0, 5.6, 5.6): 698, (8.0, 7.0, 5.6): 573}
+    df = frame(spark, list(known), "c1 double, c2 double, c3 double")
+    assert {(r["c1"], r["c2"], r["c3"]): r["life"] for r in simulate.simulate(df).collect()} == known
+    noisy = [simulate.simulate(df, noise=simulate.NOISE, seed=1).collect() for _ in range(2)]
+    assert noisy[0] == noisy[1] and {r["life"] for r in noisy[0]} != set(known.values())
+
+
+def test_first_batch_of_the_policy_space(spark):
+    # fixed values: the published first picks, which follow from the shuffle alone
+    arms = policy.arms(policy.valid(policy.all_combinations(spark)), seed=0)
+    first = [(r["c1"], r["c2"], r["c3"]) for r in arms.filter("arm_id < 3").orderBy("arm_id").collect()]
+    assert arms.count() == 224 and first == [(5.6, 6.0, 4.8), (8.0, 5.2, 4.8), (7.0, 6.0, 3.6)]
+    lines = policy.channels(policy.valid(policy.all_combinations(spark)), 0).orderBy("channel").first()
+    assert (lines["channel"], lines["line_no"]) == (1, 14)
+
+
+def test_greatest_other(spark):
+    out = frame(spark, [(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (2, 1, 4.0)], "e int, arm int, u double").select("e", "arm", bandit.greatest_other("u", "arm", ["e"]).alias("o"))
+    assert {(r["e"], r["arm"]): r["o"] for r in out.collect()} == {(1, 1): 9.0, (1, 2): 9.0, (1, 3): 9.0, (2, 1): None}
 
 
 def test_first_batch_is_in_order_of_arms():
