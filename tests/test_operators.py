@@ -138,3 +138,22 @@ def test_second_rate_inverts_the_minutes(spark):
     out = frame(spark, [(6.0, 40.0, 4.0)], "a double, q double, b double").select(scalars.minutes_to_80(F.col("a"), F.col("q"), F.col("b")).alias("m"), "a", "q", "b")
     again = out.select(scalars.second_for_minutes(F.col("m"), F.col("a"), F.col("q")).alias("b2"), scalars.switch_for_minutes(F.col("m"), F.col("a"), F.col("b")).alias("q2")).first()
     assert again["b2"] == pytest.approx(4.0) and again["q2"] == pytest.approx(40.0)
+
+
+def test_discharge_slope_curve_equals_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(np.linspace(3.45, 1.95, 120) + rng.normal(0, 0.004, 120), 3)
+    q = np.cumsum(rng.random(120)) / 100
+    clean = [0.0]
+    for k in range(1, 120):
+        dv, dq = v[k] - v[k - 1], q[k] - q[k - 1]
+        s = dq / dv if dv else 0.0
+        clean.append(0.0 if abs(s) >= 50 or not dv else clean[-1] if s >= 0 else 0.0 if v[k] <= 2 else s)
+    x, y = np.concatenate([[3.6, v[0] + 1e-4], v]), np.concatenate([[0, -1e-4], clean])
+    x, first = np.unique(x, return_index=True)
+    at = 3.5 - np.arange(200) * (1.5 / 199)
+    line = np.interp(at, x, y[first])
+    want = [line[i - h : i + h + 1].mean() for i in range(200) for h in [min(4, i, 199 - i)]]
+    df = frame(spark, [(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, q))], "u int, i int, v double, q double")
+    out = curves.discharge_slope_curve(df, ["u"], "i", "v", "q", points=200).orderBy("grid_idx").toPandas()
+    assert np.allclose(out["dqdv"], want, atol=1e-9)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .series import along, whole
+from .series import along, clean_discharge, slope, whole
 
 #: The shared axis of resampled curves.
 GRID_POINTS, GRID_HIGH, GRID_LOW = 1000, 3.5, 2.0
@@ -86,6 +86,21 @@ def shrinking_average(df: DataFrame, value: str, keys: list[str], order: list[st
     return numbered.withColumn("__reach", reach).withColumn(out, picked / (2 * F.col("__reach") + 1)).drop("__n", "__of", "__reach")
 
 
+def discharge_slope_curve(samples: DataFrame, keys: list[str], order: str, v: str, q: str, points: int = GRID_POINTS, half: int = 4) -> DataFrame:
+    """The cleaned slope dq/dv of every key on the fixed grid, smoothed: keys, grid_idx, v, dqdv.
+
+    Slopes are cleaned in order, two anchor points go before the first, the first of equal
+    voltages counts, and what is interpolated on the grid is averaged; null outside the curve.
+    """
+    sloped = samples.withColumn("__s", slope(q, v, keys, [order]))
+    cleaned = sloped.withColumn("__c", clean_discharge("__s", v, keys, [order]))
+    numbered = cleaned.select(*keys, F.row_number().over(along(keys, [order])).alias("__o"), F.col(v).cast("double").alias("v"), F.col("__c").alias("dqdv"))
+    distinct = first_of_each(with_anchors(numbered, "v", "dqdv", keys, "__o"), "v", keys, ["__o"]).drop("__o")
+    targets = samples.select(*keys).distinct().crossJoin(F.broadcast(grid(samples.sparkSession, points)))  # the grid has a fixed size
+    on_grid = interpolate(distinct, targets, "v", "dqdv", keys)
+    return shrinking_average(on_grid, "dqdv", keys, ["grid_idx"], half, "smooth").select(*keys, "grid_idx", "v", F.col("smooth").alias("dqdv"))
+
+
 def cycle_difference(df: DataFrame, cycle: str, late: int, early: int, value: str, keys: list[str], out: str = "delta") -> DataFrame:
     """Value of the late cycle less that of the early one for every key; keys without both have null."""
     both = df.filter(F.col(cycle).isin(late, early)).groupBy(*keys)
