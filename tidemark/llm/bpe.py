@@ -25,6 +25,8 @@ from .common import small_batches
 
 #: Words in each of the two generations of ids that a worker remembers between runs.
 REMEMBERED_WORDS = 200_000
+#: Of those, words that it keeps between tasks.
+KEPT_WORDS = 60_000
 #: Token pairs whose rank a worker remembers.
 REMEMBERED_PAIRS = 200_000
 #: Pieces of one text that are handled at once.
@@ -151,6 +153,10 @@ class MergeReplay:
             out.append(found)
         return out
 
+    def rest(self) -> None:
+        """Forget all but some frequent words: those that came first after the last change of generations."""
+        self.known, self.older, self.joined = dict(islice(self.known.items(), KEPT_WORDS)), {}, {}
+
     def learn(self, pieces: set[str]) -> None:
         """Make the packed ids of all ``pieces`` known."""
         if len(self.known) > REMEMBERED_WORDS:
@@ -229,6 +235,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
                 part = batch.slice(row, stop - row)
                 columns = [done, [decode_ids(codec.token, x) for x in done]] if back else [done]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.binary()) for c in columns)], names=[*rest, *made])
+        codec.rest()
 
     schema = T.StructType([*docs.select(*rest).schema.fields, *(T.StructField(c, T.BinaryType()) for c in made)])
     return small_batches(docs.select(*rest)).mapInArrow(run, schema)
