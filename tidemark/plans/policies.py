@@ -155,6 +155,14 @@ def kernel_matrix(spark, sf_dir):
     return rounded(bandit.kernel_pairs(arms, "vec_id", "e", 0.5))
 
 
+@query(f"""WITH {_GRID}
+SELECT a.position AS i, b.position AS j, round(exp(-0.5 * ((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2) + (a.c3 - b.c3) * (a.c3 - b.c3))), 6) AS k FROM grid AS a, grid AS b""")
+def policy_kernel(spark, sf_dir):
+    """The kernel over all arms there are: every valid policy of the grid."""
+    arms = _grid(spark).select("position", F.array("c1", "c2", "c3").alias("point"))
+    return rounded(bandit.kernel_pairs(arms, "position", "point", 0.5))
+
+
 @query("""WITH b AS (SELECT l_suppkey AS arm, l_returnflag AS experiment, max(l_extendedprice) AS upper, min(l_extendedprice) AS lower FROM lineitem GROUP BY 1, 2), top AS (
   SELECT experiment, max(upper) AS first, arg_max(arm, (upper, -arm)) AS best FROM b GROUP BY 1), second AS (SELECT b.experiment, max(upper) AS second FROM b JOIN top ON b.experiment = top.experiment AND b.arm <> top.best GROUP BY 1)
 SELECT arm, b.experiment, round(CASE WHEN arm = best THEN second ELSE first END - lower, 4) AS gap FROM b JOIN top USING (experiment) LEFT JOIN second USING (experiment)""")
