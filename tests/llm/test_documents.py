@@ -169,3 +169,15 @@ def test_secrets(spark, documents, odd, none):
     clean = secrets.redact(documents)
     assert clean.columns == documents.columns and secrets.scan(clean).filter("is_secret").count() == 0
     assert secrets.redact(odd).count() == odd.count()
+
+
+@pytest.mark.parametrize("kind", ["assigned", "bare"])
+def test_secrets_of_any_length_are_found_whole(spark, kind):
+    rng = np.random.default_rng(2)
+    value = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 5000))
+    head = "we set token=" if kind == "assigned" else "auth secret "
+    docs = spark.createDataFrame([(1, f"{head}{value} and go on", "config/env")], "doc_id long, text string, source string")
+    (found,) = secrets.scan(docs).collect()
+    assert (found["kind"], found["start"], found["length"]) == (kind, len(head), 5000)
+    assert found["is_secret"] and found["sha256"] == hashlib.sha256(value.encode()).hexdigest()
+    assert [r["text"] for r in secrets.redact(docs).collect()] == [f"{head}<{kind}> and go on"]

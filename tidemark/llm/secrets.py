@@ -34,8 +34,8 @@ FORMATS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
 }
-ASSIGNED = r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?)([^\s\"'<>,;]{6,200})"
-BARE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"
+ASSIGNED = r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?)([^\s\"'<>,;]{6,})"
+BARE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 SECRET_WORDS = frozenset("password passwd pwd passphrase secret token key apikey api_key access credential credentials auth bearer login aws private".split())
 OTHER_WORDS = frozenset("sha sha1 sha256 md5 checksum digest hash commit revision uuid guid id isbn etag integrity serial build version image example sample placeholder".split())
 SAFE_PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "lock")
