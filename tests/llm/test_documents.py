@@ -104,6 +104,30 @@ def test_languages(spark, odd, none):
     assert langid.identify(none, models).count() == 0
 
 
+def test_language_models_keep_every_gram(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 700))) for _ in range(400)] + ["a b c a b"] * 20
+    docs = spark.createDataFrame([(k, t, "zh" if k < 400 else "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    seen = Counter()
+    for k, t in enumerate(texts[:400]):
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            seen.update(("   " + t)[i : i + 4] for i in range(len(t)))
+    models = langid.fit(docs)
+    level = models.levels[models.languages.index("zh")]
+    assert len(level[3].grams) == len(seen) > 150_000
+    once, twice = (sum(n == k for n in seen.values()) for k in (1, 2))
+    before = Counter(g[:3] for g in seen)
+    total = Counter()
+    for g, n in seen.items():
+        total[g[:3]] += n
+    some = sorted(seen)[::999]
+    contexts = langid.gram_keys([np.array([ord(g[k]) for g in some]) for k in range(3)])
+    back_off = level[3].back_off[np.searchsorted(level[3].contexts, contexts)]
+    assert back_off == pytest.approx([once / (once + 2 * twice) * before[g[:3]] / total[g[:3]] for g in some])
+    follows = Counter(g[1:] for g in seen)
+    assert len(level[2].grams) == len(follows)
+
+
 def test_kneser_ney_sums_to_one():
     models = langid.Models(["x"], [], 3)
     codes, at, _, _ = langid.stream(["ab ba abba", "a b ab", "bab"])

@@ -21,8 +21,6 @@ from . import textkit
 from .common import held_out, settle, small_batches
 
 ORDER = 4
-#: n-grams of a language's model at most, and of all models together; the most frequent are kept.
-LANGUAGE_NGRAMS, MODEL_NGRAMS = 150_000, 1_200_000
 #: Labelled rows at most on which temperature and rejection are fitted.
 CALIBRATION_ROWS = 4000
 #: Share of a language's own rows that its rejection limit lets pass, and the slack above that limit.
@@ -211,32 +209,21 @@ def gram_counts(docs: DataFrame, label: str) -> DataFrame:
 def fit(docs: DataFrame, label: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Models | None:
     """Models of all languages of the rows that aren't held out, or None if there is none.
 
-    All those rows are counted. A model then keeps the n-grams that are frequent enough for its share of
-    MODEL_NGRAMS, which bounds what comes to the driver and goes to the executors.
+    All those rows are counted, and every n-gram counted is in its language's model. The counts come to the
+    driver one language at a time; what it holds and ships grows with the distinct n-grams.
     """
     own = docs.filter(~held_out(F.col("doc_id")))
     counts = settle(gram_counts(own, label))
-    bins = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("bin")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()  # 63 rows a language at most
-    languages = sorted({r["lang"] for r in bins})
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not languages:
         return None
-    room = min(LANGUAGE_NGRAMS, MODEL_NGRAMS // len(languages))
-    least = {}
+    levels, alphabet = [], np.empty(0, np.int64)
     for lang in languages:
-        left, least[lang] = room, 1 << 62
-        for r in sorted((r for r in bins if r["lang"] == lang), key=lambda r: -r["bin"]):
-            left -= r["grams"]
-            if left < 0 and least[lang] < 1 << 62:
-                break
-            least[lang] = 1 << r["bin"]
-    enough = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
-    rows = counts.filter(F.col("n") >= enough[F.col("lang")]).toPandas().sort_values(["lang", "high", "low"])
-    levels = []
-    for lang in languages:
-        part = rows[rows["lang"] == lang]
+        part = counts.filter(F.col("lang") == lang).select("high", "low", "n").toPandas().sort_values(["high", "low"])
         high, low = part["high"].to_numpy(), part["low"].to_numpy()
         levels.append(build([high >> 21, high & 0x1FFFFF, low >> 21, low & 0x1FFFFF], part["n"].to_numpy()))
-    models = Models(languages, levels, len(np.unique(rows["low"].to_numpy() & 0x1FFFFF)))
+        alphabet = np.union1d(alphabet, low & 0x1FFFFF)
+    models = Models(languages, levels, len(alphabet))
     return _calibrate(models, own, label, calibration_rows)
 
 
@@ -263,7 +250,7 @@ def _calibrate(models: Models, own: DataFrame, label: str, limit: int) -> Models
 
 def _entropies(docs: DataFrame, keep: list[str], models: Models) -> DataFrame:
     """The columns ``keep`` with letters, n and entropy (one number a language); text is the column after them."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # MODEL_NGRAMS bounds its size
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # grows with the distinct n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
