@@ -9,6 +9,9 @@ from tidemark.llm import bpe, decontaminate, line_dedup, neardup, quality_rules
 from tidemark.llm.common import settle, table
 from tidemark.llm.queries import RANK_FILE
 
+#: What counts as a copy: five words, similarity 0.8.
+COPIES = neardup.plan(shingle=5, num=4, den=5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
@@ -16,13 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; every document stays."""
-    return line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    """Boilerplate lines go from the texts; every document stays. One document of each group of copies tells what is spread."""
+    single = settle(neardup.deduplicate(docs, COPIES).select("text", "source", "doc_id"))
+    return line_dedup.remove_boilerplate(docs, among=single).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five words, similarity 0.8."""
-    return neardup.deduplicate(docs, neardup.plan(shingle=5, num=4, den=5))
+    return neardup.deduplicate(docs, COPIES)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,19 @@ def test_line_dedup_cuts_boilerplate_and_leaves_copies(spark):
     assert done[200]["text"] == notice
 
 
+def test_pipeline_cuts_boilerplate_of_any_share_and_leaves_copies(spark):
+    notice = "This whole passage is printed by each of the sites that take part in it " * 4
+    rows = [(k, f"here are {k} a few own words{k} of page{k}\n{notice}", f"s{k % 6}") for k in range(12)]
+    page = "\n".join(f"line{n} of the copied{n} page that has many{n} words{n} in it{n}" for n in range(30))
+    rows += [(100 + k, f"{page}\nseen{k}", f"s{k}") for k in range(6)]
+    rows += [(200, notice, "s9")]
+    rows += [(300 + k, " ".join(f"w{k}x{n}" for n in range(60)) + f"\n{notice}", f"s{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    done = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, SF_DIR).collect()}
+    assert done.keys() == {r[0] for r in rows} and not [i for i, t in done.items() if notice in t]
+    assert all(done[i] == t for i, t, _ in rows if 100 <= i < 200)
+
+
 def test_near_threshold_is_exact(spark):
     rows = [(k, f"line number {n} of them all", f"s{s}") for k, (n, s) in enumerate((n, s) for n in range(1, 12) for s in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -28,15 +28,15 @@ def _count_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
-def lines(docs: DataFrame, site: str) -> DataFrame:
+def lines(docs: DataFrame, site: str, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key, site, at (from 0) and h (hash) of every line that is long enough to be boilerplate."""
     cut = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return cut.filter((F.char_length("line") >= MIN_CHARS) & (_count_words("line") >= MIN_WORDS)).select("doc_id", "key", "site", "at", F.xxhash64("line").alias("h"))
+    return cut.filter((F.char_length("line") >= MIN_CHARS) & (_count_words("line") >= min_words)).select("doc_id", "key", "site", "at", F.xxhash64("line").alias("h"))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """h of every line on ``min_sites`` sites or more; a null site is a site of its own."""
-    found = lines(docs, site)
+    found = lines(docs, site, min_words)
     margin = max(1.0, 4 * 1.04 / 2 ** (LOG_REGISTERS / 2) * min_sites)
     spread = found.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("about")).filter(F.col("about") >= min_sites - margin)
     spread = settle(spread)
@@ -46,15 +46,17 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.union(exact.filter(F.col("n") >= min_sites).select("h"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, among: DataFrame | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text`` and the columns __lines, __found and __cut (numbers of lines).
 
     A document that would lose more than half of its words is left as it is: its lines are spread
-    because whole copies of it are, and those are for near-duplicate removal. Null and empty texts
+    because whole copies of it are, and those are for near-duplicate removal. Where ``among`` is
+    given, it holds one document of each group of copies: only its lines count for the spread, so that
+    copies alone spread nothing, and the lines found go from every document. Null and empty texts
     stay; repeated rows lose the same lines. Other columns pass unchanged, whatever their names.
     """
-    spread = settle(boilerplate(docs, site, min_sites))
-    places = lines(docs, site).join(spread, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("__places"))
+    spread = settle(boilerplate(docs if among is None else among, site, min_sites, min_words))
+    places = lines(docs, site, min_words).join(spread, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("__places"))
     places = places.withColumnsRenamed({"doc_id": "__id", "key": "__places_key"})
     # lines travel in place of the text, and those that stay are picked by number, in time that grows with the text alone
     others = [c for c in docs.columns if c != "text"]
@@ -63,7 +65,9 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     stay = F.array_except(F.sequence(F.lit(0), F.size("__text") - 1), F.col("__places"))
     some = beside.withColumn("__whole", F.array_join("__text", "\n"))
     some = some.withColumn("__left", F.when(F.col("__places").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__text", i)), "\n")))
-    does = F.col("__left").isNotNull() & (_count_words("__left") >= LEAST_LEFT * _count_words("__whole"))
+    does = F.col("__left").isNotNull()
+    if among is None:
+        does &= _count_words("__left") >= LEAST_LEFT * _count_words("__whole")
     some = some.withColumn("__found", F.coalesce(F.size("__places"), F.lit(0))).withColumn("__cut", F.when(does, F.col("__found")).otherwise(0))
     some = some.withColumn("__lines", F.coalesce(F.size("__text"), F.lit(0)))
     text = F.when(F.col("__cut") > 0, F.col("__left")).otherwise(F.col("__whole")).alias("text")
