@@ -73,6 +73,13 @@ def test_pipeline_cuts_boilerplate_of_any_share_and_leaves_copies(spark):
     assert all(done[i] == t for i, t, _ in rows if 100 <= i < 200)
 
 
+def test_pipeline_cuts_lines_without_blanks(spark):
+    notice = "本网站的所有内容均受版权保护未经许可不得转载或使用"
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(60)) + f"\n{notice}", f"s{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["text"] for r in corpus_pipeline.lines(spark, docs, SF_DIR).collect()} == {t.split("\n")[0] for _, t, _ in rows}
+
+
 def test_near_threshold_is_exact(spark):
     rows = [(k, f"line number {n} of them all", f"s{s}") for k, (n, s) in enumerate((n, s) for n in range(1, 12) for s in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
