@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidemark.llm import components, decontaminate, line_dedup, neardup, shards, token_rollup
+from tidemark.llm import common, components, decontaminate, line_dedup, neardup, shards, token_rollup
 
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -127,12 +127,12 @@ def test_rollup_query_equals_plain_counts(spark):
 
 
 def plain_links(rows, size, num, den):
-    """doc_id to set size and component, comparing every two documents that share a shingle."""
-    sets = {}
+    """doc_id to set sizes and component, comparing every two texts that share a shingle; rows of one doc_id are linked."""
+    sets = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
-    top = {i: i for i in sets}
+        sets.append((i, frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()))
+    top = {i: i for i, s in sets}
 
     def find(x):
         while top[x] != x:
@@ -140,15 +140,15 @@ def plain_links(rows, size, num, den):
         return x
 
     shared = defaultdict(list)
-    for i, s in sets.items():
+    for k, (_, s) in enumerate(sets):
         for x in s:
-            shared[x].append(i)
-    for i, j in {(a, b) for ids in shared.values() for k, a in enumerate(ids) for b in ids[:k]}:
-        common = len(sets[i] & sets[j])
-        if den * common >= num * (len(sets[i]) + len(sets[j]) - common):
+            shared[x].append(k)
+    for p, q in {(a, b) for ids in shared.values() for k, a in enumerate(ids) for b in ids[:k]}:
+        (i, x), (j, y) = sets[p], sets[q]
+        if den * len(x & y) >= num * len(x | y):
             a, b = find(i), find(j)
             top[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return {(i, len(s)): find(i) if s else i for i, s in sets}
 
 
 def edited_copies():
@@ -168,10 +168,43 @@ def edited_copies():
 def test_near_duplicates_of_drifting_copies(spark):
     rows = edited_copies()
     got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), neardup.plan(3, 85, 100)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_links(rows, 3, 85, 100)
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got} == plain_links(rows, 3, 85, 100)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("hot, most_bytes", [(3, 0)])
+def test_near_duplicates_with_hot_keys_and_without_broadcasts(spark, monkeypatch, hot, most_bytes):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most_bytes)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = edited_copies() + [(900 + k, "one text that stands here in many rows") for k in range(30)] + [(960 + k, "") for k in range(9)]
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), neardup.plan(3, 85, 100)).collect()
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got} == plain_links(rows, 3, 85, 100)
+
+
+@pytest.mark.parametrize("turn", range(2))
+def test_near_duplicates_of_an_id_with_several_texts(spark, turn):
+    import random
+
+    one, two = (" ".join(f"{c}{n}" for n in range(60)) for c in "xy")
+    rows = [(5, one), (5, two), (7, one + " more"), (9, "and " + two), (3, one), (2, "what nobody else says"), (5, None)]
+    random.Random(turn).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(turn + 1)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.link(docs, neardup.plan(3, 85, 100)).collect()}
+    assert got == plain_links(rows, 3, 85, 100) and {got[i, n] for i, n in got if n > 2 and i != 2} == {3}
+    # an id that names several texts names none: its texts are all kept
+    left = sorted((r["doc_id"], r["text"] or "") for r in neardup.deduplicate(docs, neardup.plan(3, 85, 100)).collect())
+    assert left == sorted([(2, "what nobody else says"), (3, one), (5, ""), (5, one), (5, two), (9, "and " + two)])
+
+
+def test_deduplicate_leaves_clashing_columns_alone(spark):
+    names = ["key", "key_high", "KEY_", "n", "node", "kept", "component_id", "n_shingles", "hot_part"]
+    rows = [(k, "a text that is the same in all of these", *(f"{c}{k}" for c in names)) for k in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    (left,) = neardup.deduplicate(docs, neardup.plan()).collect()
+    assert left.asDict() == dict(zip(docs.columns, rows[0]))
+
+
 def test_near_duplicates_odd(odd, none, spark):
     rows = {(r["doc_id"], r["n_shingles"]): r for r in neardup.link(odd, neardup.plan(3, 85, 100)).collect()}
     assert rows[6, 6]["component_id"] == 5 and rows[5, 6]["kept"] and rows[None, 1]["component_id"] == 3
@@ -244,7 +277,7 @@ def test_pipeline_stages(spark):
         else:
             assert all(before[i] == t for i, t in after.items())
         if name == "near-duplicates":
-            assert after.keys() == {i for i, (_, root) in plain_links(before.items(), 5, 4, 5).items() if i == root}
+            assert after.keys() == {i for (i, _), root in plain_links(before.items(), 5, 4, 5).items() if i == root}
         if name == "benchmark decontamination":
             hit = {r["doc_id"] for r in decontaminate.report(spark.createDataFrame(list(before.items()), "doc_id long, text string"), benchmark).filter("contaminated").collect()}
             assert after.keys() == before.keys() - hit

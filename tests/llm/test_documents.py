@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe, boosting, docstats, langid, quality_classifier, quality_rules, secrets, textkit
+from tidemark.llm import bpe, boosting, docstats, langid, neardup, quality_classifier, quality_rules, secrets, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,30 @@ def test_counts(texts):
     assert got == [plain_counts(t) for t in texts]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 16, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes_differ(n):
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    text = f"{one} x\n{two} x\n" + " ".join(["1 2 3 4 5 6 7", one, "1 2 3 4 5 6 7", two])
+    for _, _, data, at in textkit.runs(pa.array([text])):
+        assert tuple(docstats.count(data, at)[k][0] for k in docstats.COUNTS[:6]) == plain_counts(text)
+        assert len(neardup.shingles(data, at, 1)[0]) == len(set(WORD.findall(text)))
+
+
+def test_range_hash_depends_on_the_bytes_alone():
+    rng = np.random.default_rng(5)
+    body = rng.integers(0, 4, 3000).astype(np.uint8)
+    data = np.concatenate([body, rng.integers(0, 4, 5).astype(np.uint8), body])
+    starts = rng.integers(0, 2500, 400)
+    ends = starts + rng.integers(0, 400, 400)
+    here, there = (textkit.range_hash(data, starts + d, ends + d) for d in (0, 3005))
+    assert (here == there).all() and len(set(here.tolist())) == len({body[a:z].tobytes() for a, z in zip(starts, ends)})
+
+
 def test_quality_rules(spark, documents, labels, odd, none):
     rows = quality_rules.judge(documents, labels, ["doc_id"]).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}

@@ -1,43 +1,106 @@
-"""Shared helpers of the corpus operators: table access, lineage cuts and driver-side constants."""
+"""Shared helpers of the corpus operators: table access, lineage cuts, joins on hot keys and driver-side constants."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The share of documents that supervised operators hold out (crc32(doc_id as text) mod 4 = 2).
 HOLD_MODULUS, HOLD_REMAINDER = 4, 2
+#: Rows from which a join key counts as hot, hot keys that are split at most, and tasks of one hot key at most.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 2000, 1000, 512
+#: Bytes that a broadcast table may take on an executor, and what a row of one or two numbers takes there.
+BROADCAST_BYTES, BROADCAST_ROW = 64 << 20, 64
+
+_local_folder: str | None = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session or of ``spark.checkpoint.dir``; a temporary one only where all runs in one process."""
+    global _local_folder
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _local_folder = _local_folder or tempfile.mkdtemp(prefix="tidemark-")
+    return _local_folder
+
+
 def scratch(spark: SparkSession) -> str:
     """A new name in the shared folder; what is written there goes when the session ends."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    name = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    name = f"{_shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return name
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage is cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where no
-    folder is set at all (single-machine tests) a temporary one is chosen. A table is written and
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A table is written and
     not an RDD checkpoint: the planner then knows its true size, where checkpoints carry
     estimates that every self-join of a loop squares.
     """
     name = scratch(df.sparkSession)
     df.write.parquet(name)
-    return df.sparkSession.read.schema(df.schema).parquet(name)
+    out = df.sparkSession.read.schema(df.schema).parquet(name)
+    out._settled = name
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables of settle() that nothing still to be computed reads."""
+    for df in settled:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The names wanted, each with underscores before it until it differs from all columns and the names before it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def fits_broadcast(rows: int) -> bool:
+    """Whether so many rows of a number or two may be broadcast."""
+    return rows * BROADCAST_ROW <= BROADCAST_BYTES
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``other``, which has few rows a key, without a task for all rows of a hot key.
+
+    The heaviest keys, HOT_KEYS at most, are broadcast with a number of parts; ``by`` deals the rows
+    of each over its parts, and ``other`` has a copy of its row for each part. Keys beyond them hold less than
+    a thousandth of all rows each. Which keys are split changes no result. ``counts``, if known, has the keys and their n.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    found = counts.filter(F.col("n") > HOT_ROWS).select(*on, "n").orderBy(F.desc("n")).limit(HOT_KEYS)
+    heaviest = found.collect()
+    if not heaviest:
+        return rows.join(other, on, how)
+    hot = rows.sparkSession.createDataFrame(heaviest, found.schema)
+    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(HOT_PARTS)).cast("int").alias("hot_parts")))
+    parts = F.coalesce("hot_parts", F.lit(1))
+    dealt = rows.join(hot, on, "left").withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("hot_parts")
+    copies = other.join(hot, on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
+    return dealt.join(copies, [*on, "hot_part"], how).drop("hot_part")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,7 +119,10 @@ ARROW_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches bounded before texts are handed to Python."""
+    """``df``, with the session's Arrow batches bounded before texts are handed to Python.
+
+    Spark reads this setting when a job runs, so that it can't be put back here; it bounds memory and changes no result.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

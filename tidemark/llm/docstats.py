@@ -57,9 +57,8 @@ def count(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS for each row of a run of texts."""
     rows = len(at) - 1
     kinds = np.bincount(np.repeat(np.arange(rows) * 11, np.diff(at)) + _CLASS[data], minlength=rows * 11).reshape(rows, 11)
-    prefix = textkit.prefix_hash(data)
     starts, ends, row = textkit.words(data, at)
-    hashes = textkit.range_hash(prefix, starts, ends)
+    hashes = textkit.range_hash(data, starts, ends)
     out = {"n_words": textkit.per_row(rows, row)}
     out["word_chars"] = kinds.sum(axis=1) - kinds[:, _CONTINUED] - kinds[:, _NEWLINE] - kinds[:, _BLANK]
     out["n_symbols"] = kinds[:, _SYMBOL] + kinds[:, _BAR]
@@ -72,7 +71,7 @@ def count(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(line_row[1:] != line_row[:-1], True)[: len(line_row)]
     line_ends[last] = at[1:]
     spoken = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
-    order, again = _repeated(_of_row(textkit.range_hash(prefix, line_starts[spoken], line_ends[spoken]), line_row[spoken]))
+    order, again = _repeated(_of_row(textkit.range_hash(data, line_starts[spoken], line_ends[spoken]), line_row[spoken]))
     out["n_dup_lines"] = textkit.per_row(rows, line_row[spoken][order[again]])
     out["n_lines"] = textkit.per_row(rows, line_row[spoken])
 

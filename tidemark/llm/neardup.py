@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import settle, small_batches
+from .common import discard, fits_broadcast, settle, small_batches, spread_join, text_key, unused
 from .components import components
 
 #: Places of a chunk; a key holds all but one of them, 64 bits.
@@ -30,9 +30,6 @@ PLACES = 5
 MISS = 1e-5
 #: Members of a block in the exact comparison of crowded keys.
 BLOCK = 256
-#: Ids up to which they are broadcast to pick documents by, 8 bytes each.
-BROADCAST_IDS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Plan:
@@ -73,7 +70,7 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     A row with words, but fewer than ``size``, has its whole sequence as one shingle.
     """
     starts, ends, row = textkit.words(data, at)
-    hashes = textkit.range_hash(textkit.prefix_hash(textkit.ASCII_LOWER[data]), starts, ends)
+    hashes = textkit.range_hash(textkit.ASCII_LOWER[data], starts, ends)
     found, first = textkit.windows(hashes, row, size)
     of = row[first]
     count = textkit.per_row(len(at) - 1, row)
@@ -114,6 +111,18 @@ def chunk_keys(signature: np.ndarray, chunks: int) -> np.ndarray:
     return out
 
 
+def _set_hash(found: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes of all rows, rows with a set, their first positions, and the two halves of a 128-bit hash of each set."""
+    n = textkit.per_row(rows, of)
+    full = np.flatnonzero(n)
+    heads = np.searchsorted(of, full)
+    sums = np.zeros((2, rows), dtype=np.uint64)
+    if len(full):
+        for k, seed in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+            sums[k, full] = np.add.reduceat(textkit.mix(found ^ np.uint64(seed)), heads)
+    return n, full, heads, sums.view(np.int64)
+
+
 _SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("signature", T.BinaryType()),
@@ -127,41 +136,40 @@ def sketch(docs: DataFrame, how: Plan) -> DataFrame:
         for batch in batches:
             for row, stop, data, at in textkit.runs(batch.column(1)):
                 found, of = shingles(data, at, how.shingle)
-                n = textkit.per_row(stop - row, of)
-                full = np.flatnonzero(n)
-                heads = np.searchsorted(of, full)
-                sums = np.zeros((2, stop - row), dtype=np.uint64)
+                n, full, heads, sums = _set_hash(found, of, stop - row)
                 signed: list[bytes | None] = [None] * (stop - row)
                 if len(full):
-                    for k, seed in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
-                        sums[k, full] = np.add.reduceat(textkit.mix(found ^ np.uint64(seed)), heads)
                     for r, s in zip(full, signatures(found, heads, how.size)):
                         signed[r] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row).cast(pa.int64()), pa.array(n), *map(pa.array, sums.view(np.int64)), pa.array(signed, pa.binary())], names=_SKETCH.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row).cast(pa.int64()), pa.array(n), *map(pa.array, sums), pa.array(signed, pa.binary())], names=_SKETCH.names)
 
     return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _SKETCH)
 
 
+_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+
 def sets(docs: DataFrame, how: Plan) -> DataFrame:
-    """doc_id and the whole shingle set of every row."""
+    """doc_id and the whole shingle set, with its hash, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, at in textkit.runs(batch.column(1)):
                 found, of = shingles(data, at, how.shingle)
                 heads = np.searchsorted(of, np.arange(stop - row + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.ListArray.from_arrays(pa.array(heads), pa.array(found.view(np.int64)))], names=["doc_id", "shingles"])
+                sums = _set_hash(found, of, stop - row)[3]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(heads), pa.array(found.view(np.int64)))], names=_SETS.names)
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _SETS)
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of these ids; texts are only shuffled if the ids are too many to broadcast."""
+def _whole_sets(docs: DataFrame, ids: DataFrame, how: Plan) -> DataFrame:
+    """doc_id and each of its shingle sets, for these ids; texts are only shuffled if the ids are too many to broadcast."""
     ids = settle(ids.distinct())
-    if ids.count() <= BROADCAST_IDS:
+    if fits_broadcast(ids.count()):
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi")
+    found = sets(docs.join(ids, "doc_id", "left_semi"), how)
+    return found.dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "shingles")
 
 
 def _keys(classes: DataFrame, how: Plan) -> DataFrame:
@@ -195,9 +203,9 @@ def _side(frame: DataFrame, name: str, **columns: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, whole: DataFrame, how: Plan) -> DataFrame:
     """The pairs whose shingle sets are as similar as the plan asks."""
-    joined = pairs.join(_side(whole, "doc_id", to="a", xa="shingles"), "a").join(_side(whole, "doc_id", to="b", xb="shingles"), "b")
+    joined = spread_join(pairs, _side(whole, "doc_id", to="a", xa="shingles"), ["a"], "b").join(_side(whole, "doc_id", to="b", xb="shingles"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
-    return joined.filter(how.den * common >= how.num * (F.size("xa") + F.size("xb") - common)).select("a", "b")
+    return joined.filter(how.den * common >= how.num * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct()
 
 
 def _compare_blocks(how: Plan):
@@ -242,25 +250,45 @@ def _crowded_links(members: DataFrame, roots: DataFrame, classes: DataFrame, doc
 
     ``members`` holds (node, key, pivot) of keys with three members or more. Keys whose
     members are all in one component by now need nothing more. The members of the others are
-    gathered into clusters that are connected by such keys, and every cluster is compared
-    block by block, each pair of blocks in a task of its own.
+    gathered into clusters that are connected by such keys. Of a cluster, the component with most
+    members needs no comparison within itself: the blocks of the rest meet its blocks and each
+    other, each pair of blocks in a task of its own, so that rows grow with the cluster times the rest.
     """
-    now = members.join(roots, "node", "left").select("node", "key", "pivot", F.coalesce("root", "node").alias("root"))
-    now = settle(now)
-    split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_members = settle(now.join(split, "key", "left_semi").select("node", "root", "pivot").distinct())
+    now = settle(members.join(roots, "node", "left").select("node", "key", "pivot", F.coalesce("root", "node").alias("root")))
+    split = settle(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"))
+    open_members = settle(spread_join(now, split.select("key"), ["key"], "node", "left_semi", split).select("node", "root", "pivot").distinct())
+    discard(now, split)
     clusters = components(open_members.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    each = open_members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
-    parts = each.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    each = settle(each.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int")))
-    whole = sets(_with_ids(docs, each.select(F.col("node").alias("doc_id"))), how).dropDuplicates(["doc_id"])
-    full = each.join(classes.select("node", "signature"), "node").join(_side(whole, "doc_id", to="node", shingles="shingles"), "node")
+    each = settle(open_members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node"))
+    sizes = each.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    parts = shape.select("cluster", "main", *(F.ceil(c / BLOCK).cast("int").alias(name) for c, name in ((F.col("most"), "main_parts"), (F.col("all") - F.col("most"), "rest_parts"))))
+    placed = spread_join(each, parts, ["cluster"], "node").withColumn("is_main", F.col("root") == F.col("main"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int")
+    # blocks of the rest come first, those of the main component after them
+    placed = settle(placed.withColumn("block", F.when(F.col("is_main"), at + F.col("rest_parts")).otherwise(at)))
+    discard(open_members, each)
+    whole = _whole_sets(docs, placed.select(F.col("node").alias("doc_id")), how)
+    full = placed.join(classes.select("node", "signature"), "node").join(_side(whole, "doc_id", to="node", shingles="shingles"), "node")
     # a pair of blocks (i, j) with i <= j takes the members of both
-    spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    last = F.when(F.col("is_main"), F.col("rest_parts")).otherwise(F.col("rest_parts") + F.col("main_parts")) - 1
+    spread = full.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "root", "signature", "shingles")
     return spread.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(how), "a long, b long")
 
 
+_EQUAL = ["n_shingles", "set_a", "set_b"]
+
+
+def _edges_of_ids(full: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Edges between the classes that one doc_id is in: none but for ids that stand on different texts."""
+    ends = [f(c).alias(f"{c}_{k}") for c in ("set_a", "set_b") for k, f in enumerate((F.min, F.max))]
+    several = full.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*ends).filter("set_a_0 <> set_a_1 or set_b_0 <> set_b_1").select("doc_id")
+    each = full.join(several, "doc_id", "left_semi").select("doc_id", *_EQUAL).distinct().join(grouped.select(*_EQUAL, "node"), _EQUAL)
+    least = each.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return each.join(least, "doc_id").select("a", F.col("node").alias("b")).distinct()
+
+
 def link(docs: DataFrame, how: Plan) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for every row of ``docs``.
 
@@ -268,31 +296,35 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     Classes that share a key are compared with the smallest of the key first, a number of
     pairs that grows with the keys and not with their squares; _crowded_links() then finds
     what that can miss. A null or wordless text has an empty set and is linked with nothing.
-    Rows of one doc_id with different texts count as linked. A row with a null doc_id takes
-    the component of its equals; without one it has a null component and is kept.
+    Rows of one doc_id with different texts count as linked, whatever their order. A row with a null
+    doc_id takes the component of its equals; without one it has a null component and is kept.
+    An empty table gives no rows; only doc_id and text of ``docs`` are read. Joins deal the rows of a
+    hot class, key or pivot over several tasks.
     """
     rows = settle(sketch(docs, how))
-    equal = ["n_shingles", "set_a", "set_b"]
     full = rows.filter(F.col("n_shingles") > 0)
-    grouped = settle(full.groupBy(*equal).agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")))
+    grouped = settle(full.groupBy(*_EQUAL).agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.count("*").alias("n")))
     classes = grouped.filter(F.col("node").isNotNull()).select("node", "signature")
     keys = _keys(classes, how)
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"))
-    shared = settle(keys.join(pivots.filter("pivot < last"), "key").select("node", "key", "pivot", "n"))
-    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    signed = pairs.join(_side(classes, "node", to="a", sa="signature"), "a").join(_side(classes, "node", to="b", sb="signature"), "b")
+    pivots = settle(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"))
+    shared = settle(spread_join(keys, pivots, ["key"], "node", counts=pivots).select("node", "key", "pivot", "n"))
+    pairs = settle(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    signed = spread_join(pairs, _side(classes, "node", to="a", sa="signature"), ["a"], "b").join(_side(classes, "node", to="b", sb="signature"), "b")
     near = settle(_near(signed, how).distinct())
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select("b"))
-    whole = sets(_with_ids(docs, ends), how).dropDuplicates(["doc_id"])
-    links = settle(_confirmed(near, whole, how))
+    discard(pivots, pairs)
+    whole = _whole_sets(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")), how)
+    links = settle(_confirmed(near, whole, how).union(_edges_of_ids(full, grouped)))
     roots = components(links)
     more = settle(_crowded_links(shared.filter("n > 2").drop("n"), roots, classes, docs, how))
     if not more.isEmpty():
+        discard(roots)
         roots = components(links.union(more))
-    found = grouped.join(roots, "node", "left").select(*equal, F.coalesce("root", "node").alias("component"))
+    discard(near, shared, links, more)
+    found = grouped.select(*_EQUAL, "n", "node").join(roots, "node", "left").select(*_EQUAL, F.coalesce("root", "node").alias("component"))
+    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    others = spread_join(full.drop("signature"), found, _EQUAL, "doc_id", "left", grouped.select(*_EQUAL, "n")).select("doc_id", "n_shingles", "component")
     return (
-        rows.drop("signature").join(found, equal, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        others.union(empty).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
@@ -300,12 +332,23 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
 def deduplicate(docs: DataFrame, how: Plan) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Repeated rows of a doc_id leave one row; rows with a null doc_id can't be told apart by name and stay.
+    Repeated rows of a doc_id leave one row. A doc_id that stands on different texts names no document,
+    and no more does a null one: rows of either stay, but for exact repeats of a named text, and
+    link nothing. All columns of ``docs`` return as they are, whatever their names.
     """
-    verdict = link(docs.select("doc_id", "text"), how)
-    dropped = verdict.filter(~F.col("kept")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    key, other = unused(docs.columns, "key", "key_high")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    named = keyed.filter(F.col("doc_id").isNotNull())
+    several = settle(named.groupBy("doc_id").agg(F.min(key).alias(key), F.max(key).alias(other)).filter(F.col(key) != F.col(other)).select("doc_id"))
+    some = not several.isEmpty()
+    single = named.join(several, "doc_id", "left_anti") if some else named
+    verdict = link(single.select("doc_id", "text"), how)
+    dropped = settle(verdict.filter(~F.col("kept")).select("doc_id").distinct())
+    gone = F.broadcast(dropped) if fits_broadcast(dropped.count()) else dropped
+    stay = single.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    if some:
+        stay = stay.union(named.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns))
+    return stay.union(docs.filter(F.col("doc_id").isNull()))
 
 
 #: link() in DuckDB for three words and 85 of 100, comparing every two documents that share a shingle.

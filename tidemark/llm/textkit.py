@@ -1,12 +1,13 @@
 """Vectorised word arithmetic over Arrow string columns.
 
 Everything works on the UTF-8 bytes of a run of rows at once: word borders come from a
-256-entry byte table, and the 64-bit hash of any byte range is a difference of two prefix
-sums, so no Python object is made per word.
+256-entry byte table, and byte ranges are hashed eight bytes at a time for all ranges
+together, so no Python object is made per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ import pyarrow as pa
 
 #: Bytes of text that are handled at once; a longer text is one run of its own.
 RUN_BYTES = 1 << 20
-
-_BASE = 0x9E3779B97F4A7C15
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Bytes of a range that are folded in arrays; the rest of a longer one is digested on its own.
+LONG = 128
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def byte_table(*spans: tuple[int, int]) -> np.ndarray:
@@ -33,20 +35,6 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[0x41:0x5B] += 0x20
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for positions 0..n."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        n = max(n, RUN_BYTES) + 1
-        pair = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        _powers = (pair[0], pair[1])
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit over the output."""
     h = h ^ (h >> np.uint64(31))
@@ -76,17 +64,23 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, n
         row = stop
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, the same wherever the range stands."""
-    inverse = powers(len(prefix))[1]
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range, the same wherever the range stands.
+
+    Ranges are folded eight bytes at a time through a bijection, so that two of equal length up to
+    eight bytes never share a hash; what lies beyond LONG bytes enters by its BLAKE2 digest.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    left = np.flatnonzero(size > 0)
+    for step in range(0, LONG, 8):
+        h[left] = mix(h[left] ^ (eight[starts[left] + step] & _FIRST[np.minimum(size[left] - step, 8)]))
+        left = left[size[left] > step + 8]
+    rest = [int.from_bytes(hashlib.blake2b(padded[a + LONG : z], digest_size=8).digest(), "little") for a, z in zip(starts[left].tolist(), ends[left].tolist())]
+    h[left] = mix(h[left] ^ np.array(rest, dtype=np.uint64))
+    return h
 
 
 def words(data: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
