@@ -10,75 +10,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_key
-
-#: Fixed value: what a word is.
-WORD = r"[^\x20\x09-\x0D]+"
+from .common import fits_broadcast, settle, spread_join, text_key, unused
 
 MIN_SITES = 5
 #: Shorter lines are ordinary text that recurs by chance.
-MIN_WORDS, MIN_CHARS = 3, 16
+MIN_CHARS = 16
 #: log2 of the registers of a sketch; the relative error of an estimate is 1.04 / sqrt(registers).
 LOG_REGISTERS = 12
-#: A document of which less than this share of the words would be left is a copy and not a page with boilerplate.
-LEAST_LEFT = 0.5
 
 
-def _count_words(text: Column | str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+def lines(docs: DataFrame, site: str) -> DataFrame:
+    """id, key, site, at (from 0) and h (hash) of every line that is long enough to be boilerplate and not blank."""
+    cut = docs.select(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return cut.filter((F.char_length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("id", "key", "site", "at", F.xxhash64("line").alias("h"))
 
 
-def lines(docs: DataFrame, site: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, site, at (from 0) and h (hash) of every line that is long enough to be boilerplate."""
-    cut = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return cut.filter((F.char_length("line") >= MIN_CHARS) & (_count_words("line") >= min_words)).select("doc_id", "key", "site", "at", F.xxhash64("line").alias("h"))
+def _with_hashes(found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The lines with one of these hashes, which are settled; a line that is everywhere is not one task's work."""
+    if fits_broadcast(hashes.count()):
+        return found.join(F.broadcast(hashes), "h", "left_semi")
+    return spread_join(found, hashes, ["h"], "key", "left_semi")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """h of every line on ``min_sites`` sites or more; a null site is a site of its own."""
-    found = lines(docs, site, min_words)
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """h of every line on ``min_sites`` sites or more; a null site and an empty one are one site of their own."""
+    found = lines(docs, site)
     margin = max(1.0, 4 * 1.04 / 2 ** (LOG_REGISTERS / 2) * min_sites)
-    spread = found.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("about")).filter(F.col("about") >= min_sites - margin)
-    spread = settle(spread)
+    spread = settle(found.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("about")).filter(F.col("about") >= min_sites - margin))
     sure = spread.filter(F.col("about") > min_sites + margin).select("h")
-    near = spread.filter(F.col("about") <= min_sites + margin).select("h")
-    exact = found.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    near = settle(spread.filter(F.col("about") <= min_sites + margin).select("h"))
+    exact = _with_hashes(found.select("h", "site", "key"), near).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
     return sure.union(exact.filter(F.col("n") >= min_sites).select("h"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, among: DataFrame | None = None, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text`` and the columns __lines, __found and __cut (numbers of lines).
-
-    A document that would lose more than half of its words is left as it is: its lines are spread
-    because whole copies of it are, and those are for near-duplicate removal. Where ``among`` is
-    given, it holds one document of each group of copies: only its lines count for the spread, so that
-    copies alone spread nothing, and the lines found go from every document. Null and empty texts
-    stay; repeated rows lose the same lines. Other columns pass unchanged, whatever their names.
-    """
-    spread = settle(boilerplate(docs if among is None else among, site, min_sites, min_words))
-    places = lines(docs, site, min_words).join(spread, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("__places"))
-    places = places.withColumnsRenamed({"doc_id": "__id", "key": "__places_key"})
+def _cut(docs: DataFrame, site: str, min_sites: int, among: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the lines left in ``text``, and the names of the columns beside: numbers of lines and of lines cut."""
+    name = dict(zip(("id", "key", "places", "lines", "n_lines", "n_cut"), unused(docs.columns, "id", "key", "places", "lines", "n_lines", "n_cut")))
+    spread = settle(boilerplate(docs if among is None else among, site, min_sites))
+    places = _with_hashes(lines(docs, site), spread).groupBy("id", "key").agg(F.collect_set("at").alias(name["places"]))
+    places = places.select(F.col("id").alias(name["id"]), F.col("key").alias(f"{name['key']}_at"), name["places"])
     # lines travel in place of the text, and those that stay are picked by number, in time that grows with the text alone
     others = [c for c in docs.columns if c != "text"]
-    cut = docs.select(*others, text_key(F.col("text")).alias("__key"), F.split("text", "\n", -1).alias("__text"))
-    beside = cut.join(places, (F.col("__key") == F.col("__places_key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__text") - 1), F.col("__places"))
-    some = beside.withColumn("__whole", F.array_join("__text", "\n"))
-    some = some.withColumn("__left", F.when(F.col("__places").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__text", i)), "\n")))
-    does = F.col("__left").isNotNull()
-    if among is None:
-        does &= _count_words("__left") >= LEAST_LEFT * _count_words("__whole")
-    some = some.withColumn("__found", F.coalesce(F.size("__places"), F.lit(0))).withColumn("__cut", F.when(does, F.col("__found")).otherwise(0))
-    some = some.withColumn("__lines", F.coalesce(F.size("__text"), F.lit(0)))
-    text = F.when(F.col("__cut") > 0, F.col("__left")).otherwise(F.col("__whole")).alias("text")
-    rest = [text if c == "text" else F.col(c) for c in docs.columns]
-    return some.select(*rest, "__lines", "__found", "__cut")
+    cut = docs.select(*others, text_key(F.col("text")).alias(name["key"]), F.split("text", "\n", -1).alias(name["lines"]))
+    beside = cut.join(places, (F.col(name["key"]) == F.col(f"{name['key']}_at")) & F.col("doc_id").eqNullSafe(F.col(name["id"])), "left")
+    all_lines = F.col(name["lines"])
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(name["places"]))
+    left = F.when(F.col(name["places"]).isNull(), all_lines).otherwise(F.transform(stay, lambda i: F.get(all_lines, i)))
+    kept = [F.array_join(left, "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    counts = (F.coalesce(F.size(all_lines), F.lit(0)), F.coalesce(F.size(name["places"]), F.lit(0)))
+    return beside.select(*kept, *(c.cast("long").alias(name[k]) for c, k in zip(counts, ("n_lines", "n_cut")))), name
+
+
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, among: DataFrame | None = None) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``.
+
+    Where ``among`` is given, it holds one document of each group of copies: only its lines count
+    for the spread, so that copies alone spread nothing, and the lines found go from every document.
+    Null and empty texts stay; a text of spread lines alone becomes empty; repeated rows lose the same
+    lines, and equal lines of one text go together, so that ties need no order. An empty table gives none. A very
+    long text is one row of lines. All other columns pass unchanged, whatever their names.
+    """
+    return _cut(docs, site, min_sites, among)[0].select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_spread (lines on enough sites), n_cut and the SHA-256 of the text that is left (null: none)."""
-    done = remove_boilerplate(docs.select("doc_id", "text", "source"))
-    return done.select("doc_id", *(F.col(a).cast("long").alias(b) for a, b in (("__lines", "n_lines"), ("__found", "n_spread"), ("__cut", "n_cut"))), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    """doc_id, n_lines, n_cut (lines on enough sites) and the SHA-256 of the text that is left (null: none)."""
+    done, name = _cut(docs.select("doc_id", "text", "source"), "source", MIN_SITES, None)
+    return done.select("doc_id", F.col(name["n_lines"]).alias("n_lines"), F.col(name["n_cut"]).alias("n_cut"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 #: The same report in DuckDB, with exact distinct counts throughout.
@@ -88,7 +86,7 @@ WITH cut AS (
 ), line AS (
   SELECT r, source, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS line FROM cut
 ), long_line AS (
-  SELECT * FROM line WHERE length(line) >= 16 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+  SELECT * FROM line WHERE length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]')
 ), spread AS (
   SELECT line FROM long_line GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
 ), found AS (
@@ -96,13 +94,8 @@ WITH cut AS (
 ), remaining AS (
   SELECT line.r, string_agg(line.line, chr(10) ORDER BY line.pos) AS rest
   FROM line JOIN found ON line.r = found.r WHERE NOT list_contains(found.places, line.pos) GROUP BY line.r
-), judged AS (
-  SELECT cut.*, coalesce(n, 0) AS n,
-         n IS NOT NULL AND len(regexp_extract_all(coalesce(rest, ''), '[^\x20\x09-\x0D]+')) >= 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS does, rest
-  FROM cut LEFT JOIN found USING (r) LEFT JOIN remaining USING (r)
 )
-SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_spread,
-       CAST(CASE WHEN does THEN n ELSE 0 END AS BIGINT) AS n_cut,
-       sha256(CASE WHEN does THEN coalesce(rest, '') ELSE text END) AS text_sha256
-FROM judged
+SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_cut,
+       sha256(CASE WHEN n IS NULL THEN text ELSE coalesce(rest, '') END) AS text_sha256
+FROM cut LEFT JOIN found USING (r) LEFT JOIN remaining USING (r)
 """
