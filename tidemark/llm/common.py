@@ -90,13 +90,13 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[str], by: str, how:
     of each over its parts, and ``other`` has a copy of its row for each part. Keys beyond them hold less than
     a thousandth of all rows each. Which keys are split changes no result. ``counts``, if known, has the keys and their n.
     """
-    counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
-    found = counts.filter(F.col("n") > HOT_ROWS).select(*on, "n").orderBy(F.desc("n")).limit(HOT_KEYS)
+    counts = rows.groupBy(*on).agg(F.count("*").alias("hot_n")) if counts is None else counts.withColumnRenamed("n", "hot_n")
+    found = counts.filter(F.col("hot_n") > HOT_ROWS).select(*on, "hot_n").orderBy(F.desc("hot_n")).limit(HOT_KEYS)
     heaviest = found.collect()
     if not heaviest:
         return rows.join(other, on, how)
     hot = rows.sparkSession.createDataFrame(heaviest, found.schema)
-    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(HOT_PARTS)).cast("int").alias("hot_parts")))
+    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("hot_n") / HOT_ROWS), F.lit(HOT_PARTS)).cast("int").alias("hot_parts")))
     parts = F.coalesce("hot_parts", F.lit(1))
     dealt = rows.join(hot, on, "left").withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("hot_parts")
     copies = other.join(hot, on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_key
+from .common import fits_broadcast, settle, spread_join, text_key, unused
 
 #: What a word is after A-Z have been lower-cased, the same with A-Z, and the words of a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,9 +24,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _REACH = 2 * WINDOW - (WINDOW + 1) // 2
 BETWEEN = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 
-#: Distinct benchmark blocks up to which their hashes are broadcast, 8 bytes each; beyond it they are joined by a shuffle.
-BROADCAST_BLOCKS = 2_000_000
-
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased: all that stands between words becomes blank, and blanks split."""
@@ -35,12 +32,11 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """run (words), n (their number) and items of every distinct window; an item of fewer than WINDOW words is one window."""
+    """item_id, run (words) and n (their number) of every distinct window of every item; an item of fewer than WINDOW words is one window."""
     found = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
-    runs = found.select("item_id", F.explode(cut).alias("run")).groupBy("run").agg(F.collect_set("item_id").alias("items"))
-    return runs.select("run", F.size("run").alias("n"), "items")
+    return found.select("item_id", F.explode(cut).alias("run")).distinct().select("item_id", "run", F.size("run").alias("n"))
 
 
 def _block(n: Column) -> Column:
@@ -79,16 +75,16 @@ def _around(w: str) -> list[Column]:
     return [first.alias("first"), F.array(*(F.get(w, first + j) for j in range(_REACH))).alias("near")]
 
 
-def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
-    """doc_id, key, at, n and items of every verified occurrence of a benchmark window."""
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, key, at, n and run of every verified occurrence of a benchmark window; ``windows`` has run and n."""
     lengths = sorted(r[0] for r in windows.select("n").distinct().collect()) or [WINDOW]  # WINDOW numbers at most
     blocks = settle(benchmark_blocks(windows))
-    if blocks.count() <= broadcast_up_to:
+    if fits_broadcast(blocks.count()):
         # the words are only copied for the few blocks that the join lets through
         near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around("w"))
     else:
         # hashes alone are shuffled, and the few documents with a block are read again
-        some = _blocks(docs, lengths).join(blocks, ["n", "h"], "left_semi")
+        some = spread_join(_blocks(docs, lengths), blocks, ["n", "h"], "key", "left_semi")
         places = some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "begin")).alias("places"))
         again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
         match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])
@@ -96,57 +92,86 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_up_to: int = BROADCAST_B
         near = each.select("doc_id", "key", "n", *_around("w"))
     runs = F.transform(F.sequence(F.lit(0), F.lit(_REACH) - F.col("n")), lambda i: F.struct((F.col("first") + i).alias("at"), F.slice("near", i + 1, F.col("n")).alias("run")))
     cut = near.select("doc_id", "key", "n", F.inline(runs)).distinct()
-    return cut.join(windows, ["n", "run"]).select("doc_id", "key", "at", "n", "items")
+    return cut.join(windows, ["n", "run"], "left_semi").select("doc_id", "key", "at", "n", "run")
 
 
-def hit_documents(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
-    """doc_id, key, hit_words (positions of words in any window) and hit_items of documents with an occurrence."""
-    found = hits(docs, settle(benchmark_windows(benchmark)), broadcast_up_to)
-    per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"))
+def hit_documents(docs: DataFrame, benchmark: DataFrame, with_items: bool = False) -> DataFrame:
+    """doc_id, key and hit_words (positions of words in any window) of documents with an occurrence, and hit_items if asked for."""
+    of_items = settle(benchmark_windows(benchmark))
+    found = hits(docs, settle(of_items.select("run", "n").distinct()))
+    found = settle(found) if with_items else found
+    per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return per.select("doc_id", "key", covered.alias("hit_words"), "hit_items")
+    per = per.select("doc_id", "key", covered.alias("hit_words"))
+    if not with_items:
+        return per
+    # items are looked up for the distinct windows of a document, and do not ride on every hit
+    items = found.select("doc_id", "key", "run").distinct().join(of_items, "run").select(F.col("doc_id").alias("id"), F.col("key").alias("id_key"), "item_id").distinct()
+    items = items.groupBy("id", "id_key").agg(F.collect_list("item_id").alias("hit_items"))
+    return per.join(items, (F.col("key") == F.col("id_key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "key", "hit_words", "hit_items")
+
 
+def _beside(docs: DataFrame, key: str, found: DataFrame, how: str) -> DataFrame:
+    """``docs``, which has the text's hash in ``key``, joined with what was found; the columns of the latter end in ``key``."""
+    found = found.toDF(*(f"{c}_{key}" for c in found.columns))
+    return docs.join(found, (F.col(key) == F.col(f"key_{key}")) & F.col("doc_id").eqNullSafe(F.col(f"doc_id_{key}")), how)
 
-def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return docs.join(found.withColumnsRenamed({"doc_id": "__hit_id", "key": "__hit_key"}), (F.col("__key") == F.col("__hit_key")) & F.col("doc_id").eqNullSafe(F.col("__hit_id")), how)
 
+def _free_key(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` ends in."""
+    key = "match"
+    while any(c.lower().endswith(key) for c in docs.columns):
+        key = f"_{key}_"
+    return key
 
-def report(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = BROADCAST_BLOCKS) -> DataFrame:
+
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row for every row of ``docs``.
 
     Null and empty texts have no words and no hits, benchmark rows without item_id or words no
-    windows. Repeated rows get equal reports, a null doc_id is reported like any other, and an empty
-    benchmark hits nothing.
+    windows. Repeated rows get equal reports, a null doc_id is reported like any other, an empty
+    benchmark hits nothing, and an empty table gives no rows. Whole texts are scanned, however long.
     """
-    found = hit_documents(docs, benchmark, broadcast_up_to)
-    counted = docs.select("doc_id", text_key(F.col("text")).alias("__key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    items = F.coalesce("hit_items", F.array().cast("array<bigint>"))
+    found = hit_documents(docs, benchmark, with_items=True)
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("match"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    items = F.coalesce("hit_items_match", F.array().cast("array<bigint>"))
     names = F.array_sort(F.transform(items, lambda i: i.cast("string")))
-    return _beside(counted, found, "left").select(
+    hit = F.col("hit_words_match")
+    return _beside(counted, "match", found, "left").select(
         "doc_id", "n_words",
-        F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), F.col("hit_words").isNotNull().alias("contaminated"),
+        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), hit.isNotNull().alias("contaminated"),
     )
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark removes nothing.
+    """
+    key = _free_key(docs)
     found = hit_documents(docs, benchmark).select("doc_id", "key")
-    return _beside(docs.withColumn("__key", text_key(F.col("text"))), found, "left_anti").select(*docs.columns)
+    return _beside(docs.withColumn(key, text_key(F.col("text"))), key, found, "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every hit word, and what stands between it and the next word, cut from ``text``."""
-    found = hit_documents(docs, benchmark).select("doc_id", "key", "hit_words")
+    """``docs`` with every hit word, and what stands between it and the next word, cut from ``text``.
+
+    Null texts stay null; a text of hit words alone keeps what stands before its first word. Repeated rows are cut alike. All other columns
+    pass unchanged, whatever their names.
+    """
+    key = _free_key(docs)
+    found = hit_documents(docs, benchmark)
     others = [c for c in docs.columns if c != "text"]
     pieces = F.regexp_extract_all("text", F.lit(f"({WORD_ANY_CASE})([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(0))
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     # pieces travel in place of the text, and those that stay are picked by number
-    cut = docs.select(*others, text_key(F.col("text")).alias("__key"), lead.alias("__lead"), pieces.alias("__pieces"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("hit_words"))
-    left = F.when(F.col("hit_words").isNull(), F.col("__pieces")).otherwise(F.transform(stay, lambda i: F.get("__pieces", i)))
-    text = F.concat("__lead", F.array_join(left, ""))
-    return _beside(cut, found, "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    cut = docs.select(*others, text_key(F.col("text")).alias(key), lead.alias(f"lead_{key}"), pieces.alias(f"pieces_{key}"))
+    all_pieces, hit = F.col(f"pieces_{key}"), F.col(f"hit_words_{key}")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_pieces) - 1), hit)
+    left = F.when(hit.isNull(), all_pieces).otherwise(F.transform(stay, lambda i: F.get(all_pieces, i)))
+    text = F.concat(f"lead_{key}", F.array_join(left, ""))
+    return _beside(cut, key, found, "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 #: report() in DuckDB.
