@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidemark.llm import common, components, decontaminate, line_dedup, neardup, shards, token_rollup
+from tidemark.llm import common, components, decontaminate, line_dedup, neardup, quality_rules, shards, token_rollup
 
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,19 +45,35 @@ def test_shards_of_nothing(none):
 
 def test_line_dedup_odd(odd, none):
     done = line_dedup.remove_boilerplate(odd)
-    assert done.count() == odd.count() and done.columns[: len(odd.columns)] == odd.columns
+    assert done.count() == odd.count() and done.columns == odd.columns
     assert line_dedup.report(none).count() == 0
 
 
-def test_line_dedup_cuts_boilerplate_and_leaves_copies(spark):
-    notice = "All of these rights are reserved here."
-    rows = [(k, f"own words of page {k} are standing here\n{notice}\nand more of page {k} again", f"s{k % 6}") for k in range(12)]
-    rows += [(100 + k, "a copied page that is the same everywhere\nwith a second line of copied words", f"s{k}") for k in range(6)]
-    rows += [(200, notice, None)]
-    done = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(notice not in done[k]["text"] and done[k]["__cut"] == 1 for k in range(12))
-    assert all(done[100 + k]["text"].count("\n") == 1 and done[100 + k]["__found"] == 2 for k in range(6))
-    assert done[200]["text"] == notice
+def test_line_dedup_cuts_every_spread_line(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    notice, short = "All of these rights are reserved here.", "版权所有"
+    rows = [(k, f"own words of page {k} are standing here\n{notice}\n{short}\nand more of page {k} again", f"s{k % 6}") for k in range(12)]
+    rows += [(200, notice, None), (200, f"{notice}\n\n{notice}", None), (None, notice, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most_bytes in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most_bytes)
+        done = sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.remove_boilerplate(docs).collect())
+        assert done == sorted([(i or -1, "\n".join(x for x in t.split("\n") if x != notice)) for i, t, _ in rows])
+
+
+def test_removers_leave_clashing_columns_alone(spark, labels):
+    # the names that the operators use inside, and names that differ from them in case alone
+    names = ["id", "KEY", "key_at", "places", "lines", "n_lines", "n_cut", "h", "at", "match", "doc_id_match", "key_match", "hit_words", "hit_words_match", "lead_match", "pieces_match", "run", "text_counted", "quality_kept", "base_failed", "kept", "label", "__text", "__key"]
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, f"{text} {k}\na line that is on each of the sites", f"s{k}", *(f"{c}{k}" for c in names)) for k in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    items = spark.createDataFrame([(1, "of nothing that is here")], "item_id long, text string")
+    want = {r[0]: dict(zip(docs.columns, r)) for r in rows}
+    for done, changed in ((line_dedup.remove_boilerplate(docs), True), (decontaminate.remove_documents(docs, items), False), (decontaminate.remove_spans(docs, items), False), (quality_rules.keep_good(docs, labels), False)):
+        got = {r["doc_id"]: r.asDict() for r in done.collect()}
+        assert done.columns == docs.columns and got.keys() == want.keys()
+        for i, r in got.items():
+            assert r == want[i] | ({"text": want[i]["text"].split("\n")[0]} if changed else {})
 
 
 def test_pipeline_cuts_boilerplate_of_any_share_and_leaves_copies(spark):
@@ -234,15 +250,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_BLOCKS, 0])
-def test_decontamination_with_short_items(spark, odd, bound):
+@pytest.mark.parametrize("most_bytes", [common.BROADCAST_BYTES, 0])
+def test_decontamination_with_short_items(spark, odd, monkeypatch, most_bytes):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most_bytes)
     items = spark.createDataFrame([(1, "Upon a TIME"), (2, "word"), (3, None), (4, "!?"), (None, "a"), (5, "of naïve words 中文 text tags 42 second line of words here"), (6, "time there")], "item_id long, text string")
-    got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.report(odd, items, bound).collect()}
+    got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.report(odd, items).collect()}
     assert got[3, 1]["n_hit"] == 1 and got[None, 1]["contaminated"] and got[None, 0]["n_hit"] == 0 and not got[9, 2]["contaminated"]
     assert got[5, 18_000]["n_hit"] == 12_000 and got[5, 18_000]["n_items"] == 2
     assert got[7, 38]["n_items"] == 1 and got[1, 0]["n_items"] == 0
     cut = decontaminate.remove_spans(odd, items)
-    assert cut.columns == odd.columns and decontaminate.report(cut, items, bound).filter("doc_id = 5 and contaminated").count() == 0
+    assert cut.columns == odd.columns and decontaminate.report(cut, items).filter("doc_id = 5 and contaminated").count() == 0
     assert decontaminate.remove_documents(odd, items).filter("doc_id in (3, 5, 6, 7)").count() == 0
 
 

@@ -128,38 +128,50 @@ def test_languages(spark, odd, none):
     assert langid.identify(none, models).count() == 0
 
 
-def test_language_models_keep_every_gram(spark):
-    rng = np.random.default_rng(3)
-    texts = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 700))) for _ in range(400)] + ["a b c a b"] * 20
-    docs = spark.createDataFrame([(k, t, "zh" if k < 400 else "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    seen = Counter()
-    for k, t in enumerate(texts[:400]):
-        if zlib.crc32(str(k).encode()) % 4 != 2:
-            seen.update(("   " + t)[i : i + 4] for i in range(len(t)))
-    models = langid.fit(docs)
-    level = models.levels[models.languages.index("zh")]
-    assert len(level[3].grams) == len(seen) > 150_000
-    once, twice = (sum(n == k for n in seen.values()) for k in (1, 2))
-    before = Counter(g[:3] for g in seen)
-    total = Counter()
-    for g, n in seen.items():
-        total[g[:3]] += n
-    some = sorted(seen)[::999]
-    contexts = langid.gram_keys([np.array([ord(g[k]) for g in some]) for k in range(3)])
-    back_off = level[3].back_off[np.searchsorted(level[3].contexts, contexts)]
-    assert back_off == pytest.approx([once / (once + 2 * twice) * before[g[:3]] / total[g[:3]] for g in some])
-    follows = Counter(g[1:] for g in seen)
-    assert len(level[2].grams) == len(follows)
-
-
-def test_kneser_ney_sums_to_one():
-    models = langid.Models(["x"], [], 3)
-    codes, at, _, _ = langid.stream(["ab ba abba", "a b ab", "bab"])
-    grams, counts = np.unique(np.column_stack([codes[at - k] for k in (3, 2, 1, 0)]), axis=0, return_counts=True)
-    models.levels = [langid.build([grams[:, k].astype(np.int64) for k in range(4)], counts)]
-    for context in ([32, 32, 32], [97, 98, 32], [98, 98, 98]):
-        cells = [np.full(4, c) for c in context] + [np.array([32, 97, 98, 0x10FFF0])]
-        assert np.exp(-models._cost(cells)[:, 0]).sum() == pytest.approx(1, abs=1e-5)
+def normalised(text):
+    return " " * 3 + re.sub(r"[^a-zäöüß]+", " ", text.lower()).lstrip(" ")
+
+
+def plain_model(texts):
+    """Probability of a character after three others, by interpolated Kneser-Ney over dictionaries."""
+    counts = [None, None, None, Counter()]
+    for t in map(normalised, texts):
+        counts[3].update(t[i : i + 4] for i in range(len(t) - 3))
+    for k in (2, 1, 0):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = [(once := sum(n == 1 for n in c.values())) / (once + 2 * sum(n == 2 for n in c.values())) if 1 in c.values() else 0.5 for c in counts]
+
+    def p(gram, alphabet):
+        out = 1 / (alphabet + 1)
+        for k in range(4):
+            tail = gram[3 - k :]
+            own = [n for g, n in counts[k].items() if g[:-1] == tail[:-1]]
+            if own:
+                out = (max(counts[k][tail] - discounts[k], 0) + discounts[k] * len(own) * out) / sum(own)
+        return out
+
+    return p, {g for g in counts[0]}
+
+
+@pytest.mark.parametrize("model_bytes, piece", [(langid.MODEL_BYTES, langid.PIECE), (500, 7)])
+def test_language_models_equal_plain_kneser_ney(spark, monkeypatch, model_bytes, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    said = {"de": ["der Bär und die Tür", "über den Fluß, über die Brücke", "die Hand die Hand"], "en": ["the bear and the door", "over the river, over the bridge!", "a hand in a hand"]}
+    rows = [(i, said[lang][i % 3] + " x" * (i % 4), lang) for i in range(60) for lang in [("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 20) as h").collect()}
+    taught = {lang: [t for i, t, k in rows if k == lang and zlib.crc32(str(i).encode()) % 4 != 2 and hashed[i]] for lang in said}
+    plain = {lang: plain_model(t) for lang, t in taught.items()}
+    alphabet = len(set.union(*(letters for _, letters in plain.values())))
+    asked = ["the door of the bear", "die Tür", "  zzz  (unseen) über  ", "a"] * 2
+    fitted = langid.fit(docs, model_bytes=model_bytes)
+    assert (fitted.parts > 1) == (model_bytes < 1000)
+    got = langid._entropies(spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "doc_id long, text string"), ["doc_id"], fitted).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        t = normalised(asked[r["doc_id"]])
+        want = [-sum(np.log(p(t[i : i + 4], alphabet)) for i in range(len(t) - 3)) / (len(t) - 3) for p, _ in (plain["de"], plain["en"])]
+        assert r["n"] == len(t) - 3 and r["entropy"] == pytest.approx(want, abs=1e-4)
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import held_out, small_batches
+from .common import held_out, small_batches, unused
 
 #: The length in words of a repeated window, and the characters that count as symbols.
 REPEAT_WINDOW = 8
@@ -113,7 +113,7 @@ def per_document(docs: DataFrame, keep: list[str], made: list[T.StructField], wo
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(f.name for f in made)])
 
-    chosen = small_batches(docs.select(*keep, F.col(text).alias("__text")))
+    chosen = small_batches(docs.select(*keep, F.col(text).alias(unused(keep, "text_counted")[0])))
     return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[: len(keep)], *made]))
 
 
@@ -129,6 +129,8 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple
     )
     made = [T.StructField(name, T.DoubleType()) for name in FEATURES]
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` pairs of numbers
-    rows = per_document(known, ["doc_id", "__label"], made, lambda c: list(features(c).T)).limit(limit).toPandas()
+    rows = per_document(known, ["doc_id", "__label"], made, lambda c: list(features(c).T))
+    # an id that is repeated gives more rows: then, too, the same ones are taken whatever their order
+    rows = rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(limit).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return rows[list(FEATURES)].to_numpy(float), (rows["__label"].to_numpy() > 0).astype(float)

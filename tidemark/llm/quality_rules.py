@@ -39,7 +39,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_
     """The columns ``keep`` of every document with its counts, base_failed, tree_score and kept, each named with ``prefix``.
 
     Null text has no words, so that it fails the base rules; so do empty texts. Repeated rows get
-    equal verdicts. Without enough labels (also for empty tables) the base rules alone decide and tree_score
+    equal verdicts. A very long text is a run of its own. Without enough labels (also for empty tables) the base rules alone decide and tree_score
     is 1. Rows are judged where they are read, without a shuffle.
     """
     model = fit(docs, labels, limit)
@@ -55,6 +55,11 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    prefix = "__quality_"
-    return judge(docs, labels, docs.columns, prefix=prefix).filter(f"{prefix}kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts go, as they have no words; repeated rows stay or go together.
+    """
+    prefix = "quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return judge(docs, labels, docs.columns, prefix=prefix).filter(f"`{prefix}kept`").select(*docs.columns)
