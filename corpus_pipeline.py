@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; every document stays. One document of each group of copies tells what is spread."""
     single = settle(neardup.deduplicate(docs, COPIES).select("text", "source", "doc_id"))
-    return line_dedup.remove_boilerplate(docs, among=single, min_words=1).select(*docs.columns)
+    return line_dedup.remove_boilerplate(docs, among=single)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
