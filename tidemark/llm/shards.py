@@ -13,15 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fits_broadcast, settle, spread_join
 
 SHARDS = 16
 BITS = 4
 DIMENSIONS = ("lang", "source", "size")
 #: Pieces that all cells are split into at most, besides one piece a cell; a piece is placed by one task.
 PIECES = 8192
-#: Characters of a name, after what all names share, that tell its place in the order of names.
-NAME_CHARS = 6
+#: Ranges that the distinct names of a dimension are ordered in.
+NAME_RANGES = 64
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -52,16 +52,26 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(places, F.lit(0), lambda h, p: h * 2 + one(p)).cast("long")
 
 
-def _shared_start(low: str | None, high: str | None) -> int:
-    """Characters that the least and the greatest name, and so all names, begin with."""
-    pairs = zip(low or "", high or "")
-    return next((k for k, (a, b) in enumerate(pairs) if a != b), min(len(low or ""), len(high or "")))
+def _name_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
+    """Each name of a column, whole, and its cell: names in their order, cut into runs of nearly equal numbers of rows.
+
+    Ranges of names are numbered apart and offset by the rows of the ranges before, so that no task orders all names.
+    """
+    counted = coded.groupBy(name).agg(F.count("*").alias("n"))
+    ranged = settle(counted.repartitionByRange(NAME_RANGES, name).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over NAME_RANGES rows
+    offsets = sums.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("range").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return ranged.join(F.broadcast(offsets), "range").select(name, F.floor(place * cells / F.col("total")).cast("int").alias(f"{name}_cell"))
 
 
-def _name_code(name: Column, skip: int) -> Column:
-    """A number that orders names by their first characters after the shared ones; null comes first."""
-    codes = (F.least(F.ascii(F.substring(name, skip + 1 + k, 1)), F.lit(1023)).cast("double") * 1024.0 ** (NAME_CHARS - 1 - k) for k in range(NAME_CHARS))
-    return F.coalesce(reduce(lambda a, b: a + b, codes), F.lit(-1.0))
+def _with_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
+    found = settle(_name_cells(coded, name, cells))
+    if fits_broadcast(found.count()):
+        return coded.join(F.broadcast(found), name)
+    return spread_join(coded, found, [name], "spread")
 
 
 def _cut(value: str, edges: list[float]) -> Column:
@@ -75,35 +85,33 @@ def place(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     The law is ``bytes``: with ``size`` the UTF-8 bytes of the text plus one (null: one), a row
     goes to the shard in whose sixteenth of all bytes it begins, so that no two shards differ by
     more than the two largest rows. ``slot`` counts the rows of a shard along the curve.
-    Rows of one cell are ordered by a hash of doc_id, then by doc_id, size and text_crc32; what is
-    equal in all four is interchangeable, and equal texts of one language and source are in one cell. Null
-    languages and sources come before all others, a null doc_id before other ids of its
-    hash. An empty table gives an empty result.
+    Languages and sources are ordered by their whole names. Rows of one cell are ordered by a hash of doc_id, text_crc32 and size,
+    then by these; what is equal in all is interchangeable, and equal texts of one language and source
+    are in one cell, but may lie on both sides of a border between shards. Null and empty
+    languages and sources come before all others. An empty table gives an empty result; other columns are not read.
 
-    Passes: one over the documents that keeps only numbers, and three over those numbers. What goes
-    to one task or is broadcast has at most 2**(3*bits) cells or that and PIECES rows more.
+    Passes: one over the documents that keeps only numbers and names, and some over those. What goes
+    to one task or is broadcast has at most 2**(3*bits) cells or that and PIECES rows more, or NAME_RANGES rows, or names of a checked number.
     """
-    named = docs.select(
-        F.col("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-    )
-    ends = docs.agg(*(f(F.col(c).cast("string")).alias(f"{c}_{k}") for c in ("lang", "source") for k, f in enumerate((F.min, F.max)))).first()
-    skip = {c: _shared_start(ends[f"{c}_0"], ends[f"{c}_1"]) for c in ("lang", "source")}
-    coded = settle(named.select("doc_id", "size", "text_crc32", *(_name_code(F.col(c), skip[c]).alias(f"{c}_code") for c in skip), F.log2("size").alias("size_code")))
+    text_crc32 = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    # rows of one id, also of none, are told apart by their text
+    coded = settle(docs.select("doc_id", size.alias("size"), text_crc32.alias("text_crc32"), *names, F.xxhash64("doc_id", text_crc32, size).alias("spread")))
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    total = coded.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *(F.percentile_approx(f"{d}_code", shares, 10_000).alias(d) for d in DIMENSIONS)).first()
-    cells = [_cut(f"{d}_code", total[d] or []).alias(f"{d}_cell") for d in DIMENSIONS]
-    numbers = coded.select("doc_id", "size", "text_crc32", *cells)
+    total = coded.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.percentile_approx("size", shares, 10_000).alias("size")).first()
+    numbers = coded
+    for name in ("lang", "source"):
+        numbers = _with_cells(numbers, name, 1 << bits)
+    numbers = numbers.select("doc_id", "size", "text_crc32", "spread", "lang_cell", "source_cell", _cut("size", total["size"] or []).alias("size_cell"))
     key = [f"{d}_cell" for d in DIMENSIONS]
 
     most = max(1, -(-total["n"] // PIECES))
     per_cell = numbers.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("long").alias("parts"))
     curve = per_cell.select(*key, "parts", hilbert_index([F.col(k) for k in key], bits).alias("curve"))
-    spread = F.xxhash64("doc_id")
     # within a cell, pieces are ranges of the hash, so that they follow one another in its order
-    part = F.least(F.floor((spread.cast("double") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1).cast("long")
-    rows = numbers.join(F.broadcast(curve), key).select("doc_id", "size", "text_crc32", "curve", part.alias("part"), spread.alias("spread"))
+    part = F.least(F.floor((F.col("spread").cast("double") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1).cast("long")
+    rows = numbers.join(F.broadcast(curve), key).select("doc_id", "size", "text_crc32", "curve", part.alias("part"), "spread")
     rows = settle(rows)
 
     before = Window.orderBy("curve", "part").rowsBetween(Window.unboundedPreceding, -1)  # over pieces, not over rows
