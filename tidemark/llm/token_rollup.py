@@ -3,7 +3,8 @@
 A batch of inserts, deletes and revised counts is reduced to additive totals by source,
 language and tokenizer version and committed under its id. A commit is one rename of a
 finished folder, so that it takes place once or not at all; a batch that is sent again changes
-nothing. The totals of any moment are the sum of the committed batches.
+nothing. The totals of any moment are the sum of the committed batches. Renames must be atomic, as
+they are in HDFS and in local file systems; an object store without them needs a committer of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +71,11 @@ def commit(spark: SparkSession, root: str, batch: str, deltas: DataFrame) -> boo
     return bool(done)
 
 
-def totals(spark: SparkSession, root: str) -> DataFrame:
-    """source, lang, tokenizer, n_docs and n_tokens of all committed batches; keys without documents or tokens are left out."""
+def totals(spark: SparkSession, root: str, among: list[str] | None = None) -> DataFrame:
+    """source, lang, tokenizer, n_docs and n_tokens of all committed batches, or of some; keys without documents or tokens are left out."""
     path, files = _file_system(spark, root)
-    batches = [s.getPath().toString() for s in files.listStatus(path) if s.getPath().getName().startswith("batch_id=")] if files.exists(path) else []
+    batches = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("batch_id=")] if files.exists(path) else []
+    batches = [b.toString() for b in batches if among is None or b.getName().removeprefix("batch_id=") in among]
     found = spark.read.schema(_TOTALS).parquet(*batches) if batches else spark.createDataFrame([], _TOTALS)
     summed = found.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return summed.filter("n_docs <> 0 or n_tokens <> 0")
@@ -114,25 +117,52 @@ def deltas(counted: DataFrame, op: str, versions: list[str]) -> DataFrame:
     return rows.select(F.lit(op).alias("op"), "source", "lang", F.col("v.tokenizer").alias("tokenizer"), (count if op != DELETE else none).alias("n_tokens"), (count if op == DELETE else none).alias("old_tokens"))
 
 
+def revise(counted: DataFrame, version: str, new: str, old: str) -> DataFrame:
+    """A batch that revises the counts stored under ``version`` from the column ``old`` to the column ``new``."""
+    return counted.select(F.lit(REVISE).alias("op"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.col(new).alias("n_tokens"), F.col(old).alias("old_tokens"))
+
+
 def upgrade(counted: DataFrame, old: str, new: str) -> DataFrame:
-    """A batch that revises the counts stored under version ``old`` to what ``new`` counts."""
-    return counted.select(F.lit(REVISE).alias("op"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(old).alias("tokenizer"), F.col(new).alias("n_tokens"), F.col(old).alias("old_tokens"))
+    """A batch that moves documents from one tokenizer version to another: out under the old name, in under the new one."""
+    return deltas(counted, DELETE, [old]).unionByName(deltas(counted, INSERT, [new]))
+
+
+#: Bytes that a token is taken to have before it is counted.
+GUESSED_BYTES = 4
 
 
 def maintain(spark: SparkSession, docs: DataFrame, root: str, rank_paths: dict[str, str], pattern: str) -> DataFrame:
-    """Totals after four batches under ``root``: all documents in, all that copy an earlier document out, and both again.
+    """after, source, lang, tokenizer, n_docs and n_tokens: the totals after each of four batches under ``root``.
+
+    ``load`` brings in all documents with guessed counts, a token for each GUESSED_BYTES bytes begun, under
+    the first tokenizer; ``count`` revises the guesses to true counts; ``copies`` takes out what copies an earlier document;
+    ``upgrade`` moves what is left to the second tokenizer. All batches are then sent again, which changes nothing.
+    A copy has the text of a document that comes before it by doc_id, source and lang, nulls first; of rows equal in
+    all of these one stays, whatever their order. Null and empty texts are copies of each other and count 0 tokens. An
+    empty table gives no rows; very long texts are counted whole.
 
-    A copy has the text of a document with a smaller doc_id; of rows equal in text and doc_id one stays. Rows
-    with a null doc_id come first, rows with null or empty text are copies of each other. Batches sent again
-    change nothing, which is why the result is that of two.
+    Copies go as all rows out and the first of each text in: sums over all rows and one minimum a text, so that a text
+    that many rows share is gathered nowhere.
     """
-    keyed = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("content"), F.monotonically_increasing_id().alias("row"))
+    if len(rank_paths) != 2:
+        raise ValueError("two tokenizer versions are needed")
+    old, new = rank_paths
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    guess = F.ceil(F.octet_length(text) / GUESSED_BYTES).alias("guess")
+    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), guess, "text", F.sha2(text, 256).alias("content"))
     counted = settle(count_tokens(keyed, rank_paths, pattern))
-    versions = list(rank_paths)
-    # the first row of each content, by aggregation: a content that many rows share is not gathered
-    first = counted.groupBy("content").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("content", F.col("first.row").alias("first_row"))
-    copies = counted.join(first, "content").filter("row <> first_row")
+    order = ("doc_id", "source", "lang", old, new)
+    firsts = settle(counted.groupBy("content").agg(F.min(F.struct(*order)).alias("first")).select(*(F.col(f"first.{c}").alias(c) for c in order)))
+    guessed = counted.withColumn(old, F.col("guess"))
+    batches = {
+        "load": deltas(guessed, INSERT, [old]),
+        "count": revise(counted, old, old, "guess"),
+        "copies": deltas(counted, DELETE, [old]).unionByName(deltas(firsts, INSERT, [old])),
+        "upgrade": upgrade(firsts, old, new),
+    }
     for _ in range(2):
-        commit(spark, root, "load", deltas(counted, INSERT, versions))
-        commit(spark, root, "copies", deltas(copies, DELETE, versions))
-    return totals(spark, root)
+        for name, batch in batches.items():
+            commit(spark, root, name, batch)
+    names = list(batches)
+    after = [totals(spark, root, names[: k + 1]).select(F.lit(name).alias("after"), "*") for k, name in enumerate(names)]
+    return reduce(DataFrame.unionByName, after)
