@@ -39,6 +39,34 @@ def test_shards(request, name):
     assert all(abs(size[k] - sum(size.values()) / 16) <= most for k in range(16))
 
 
+def test_names_that_differ_late_have_cells_of_their_own(spark):
+    # names share all but their last characters; a filter on one reads few shards
+    rows = [(k, f"text {k} " + "x" * (k % 50), f"https://host.example.org/a/long/path/site{k % 32:02d}", ("de", "en")[k // 32 % 2]) for k in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    placed = {r["doc_id"]: r["shard"] for r in shards.place(docs).collect()}
+    def read(column):
+        by = defaultdict(set)
+        for r in rows:
+            by[r[column]].add(placed[r[0]])
+        return sum(map(len, by.values())) / len(by)
+    assert len(set(placed.values())) == 16 and read(2) <= 8 and read(3) <= 12
+
+
+def test_shards_equal_a_plain_walk_along_the_curve(spark):
+    rows = [(k, "y" * (k * 37 % 61), f"s{k % 9}", ("de", "en", "fr", None)[k % 4]) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sorted(shards.place(docs, 4).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in got] == sorted(r["curve"] for r in got)
+    begin, whole = 0, sum(r["size"] for r in got)
+    for r in got:
+        assert r["shard"] == min(begin * 4 // whole, 3)
+        begin += r["size"]
+    cells = defaultdict(set)
+    for r in got:
+        cells[r["curve"]].add((rows[r["doc_id"]][2], rows[r["doc_id"]][3]))
+    assert all(len(c) == 1 for c in cells.values())
+
+
 def test_shards_of_nothing(none):
     assert shards.place(none).count() == 0
 
@@ -120,26 +148,33 @@ def test_rollup_batches(spark, tmp_path, odd):
     assert not [x for x in os.listdir(root) if x.startswith("batch_id=four")]
 
 
-def test_rollup_query_equals_plain_counts(spark):
+@pytest.mark.parametrize("name", ["documents", "odd", "none"])
+def test_rollups_equal_plain_counts(request, spark, tmp_path, name):
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
-    want = defaultdict(lambda: [0, 0])
-    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
-        coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        seen = set()
-        for r in sorted(rows, key=lambda r: r["doc_id"]):
-            if (r["text"] or "") not in seen:
-                seen.add(r["text"] or "")
-                total = want[r["source"], r["lang"], name]
-                total[0] += 1
-                total[1] += len(coder.encode_ordinary(r["text"] or ""))
-    got = __spark_entry__.queries()["op5_token_rollups"](spark, SF_DIR).collect()
-    assert {tuple(r)[:3]: list(tuple(r)[3:]) for r in got} == dict(want)
+    docs = request.getfixturevalue(name)
+    versions = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    count = {}
+    for v, path in versions.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        coder = tiktoken.Encoding(v, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        count[v] = lambda t, coder=coder: len(coder.encode_ordinary(t))
+    old, new = versions
+    rows = [(r["text"] or "", r["doc_id"], r["source"], r["lang"]) for r in docs.collect()]
+    firsts = {}
+    for r in sorted(rows, key=lambda r: [(x is not None, x) for x in r[1:]]):
+        firsts.setdefault(r[0], r)
+    want = {}
+    for after, own, version, counted in (("load", rows, old, lambda t: -(-len(t.encode()) // 4)), ("count", rows, old, count[old]), ("copies", firsts.values(), old, count[old]), ("upgrade", firsts.values(), new, count[new])):
+        for text, _, source, lang in own:
+            total = want.setdefault((after, source, lang, version), [0, 0])
+            total[0] += 1
+            total[1] += counted(text)
+    got = token_rollup.maintain(spark, docs.repartition(5), str(tmp_path / "rollup"), versions, public_tokenizers.PATTERN).collect()
+    assert {tuple(r)[:4]: list(tuple(r)[4:]) for r in got} == want
 
 
 def plain_links(rows, size, num, den):

@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, then a random forest that removes the false ones.
 
 The forest sees the candidate's length, character transitions and dictionary coverage, the
-path of its document and the words beside it. It is trained on labelled findings: those the
+path of its document and the words beside it. The dictionary is that of the corpus: the commonest words that
+stand on several sites. The forest is trained on labelled findings: those the
 caller has, or a seeded set made from public formats of keys and of what is mistaken for them.
 """
 
@@ -13,8 +14,10 @@ import re
 import string
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import merge
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,8 @@ from .common import small_batches
 
 # Public formats of credentials, and words that stand beside secrets or beside what isn't one.
 FORMATS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    # without an END line, the key is what follows in whole lines of base64 or in runs that no word has the length of
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+(?:[A-Za-z0-9+/=]{40,}|[A-Za-z0-9+/=]{16,}(?=[ \t]*\r?(?:\n|\Z))))*)",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
@@ -59,30 +63,70 @@ _FORMAT = re.compile("|".join(f"(?P<{name}>{form})" for name, form in FORMATS.it
 _ASSIGNED, _BARE, _WORD = re.compile(ASSIGNED), re.compile(BARE), re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 _SAME = re.compile(r"(.)\1*", re.S)
 _HEX = re.compile(r"[0-9a-fA-F-]+")
-_KNOWN = re.compile("|".join(sorted((re.escape(w) for w in DICTIONARY if len(w) > 3), key=len, reverse=True)))
+#: Words of the corpus that the dictionary holds at most, their least length, and the sites that a word must stand on.
+DICTIONARY_WORDS, DICTIONARY_LETTERS, DICTIONARY_SITES = 20_000, 4, 3
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of every candidate, in order, none overlapping an earlier kind's: formats, assignments, bare tokens."""
-    found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+class Dictionary:
+    """Finds words inside a token: from left to right the longest at each place, none overlapping another."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = sorted(set(words))
+        self._machine = None
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "_machine": None}
+
+    def coverage(self, own: str) -> float:
+        """Share of the characters that lie in words."""
+        if self._machine is None:
+            self._machine = ahocorasick.Automaton()
+            for w in self.words:
+                self._machine.add_word(w, len(w))
+            self._machine.make_automaton()
+        return sum(n for _, n in self._machine.iter_long(own.lower())) / max(1, len(own))
+
+
+PLAIN = Dictionary(w for w in DICTIONARY if len(w) >= DICTIONARY_LETTERS)
+
 
-    def add(start: int, end: int, kind: str) -> None:
-        if not any(start < z and a < end for a, z in taken):
-            taken.append((start, end))
-            found.append((start, end, kind))
+def dictionary(docs: DataFrame, site: str = "source") -> Dictionary:
+    """The built-in words and the commonest of the corpus: runs of letters between other characters, counted over all texts.
 
-    for m in _FORMAT.finditer(text):
-        add(m.start(), m.end(), m.lastgroup)
-    for m in _ASSIGNED.finditer(text):
-        add(m.start(1), m.start(1) + len(m[1].rstrip(".)]}")), "assigned")
-    for m in _BARE.finditer(text):
-        if any(c.isdigit() for c in m.group()):
-            add(m.start(), m.end(), "bare")
-    return sorted(found)
+    A word must stand on DICTIONARY_SITES sites, or on all if there are fewer, so that one page that many rows copy brings in none of its own. Equally
+    common words go by name. Null and empty texts have no words.
+    """
+    cut = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word"))
+    words = cut.filter(F.col("word").rlike(f"^[a-z]{{{DICTIONARY_LETTERS},20}}$"))
+    per_site = words.groupBy("word", "site").agg(F.count("*").alias("n"))
+    common = per_site.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("sites"))
+    sites = F.lit(min(DICTIONARY_SITES, docs.select(site).distinct().limit(DICTIONARY_SITES).count()))
+    top = common.filter(F.col("sites") >= sites).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
+    return Dictionary([*PLAIN.words, *(r["word"] for r in top.select("word").collect())])
+
+
+def _free(found: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans found that overlap none that is taken; both lists are in order."""
+    out, k = [], 0
+    for span in found:
+        while k < len(taken) and taken[k][1] <= span[0]:
+            k += 1
+        if k == len(taken) or taken[k][0] >= span[1]:
+            out.append(span)
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Start, end and kind of every candidate, in order, none overlapping an earlier kind's: formats, assignments, bare tokens."""
+    taken = [(m.start(), m.end(), m.lastgroup) for m in _FORMAT.finditer(text)]
+    assigned = [(m.start(1), m.start(1) + len(m[1].rstrip(".)]}")), "assigned") for m in _ASSIGNED.finditer(text)]
+    bare = [(m.start(), m.end(), "bare") for m in _BARE.finditer(text) if any(c.isdigit() for c in m.group())]
+    for found in (assigned, bare):
+        taken = list(merge(taken, _free(found, taken)))
+    return taken
 
 
-def describe(text: str, start: int, end: int, kind: str, path: str | None) -> list[float]:
+def describe(text: str, start: int, end: int, kind: str, path: str | None, known: Dictionary = PLAIN) -> list[float]:
     """FEATURES of one candidate."""
     own = text[start:end]
     n = max(1, len(own))
@@ -94,7 +138,7 @@ def describe(text: str, start: int, end: int, kind: str, path: str | None) -> li
     return [
         float(n), float(-(shares * np.log2(shares)).sum()), sum(a != b for a, b in zip(classes, classes[1:])) / n,
         classes.count("d") / n, classes.count("u") / n, float(bool(_HEX.fullmatch(own))), len(shares) / n,
-        sum(len(m.group()) for m in _KNOWN.finditer(own.lower())) / n, float(kind == "assigned"), float(kind in FORMATS), float(text[start - 1 : start] in ("'", '"') if start else 0),
+        known.coverage(own), float(kind == "assigned"), float(kind in FORMATS), float(text[start - 1 : start] in ("'", '"') if start else 0),
         float(any(w in SECRET_WORDS for w in beside)), float(any(w in OTHER_WORDS for w in beside)),
         float(any(w in where for w in SAFE_PATHS)), float(any(w in where for w in RISKY_PATHS)), float(own.count("-") + own.count("_")), max((len(m.group()) for m in _SAME.finditer(own)), default=0) / n,
     ]
@@ -152,24 +196,31 @@ def made_findings(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, bool
     return out
 
 
-def train(findings: list[tuple[str, str, bool]]) -> boosting.Trees:
+def train(findings: list[tuple[str, str, bool]], known: Dictionary = PLAIN) -> boosting.Trees:
     """A forest over the candidates of labelled findings; a finding without a candidate teaches nothing."""
     rows, labels = [], []
     for text, path, label in findings:
         for start, end, kind in candidates(text)[:1]:
-            rows.append(describe(text, start, end, kind, path))
+            rows.append(describe(text, start, end, kind, path, known))
             labels.append(float(label))
     return boosting.forest(np.array(rows), np.array(labels))
 
 
-def _judged(text: str, path: str | None, model: boosting.Trees) -> list[tuple[int, int, str, float]]:
+def judged(text: str, path: str | None, model: boosting.Trees, known: Dictionary = PLAIN) -> list[tuple[int, int, str, float]]:
+    """Start, end, kind and score of every candidate of a text."""
     found = candidates(text)
     if not found:
         return []
-    votes = model.vote(np.array([describe(text, a, z, kind, path) for a, z, kind in found]))
+    votes = model.vote(np.array([describe(text, a, z, kind, path, known) for a, z, kind in found]))
     return [(a, z, kind, float(v)) for (a, z, kind), v in zip(found, votes)]
 
 
+def _learned(docs: DataFrame, path: str, findings: list[tuple[str, str, bool]] | None):
+    """The forest and the dictionary, some thousand nodes and DICTIONARY_WORDS words, for all tasks."""
+    known = dictionary(docs, path)
+    return docs.sparkSession.sparkContext.broadcast((train(findings or made_findings(), known), known))
+
+
 _FOUND = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()),
     T.StructField("sha256", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("is_secret", T.BooleanType()),
@@ -180,16 +231,17 @@ def scan(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, b
     """doc_id, start, length (characters), kind, SHA-256 of the value, score and is_secret of every candidate in every whole text.
 
     Null and empty texts have no candidates; a null path tells nothing; repeated rows give repeated
-    findings; a null doc_id stays null. Texts are scanned where they are read, without a shuffle.
+    findings; a null doc_id stays null; an empty table gives no rows. Of overlapping candidates the first kind counts (formats,
+    assignments, bare tokens). Texts are scanned whole where they are read, in time that grows with their length.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(findings or made_findings()))  # some thousand nodes
+    learned = _learned(docs, path, findings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, _, _ in textkit.runs(batch.column(2)):
                 rows = []
                 for doc_id, where, text in zip(*(c.slice(first, stop - first).to_pylist() for c in batch.columns)):
-                    for a, z, kind, v in _judged(text or "", where, model.value):
+                    for a, z, kind, v in judged(text or "", where, *learned.value):
                         rows.append((doc_id, a, z - a, kind, hashlib.sha256(text[a:z].encode("utf-8", "surrogatepass")).hexdigest(), v, v >= SECRET_FROM))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()))], names=_FOUND.names)
@@ -198,14 +250,14 @@ def scan(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, b
 
 
 def redact(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, bool]] | None = None) -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced by its kind in angle brackets; all else as it was."""
-    model = docs.sparkSession.sparkContext.broadcast(train(findings or made_findings()))
+    """``docs`` with every secret of ``text`` replaced by its kind in angle brackets; all else as it was, as in scan()."""
+    learned = _learned(docs, path, findings)
     names = docs.columns
     text_at, path_at = names.index("text"), names.index(path)
 
     def clean(text: str | None, where: str | None) -> str | None:
         out, last = [], 0
-        for a, z, kind, v in _judged(text or "", where, model.value):
+        for a, z, kind, v in judged(text or "", where, *learned.value):
             if v >= SECRET_FROM:
                 out += [text[last:a], f"<{kind}>"]
                 last = z
