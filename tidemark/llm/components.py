@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, spread_join
+from .common import discard, settle
 
 #: Times that a round replaces each parent by the parent's parent.
 JUMPS = 3
@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes its smallest neighbour, if smaller than itself, as parent;
     parents are followed a few steps and the edges are rewritten between the nodes reached.
     The rounds end when no edge between different nodes is left. By node only a minimum is
-    gathered, and the joins deal the rows of a parent that many nodes have over several tasks. Loops and
-    repeated edges are allowed; rows with a null end are ignored. Tables of past rounds are deleted.
+    gathered. The joins are of pairs of numbers: where the parents are small they are broadcast, and else adaptive
+    execution splits the partition of a parent that very many nodes have. Loops and repeated edges are allowed; rows with a null end are ignored. Tables of past rounds are deleted.
     """
     left = settle(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
@@ -29,13 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
         parent = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")))
         for _ in range(JUMPS):
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            jumped = settle(spread_join(parent, up, ["p"], "v").select("v", F.col("pp").alias("p")))
+            jumped = settle(parent.join(up, "p").select("v", F.col("pp").alias("p")))
             discard(parent)
             parent = jumped
-        higher = spread_join(roots, parent.withColumnRenamed("v", "root"), ["root"], "node", "left").select("node", F.coalesce("p", "root").alias("root"))
+        higher = roots.join(parent.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         rewritten = open_
-        for end, other in (("a", "b"), ("b", "a_up")):
-            rewritten = spread_join(rewritten, parent.select(F.col("v").alias(end), F.col("p").alias(f"{end}_up")), [end], other)
+        for end in ("a", "b"):
+            rewritten = rewritten.join(parent.select(F.col("v").alias(end), F.col("p").alias(f"{end}_up")), end)
         rewritten = rewritten.select(F.greatest("a_up", "b_up").alias("a"), F.least("a_up", "b_up").alias("b")).filter("a <> b").distinct()
         new_roots, new_left = settle(higher), settle(rewritten)
         discard(parent, roots, left)
