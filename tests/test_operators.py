@@ -106,7 +106,7 @@ def test_first_batch_of_the_policy_space(spark):
 
 
 def test_greatest_other(spark):
-    out = frame(spark, [(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (2, 1, 4.0)], "e int, arm int, u double").select("e", "arm", bandit.greatest_other("u", "arm", ["e"]).alias("o"))
+    out = bandit.greatest_other(frame(spark, [(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (2, 1, 4.0)], "e int, arm int, u double"), "u", "arm", ["e"], "o")
     assert {(r["e"], r["arm"]): r["o"] for r in out.collect()} == {(1, 1): 9.0, (1, 2): 9.0, (1, 3): 9.0, (2, 1): None}
 
 
@@ -157,3 +157,52 @@ def test_discharge_slope_curve_equals_a_plain_version(spark):
     df = frame(spark, [(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, q))], "u int, i int, v double, q double")
     out = curves.discharge_slope_curve(df, ["u"], "i", "v", "q", points=200).orderBy("grid_idx").toPandas()
     assert np.allclose(out["dqdv"], want, atol=1e-9)
+
+
+def test_spline_equals_a_dense_solve():
+    rng = np.random.default_rng(7)
+    for n in (3, 4, 5, 40):
+        x, y, stiffness = np.cumsum(rng.random(n) + 0.05), rng.normal(size=n), 0.3
+        h = np.diff(x)
+        q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+        for k in range(n - 2):
+            q[k : k + 3, k] = 1 / h[k], -1 / h[k] - 1 / h[k + 1], 1 / h[k + 1]
+            r[k, k] = (h[k] + h[k + 1]) / 3
+            if k:
+                r[k, k - 1] = r[k - 1, k] = h[k] / 6
+        level = y - stiffness * q @ np.linalg.solve(r + stiffness * q.T @ q, q.T @ y)
+        assert np.allclose(curves._spline(x, y, x, stiffness), level)
+    assert (curves._spline(np.array([1.0, 2.0]), np.array([1.0, 2.0]), np.array([1.5]), 1.0) == 0).all()
+
+
+def test_charge_slope_falling_at_a_standing_voltage_is_carried(spark):
+    rows = [(1, i, v, q) for i, (v, q) in enumerate([(3.0, 0.0), (3.1, 0.2), (3.1, 0.1), (3.1, 0.3), (3.1, 0.3), (3.5, 0.4)])]
+    df = frame(spark, rows, "u int, i int, v double, q double").withColumn("s", series.slope("q", "v", ["u"], ["i"]))
+    out = df.withColumn("c", series.clean_charge("s", "v", ["u"], ["i"])).orderBy("i").collect()
+    assert [r["s"] for r in out[2:5]] == [float("-inf"), float("inf"), None]
+    assert [round(r["c"], 6) for r in out] == [0, 2, 2, 0, 0, 0]
+
+
+def test_rankings_and_kernels_of_unbounded_length_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_RANKED", 2)
+    monkeypatch.setattr(bandit, "MOST_ARMS", 2)
+    df = frame(spark, [(k, k, k, [1.0]) for k in range(3)], "i int, x int, y int, e array<double>")
+    with pytest.raises(ValueError):
+        evaluate.kendall(df, "i", "x", "y")
+    with pytest.raises(ValueError):
+        bandit.kernel_pairs(df, "i", "e", 1.0)
+
+
+def test_choice_equals_plain_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lower = rng.integers(0, 6, 9).astype(float)
+        upper = lower + rng.integers(1, 6, 9)
+        free, want = list(range(9)), []
+        for _ in range(7):
+            gap = {k: max(upper[j] for j in range(9) if j != k) - lower[k] for k in free}
+            best = min(free, key=lambda k: (gap[k], k))
+            rival = min((k for k in free if k != best), key=lambda k: (-upper[k], k))
+            want.append(best if upper[best] - lower[best] >= upper[rival] - lower[rival] else rival)
+            free.remove(want[-1])
+        assert bandit.choose(upper, lower, 7)[0] == want

@@ -75,6 +75,12 @@ def two_step_file(first: Column, percent: Column, second: Column) -> Column:
     return F.replace(stem, F.lit("."), F.lit("_"))
 
 
+def three_step_file(first: Column, switch: Column, second: Column, switch_again: Column, third: Column) -> Column:
+    """Name of a three-step protocol: rates with C and switch percents with per, underscores for points."""
+    parts = [F.concat(c.cast("string"), F.lit(mark)) for c, mark in ((first, "C"), (switch, "per"), (second, "C"), (switch_again, "per"), (third, "C"))]
+    return F.replace(F.concat_ws("_", *parts), F.lit("."), F.lit("_"))
+
+
 def life_label(rates: list[Column], life: Column) -> Column:
     """``4.8C-5.2C-5.2C-4.160C: 1185``."""
     return F.format_string("%sC-%sC-%sC-%.3fC: %.0f", *rates, life)

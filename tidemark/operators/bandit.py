@@ -10,10 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Arms of one experiment, at most, of which every two are compared.
+MOST_ARMS = 5000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Width of the kernel, noise, prior deviation and mean, first and next width of the bounds, picks a round."""
@@ -83,6 +87,21 @@ def choose(upper: np.ndarray, lower: np.ndarray, picks: int) -> tuple[list[int],
     return out, proposal
 
 
+def choose_batches(bounds: DataFrame, experiment: str, picks: int) -> DataFrame:
+    """experiment, arm_id and place of the next batch of every experiment; ``bounds`` has experiment, arm_id, upper and lower.
+
+    Arms are taken in order of arm_id where bounds are equal. An experiment has some hundred arms; experiments run side by side.
+    """
+    kind = dict(bounds.dtypes)[experiment]
+
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("arm_id")
+        picked, _ = choose(own["upper"].to_numpy(float), own["lower"].to_numpy(float), picks)
+        return pd.DataFrame({experiment: key[0], "arm_id": own["arm_id"].to_numpy()[picked], "place": range(len(picked))})
+
+    return bounds.select(experiment, "arm_id", "upper", "lower").groupBy(experiment).applyInPandas(one, f"`{experiment}` {kind}, arm_id long, place long")
+
+
 def play(arms: np.ndarray, rounds: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> pd.DataFrame:
     """One row an arm after the given rounds of (arms seen, outcomes): bounds, mean, place in the next batch, proposal and best arm."""
     k = kernel(arms, settings.gamma)
@@ -124,15 +143,21 @@ def run_rounds(arms: DataFrame, observed: DataFrame, settings: Settings, experim
 
 
 def kernel_pairs(points: DataFrame, id_: str, vector: str, gamma: float) -> DataFrame:
-    """Kernel value of every two arms, for arm tables of some hundred rows."""
+    """Kernel value of every two arms, for arm tables of MOST_ARMS rows at most, which is checked."""
+    if points.count() > MOST_ARMS:
+        raise ValueError(f"an experiment has more than {MOST_ARMS} arms")
     a = points.select(F.col(id_).alias("i"), F.col(vector).alias("__a"))
     b = points.select(F.col(id_).alias("j"), F.col(vector).alias("__b"))
     square = F.aggregate(F.zip_with("__a", "__b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
     return a.crossJoin(F.broadcast(b)).select("i", "j", F.exp(-gamma * square).alias("k"))
 
 
-def greatest_other(value: str, id_: str, keys: list[str]) -> Column:
-    """The greatest value among the other rows of the key."""
-    top = Window.partitionBy(*keys).orderBy(F.desc(value), id_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, second = F.nth_value(value, 1).over(top), F.nth_value(value, 2).over(top)
-    return F.when(F.first(id_).over(top) == F.col(id_), second).otherwise(first)
+def greatest_other(df: DataFrame, value: str, id_: str, keys: list[str], out: str = "other") -> DataFrame:
+    """``df`` with the greatest value among the other rows of the key, null if there is none.
+
+    The two greatest values of a key come from aggregations, so that no task sorts a key's rows. Ids are numbers.
+    """
+    top = df.groupBy(*keys).agg(F.max(value).alias("__first"), F.max_by(id_, F.struct(F.col(value).alias("v"), (-F.col(id_)).alias("i"))).alias("__best"))
+    second = df.join(top, keys).filter(F.col(id_) != F.col("__best")).groupBy(*keys).agg(F.max(value).alias("__second"))
+    both = df.join(top.join(second, keys, "left"), keys)
+    return both.select(*df.columns, F.when(F.col(id_) == F.col("__best"), F.col("__second")).otherwise(F.col("__first")).alias(out))

@@ -122,26 +122,45 @@ def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, stiffness: float) -> n
     """Natural cubic smoothing spline through rising ``x``, and zeros where it can't be fitted.
 
     Minimises the squared distance from the points plus ``stiffness`` times the integral of the squared second derivative.
+    The second derivatives solve a system of five diagonals, in time proportional to the points.
     """
     n = len(x)
     if n < 3:
         return np.zeros(len(at))
     h = np.diff(x)
-    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-    for k in range(n - 2):
-        q[k : k + 3, k] = 1 / h[k], -1 / h[k] - 1 / h[k + 1], 1 / h[k + 1]
-        r[k, k] = (h[k] + h[k + 1]) / 3
-        if k:
-            r[k, k - 1] = r[k - 1, k] = h[k] / 6
-    bend = np.zeros(n)
-    bend[1:-1] = np.linalg.solve(r + stiffness * q.T @ q, q.T @ y)
-    level = y - stiffness * q @ bend[1:-1]
+    r = 1 / h
+    middle = -(r[:-1] + r[1:])
+    main = (h[:-1] + h[1:]) / 3 + stiffness * (r[:-1] ** 2 + middle**2 + r[1:] ** 2)
+    next_ = h[1:-1] / 6 + stiffness * (middle[:-1] * r[1:-1] + r[1:-1] * middle[1:])
+    far = stiffness * r[1:-2] * r[2:-1]
+    inner = _five_diagonals(main, next_, far, np.diff(np.diff(y) * r))
+    bend = np.concatenate([[0.0], inner, [0.0]])
+    pull = np.zeros(n)
+    pull[:-2] += r[:-1] * inner
+    pull[1:-1] += middle * inner
+    pull[2:] += r[1:] * inner
+    level = y - stiffness * pull
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
     value = a * level[k] + b * level[k + 1] + ((a**3 - a) * bend[k] + (b**3 - b) * bend[k + 1]) * h[k] ** 2 / 6
     return np.where((at < x[0]) | (at > x[-1]), 0.0, value)
 
 
+def _five_diagonals(main: np.ndarray, next_: np.ndarray, far: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve a symmetric positive system given by its main, next and second next diagonal."""
+    n = len(main)
+    d, one, two, z = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)  # two places of zeros wrap around to the start
+    for i in range(n):
+        d[i] = main[i] - one[i - 1] ** 2 * d[i - 1] - two[i - 2] ** 2 * d[i - 2]
+        one[i] = (next_[i] - two[i - 1] * one[i - 1] * d[i - 1]) / d[i] if i < n - 1 else 0.0
+        two[i] = far[i] / d[i] if i < n - 2 else 0.0
+        z[i] = right[i] - one[i - 1] * z[i - 1] - two[i - 2] * z[i - 2]
+    out = np.zeros(n + 2)
+    for i in range(n - 1, -1, -1):
+        out[i] = z[i] / d[i] - one[i] * out[i + 1] - two[i] * out[i + 2]
+    return out[:n]
+
+
 def spline_resample(df: DataFrame, x: str, ys: list[str], keys: list[str], points: int = GRID_POINTS, first: float = GRID_HIGH, last: float = GRID_LOW, stiffness: float = 1e-6) -> DataFrame:
     """Each ``y`` of every key as a smoothing spline on the grid; keys that can't be fitted get zeros. A key is one curve of bounded length."""
     at = np.linspace(first, last, points)
@@ -165,8 +184,7 @@ def lattice(spark: SparkSession, steps: int = 30) -> DataFrame:
 def farthest_points(vectors: DataFrame, id_: str, vector: str, start: np.ndarray, picks: int) -> DataFrame:
     """Greedy choice of ``picks`` ids, each the farthest from ``start`` and all chosen before; ties take the smallest id.
 
-    One distributed pass a pick: every row's distance to the nearest chosen point is a column
-    expression over the points so far, of which there are no more than ``picks``.
+    The table is read once. Every row keeps its distance to the nearest chosen point, which each pick lowers.
     """
     spark = vectors.sparkSession
 
@@ -174,14 +192,16 @@ def farthest_points(vectors: DataFrame, id_: str, vector: str, start: np.ndarray
         return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, point)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
     chosen: list[tuple[int, int, float]] = []
-    points = [[float(v) for v in start]]
+    left = vectors.select(id_, vector, square([float(v) for v in start]).alias("d")).persist()
     for k in range(picks):
-        free = vectors.filter(~F.col(id_).isin([c[1] for c in chosen])) if chosen else vectors
-        distance = F.least(*map(square, points)) if len(points) > 1 else square(points[0])
-        top = free.select(id_, vector, distance.alias("d")).orderBy(F.desc("d"), id_).first()
+        top = left.orderBy(F.desc("d"), id_).first()
         if top is None:
             break
         chosen.append((k, top[id_], float(top["d"])))
-        points.append([float(v) for v in top[vector]])
+        if k < picks - 1:
+            nearer = left.filter(F.col(id_) != top[id_]).select(id_, vector, F.least("d", square([float(v) for v in top[vector]])).alias("d")).persist()
+            nearer.count()
+            left.unpersist()
+            left = nearer
+    left.unpersist()
     return spark.createDataFrame(chosen, f"pick int, {id_} long, distance double")
-

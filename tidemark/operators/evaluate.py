@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.96
+#: Ranges that values are ranked in, and rows of a ranking that may be compared two by two.
+RANGES, MOST_RANKED = 64, 20_000
 
 
 def long_replicates(wide: DataFrame, keys: list[str], columns: list[str], name: str = "replicate", value: str = "value") -> DataFrame:
@@ -52,15 +54,25 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def rank_of_value(values: DataFrame, value: str) -> DataFrame:
-    """Each distinct value and its place, from 0, in descending order of all rows; equal values have the first place."""
+    """Each distinct value and its place, from 0, in descending order of all rows; equal values have the first place, null the last.
+
+    Ranges of values are ordered apart and offset by the rows of the ranges above, so that no task orders all values.
+    """
     counted = values.groupBy(value).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select(value, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("place"))
+    edges = counted.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    at = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
+    ranged = counted.withColumn("__range", at)
+    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    offsets = ranged.groupBy("__range").agg(F.sum("__n").alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(offsets), "__range").select(value, (F.col("__offset") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("place"))
 
 
 def kendall(pairs: DataFrame, id_: str, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """Kendall's tau-b of each key. Every two rows of a key are compared once: for rankings of bounded length."""
+    """Kendall's tau-b of each key. Every two rows of a key are compared once: for rankings of MOST_RANKED rows at most, which is checked."""
     keys = keys or []
+    if (pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MOST_RANKED:
+        raise ValueError(f"a ranking has more than {MOST_RANKED} rows")
     a, b = pairs.select(*keys, F.col(id_).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya")), pairs.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(id_).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     match = F.col("i") < F.col("j")
     for k in keys:
@@ -75,6 +87,16 @@ def top_change(changes: DataFrame, rank: str, change: str, percent: str, tops: t
     return spread.groupBy(*(keys or []), "top").agg(F.avg(F.abs(change)).alias("mean_change"), F.avg(F.abs(percent)).alias("mean_percent"))
 
 
+def square_sum(df: DataFrame, keys: list[str], columns: list[str], out: str = "square_sum") -> DataFrame:
+    """Sum over the rows of each key of the squares of several columns."""
+    return df.groupBy(*keys).agg(F.sum(sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))).alias(out))
+
+
+def shared_range(df: DataFrame, value: str) -> DataFrame:
+    """Each row with the least and greatest value of all rows, as a scale that several tables share."""
+    return df.crossJoin(F.broadcast(df.agg(F.min(value).alias("low"), F.max(value).alias("high"))))  # one row
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Rows in each of ``bins`` equal bins; the last takes its upper edge, what is outside is left out, empty bins have 0."""
     inside = df.filter(F.col(value).between(low, high)).select(F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int").alias("bin"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .curves import cycle_difference
 from .series import along
 
 
@@ -58,7 +60,7 @@ def unit_features(summary: DataFrame, curves: DataFrame, unit: str, k: str, capa
         F.regr_slope(inside(capacity, tail), inside(k, tail)).alias("f6"), F.regr_intercept(inside(capacity, tail), inside(k, tail)).alias("f7"),
     ).filter(F.col("f3").isNotNull())
     pair = curves.filter(F.col(k).isin(early, cutoff))
-    delta = pair.groupBy(unit, grid_idx).agg((F.max(F.when(F.col(k) == cutoff, F.col(q))) - F.max(F.when(F.col(k) == early, F.col(q)))).alias("d"))
+    delta = cycle_difference(pair, k, cutoff, early, q, [unit, grid_idx], "d")
     shape = curve_moments(delta, [unit], grid_idx, "d")
     areas = trapezoid(pair, [unit, k], grid_idx, q, v).groupBy(unit).agg((F.max(F.when(F.col(k) == early, F.col("area"))) - F.max(F.when(F.col(k) == cutoff, F.col("area")))).alias("fall"))
     names = ("least", "mean", "variance", "skew", "first", "sum_size", "sum_square")
@@ -88,6 +90,20 @@ def score(features: DataFrame, unit: str, columns: list[str], model: dict, wides
     ).withColumn("too_wide", F.col("high") - F.col("low") > widest).withColumn("shown", F.when(F.col("too_wide"), -1.0).otherwise(F.col("prediction")))
 
 
+def export(scored: DataFrame, by_rates: bool) -> DataFrame:
+    """Scored cells as a result table: numbers rounded, halves away from zero, in one of two layouts.
+
+    ``scored`` has policy (readable), shown, low, high, life, channel and barcode. Policies of four rates give a column a rate and
+    the policy's numbers first; others keep the policy's name, last, and are meant to be read in its order.
+    """
+    numbers = [F.round(F.col(c)).alias(name) for c, name in (("shown", "Prediction"), ("low", "CI_Lo"), ("high", "CI_Hi"))]
+    about = [F.col("channel").alias("Channel"), text.barcode_number(F.col("barcode")).alias("Barcode"), F.col("life").alias("Lifetime")]
+    if by_rates:
+        rates = [text.step_part(F.col("policy"), k).alias(f"C{k}") for k in range(1, 5)]
+        return scored.select(*rates, *numbers, about[2], about[0], about[1])
+    return scored.select(*about, *numbers, F.col("policy").alias("Policy"))
+
+
 def for_all_units(units: DataFrame, scored: DataFrame, unit: str) -> DataFrame:
     """A row for every unit; those that weren't scored have null."""
     return units.select(unit).distinct().join(scored, unit, "left")

@@ -20,9 +20,11 @@ def whole(keys: list[str]) -> WindowSpec:
 
 def inner_cycles(df: DataFrame, unit: str = "unit", cycle: str = "cycle", number: str = "k") -> DataFrame:
     """Rows of all cycles but the first and the last of each unit, with the kept cycles numbered from 1 in ``number``."""
-    ends = df.withColumn("__low", F.min(cycle).over(whole([unit]))).withColumn("__high", F.max(cycle).over(whole([unit])))
+    cycles = df.select(unit, cycle).distinct()
+    ends = cycles.withColumn("__low", F.min(cycle).over(whole([unit]))).withColumn("__high", F.max(cycle).over(whole([unit])))
     kept = ends.filter((F.col(cycle) > F.col("__low")) & (F.col(cycle) < F.col("__high"))).drop("__low", "__high")
-    return kept.withColumn(number, F.dense_rank().over(along([unit], [cycle])))
+    numbered = kept.withColumn(number, F.row_number().over(along([unit], [cycle])))
+    return df.join(numbered, [unit, cycle]).select(*(c for c in df.columns if c != number), number)
 
 
 def elapsed_minutes(seconds: str, keys: list[str], order: list[str]) -> Column:
@@ -61,6 +63,17 @@ def repair_if_negative_end(df: DataFrame, time: str, keys: list[str], order: lis
     return repair_clock(marked, time, keys, order, F.col(time) < 0, F.col("__last") < 0).drop("__last")
 
 
+def repair_clock_twice(df: DataFrame, time: str, keys: list[str], order: list[str], most: float = 100.0) -> DataFrame:
+    """Repair from the first negative time on, then from the first time over ``most`` on, in keys that have one."""
+    return repair_clock(repair_clock(df, time, keys, order, F.col(time) < 0), time, keys, order, F.col(time) > most)
+
+
+def before_crossing(df: DataFrame, value: str, keys: list[str], order: list[str], limit: float) -> DataFrame:
+    """Rows before the first under ``limit``; all rows of a key that has none."""
+    under = F.max(F.when(F.col(value) < limit, 1).otherwise(0)).over(so_far(keys, order))
+    return df.withColumn("__under", under).filter("__under = 0").drop("__under")
+
+
 def span(df: DataFrame, inside: Column, keys: list[str], order: list[str]) -> DataFrame:
     """Rows from the first to the last that is ``inside``, whatever lies between; without any, the first two rows of the key."""
     numbered = df.withColumn("__n", F.row_number().over(along(keys, order))).withColumn("__in", inside)
@@ -75,9 +88,11 @@ def from_first_match(df: DataFrame, match: Column, keys: list[str], order: list[
 
 
 def slope(y: str, x: str, keys: list[str], order: list[str]) -> Column:
-    """First differences dy/dx: 0 in the first row, null where x stands still."""
+    """First differences dy/dx: 0 in the first row; where x stands still, infinite with the sign of dy, or null if y does too."""
     w = along(keys, order)
-    return F.when(F.lag(F.lit(1)).over(w).isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col(y) - F.lag(y).over(w), F.col(x) - F.lag(x).over(w)))
+    dy, dx = F.col(y) - F.lag(y).over(w), F.col(x) - F.lag(x).over(w)
+    still = F.when(dy > 0, float("inf")).when(dy < 0, float("-inf"))
+    return F.when(F.lag(F.lit(1)).over(w).isNull(), F.lit(0.0)).when(dx != 0, F.try_divide(dy, dx)).otherwise(still)
 
 
 def clean_discharge(raw: str, x: str, keys: list[str], order: list[str], clip: float = 50.0, low_cut: float = 2.0) -> Column:

@@ -144,15 +144,14 @@ def index_intersection(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey").intersect(table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey"))
 
 
-_VECTORS = 200
-
-
-@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < {_VECTORS})
-SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-0.5 * list_sum(list_transform(generate_series(1, len(a.e)), lambda k: (a.e[k] - b.e[k]) * (a.e[k] - b.e[k])))), 6) AS k FROM v AS a, v AS b""")
+@query("""WITH part AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL), centre AS (SELECT label, k, avg(x) AS x FROM part GROUP BY label, k)
+SELECT a.label AS i, b.label AS j, round(exp(-0.5 * sum((a.x - b.x) * (a.x - b.x))), 6) AS k FROM centre AS a JOIN centre AS b USING (k) GROUP BY a.label, b.label""")
 def kernel_matrix(spark, sf_dir):
-    """The arms of an experiment are few hundred vectors by definition; the first of the table stand for them."""
-    arms = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < _VECTORS).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return rounded(bandit.kernel_pairs(arms, "vec_id", "e", 0.5))
+    """The kernel over the centres of all labels, each the mean of all its vectors."""
+    part = table(spark, sf_dir, "embeddings").filter("label is not null").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
+    means = part.groupBy("label", "k").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kx")).select("label", F.col("kx.x").alias("e"))  # a row a dimension
+    return rounded(bandit.kernel_pairs(centres, "label", "e", 0.5))
 
 
 @query(f"""WITH {_GRID}
@@ -168,7 +167,7 @@ def policy_kernel(spark, sf_dir):
 SELECT arm, b.experiment, round(CASE WHEN arm = best THEN second ELSE first END - lower, 4) AS gap FROM b JOIN top USING (experiment) LEFT JOIN second USING (experiment)""")
 def gap_index(spark, sf_dir):
     bounds = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("arm"), F.col("l_returnflag").alias("experiment")).agg(F.max("l_extendedprice").alias("upper"), F.min("l_extendedprice").alias("lower"))
-    return bounds.select("arm", "experiment", F.round(bandit.greatest_other("upper", "arm", ["experiment"]) - F.col("lower"), 4).alias("gap"))
+    return bandit.greatest_other(bounds, "upper", "arm", ["experiment"]).select("arm", "experiment", F.round(F.col("other") - F.col("lower"), 4).alias("gap"))
 
 
 @query()

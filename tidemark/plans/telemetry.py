@@ -61,16 +61,14 @@ _CLEAN = """first_row, s, CASE WHEN first_row THEN 0 WHEN s IS NULL OR abs(s) >=
 
 @query(f"""WITH {SAMPLES_SQL}, sloped AS (
   SELECT *, lag(1) OVER w IS NULL AS first_row, max(value) OVER (PARTITION BY unit) AS top,
-    CASE WHEN lag(1) OVER w IS NULL THEN 0 WHEN value - lag(value) OVER w <> 0 THEN ((t - lag(t) OVER w) / 3600) / (value - lag(value) OVER w) END AS s
+    CASE WHEN lag(1) OVER w IS NULL THEN 0 WHEN value - lag(value) OVER w <> 0 THEN (t / 3600 - lag(t / 3600) OVER w) / (value - lag(value) OVER w) END AS s
   FROM samples WINDOW w AS (PARTITION BY unit ORDER BY t, idx)
 ), ruled AS (SELECT idx, unit, t, {_CLEAN} FROM sloped)
 SELECT idx, unit, round(coalesce(last_value(a IGNORE NULLS) OVER w, 0), 4) + 0.0 AS discharge, round(coalesce(last_value(b IGNORE NULLS) OVER w, 0), 4) + 0.0 AS charge
 FROM ruled WINDOW w AS (PARTITION BY unit ORDER BY t, idx ROWS UNBOUNDED PRECEDING)""")
 def derivative_clean(spark, sf_dir):
     keys = ["unit"]
-    w = series.along(keys, ORDER)
-    hours = samples(spark, sf_dir).withColumn("hours", (F.col("t") - F.lag("t").over(w)) / 3600)
-    sloped = hours.withColumn("s", F.when(F.lag(F.lit(1)).over(w).isNull(), F.lit(0.0)).otherwise(F.try_divide("hours", F.col("value") - F.lag("value").over(w))))
+    sloped = samples(spark, sf_dir).withColumn("hours", F.col("t") / 3600).withColumn("s", series.slope("hours", "value", keys, ORDER))
     return rounded(sloped.select("idx", "unit", series.clean_discharge("s", "value", keys, ORDER).alias("discharge"), series.clean_charge("s", "value", keys, ORDER).alias("charge")), 4)
 
 
