@@ -77,14 +77,6 @@ def rounds(spark: SparkSession, folder: str, schema: str = schemas.PREDICTIONS)
     return found.withColumn("round", F.regexp_extract(file_name(), r"(\d+)\.csv", 1).cast("int"))
 
 
-def workbook(spark: SparkSession, path: str, sheets: list[str]) -> DataFrame:
-    """All sheets of a workbook, with ``sheet``; read on the driver, as workbooks are small, and only where a reader for them is installed."""
-    import pandas as pd
-
-    frames = [frame.assign(sheet=name) for name, frame in pd.read_excel(path, sheet_name=sheets).items()]
-    return spark.createDataFrame(pd.concat(frames))
-
-
 def batch_dates(spark: SparkSession, names: dict[str, str]) -> DataFrame:
     """Lookup of batch names."""
     return spark.createDataFrame(list(names.items()), "batch_name string, batch_date string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ def display_csv(df: DataFrame, path: str, names: list[str], order: list[str]) ->
     df.orderBy(*order).toDF(*names).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def named_csv(df: DataFrame, folder: str, name: str, header: bool = True) -> None:
+    """One CSV file of a given name, for a file of one cell or round: written aside and then renamed into its place."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    aside = f"{folder}/_{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", header).csv(aside)
+    files = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in files.listStatus(hadoop.Path(aside)) if s.getPath().getName().startswith("part-")]
+    files.delete(hadoop.Path(f"{folder}/{name}"), False)
+    files.rename(part, hadoop.Path(f"{folder}/{name}"))
+    files.delete(hadoop.Path(aside), True)
+
+
 def nested(units: DataFrame, cycles: DataFrame, unit: str, order: str) -> DataFrame:
     """Units with their cycles as an array of structs in order. A unit's cycles are few thousand rows."""
     fields = [c for c in cycles.columns if c != unit]
