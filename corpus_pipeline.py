@@ -1,4 +1,8 @@
-"""Five corpus stages from raw documents to token ids, each over all that the one before it kept."""
+"""Five corpus stages from raw documents to token ids, each over all that the one before it kept.
+
+In every stage columns of any name pass as they are, very long texts are handled whole, and an empty table gives an
+empty one. What null and empty texts, null ids and repeated rows lead to is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,28 @@ COPIES = neardup.plan(shingle=5, num=4, den=5)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go: null and empty texts among them. Repeated rows stay or go together; a null doc_id is judged like any."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; every document stays. One document of each group of copies tells what is spread."""
+    """Boilerplate lines go from the texts; every document stays, also null and repeated ones. One document of each group of copies tells what is spread."""
     single = settle(neardup.deduplicate(docs, COPIES).select("text", "source", "doc_id"))
     return line_dedup.remove_boilerplate(docs, among=single)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words, similarity 0.8."""
+    """One document of each group stays, the smallest doc_id: five words, similarity 0.8. Wordless texts are linked with nothing, rows without a doc_id stay."""
     return neardup.deduplicate(docs, COPIES)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; null and empty texts have none, and repeated rows go together."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the encoded and decoded texts."""
+    """Digests of the encoded and decoded texts; null and empty texts have no ids."""
     return bpe.digest(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
