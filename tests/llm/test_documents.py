@@ -302,3 +302,11 @@ def test_dictionary_of_the_corpus(spark):
     known = secrets.dictionary(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {"gleichung", "hier"} <= set(known.words) and not {"nurhier", "oft", "gilt"} & set(known.words)
     assert known.coverage("Gleichung1hier") == 13 / 14 and secrets.PLAIN.coverage("") == 0
+
+
+def test_dictionary_takes_the_commonest(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "DICTIONARY_WORDS", 7)
+    counts = {f"{chr(97 + k // 26) * 3}{chr(97 + k % 26) * 3}x": 1 + k * k % 23 for k in range(60)}
+    rows = [(k, " ".join(w for w, n in counts.items() for _ in range(n)), site) for k, site in enumerate("abc")]
+    known = secrets.dictionary(spark.createDataFrame([*rows, (9, None, None)], "doc_id long, text string, source string"))
+    assert set(known.words) - set(secrets.PLAIN.words) == set(sorted(counts, key=lambda w: (-counts[w], w))[:7])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting, textkit
-from .common import small_batches
+from .common import discard, settle, small_batches
 
 # Public formats of credentials, and words that stand beside secrets or beside what isn't one.
 FORMATS = {
@@ -65,6 +65,8 @@ _SAME = re.compile(r"(.)\1*", re.S)
 _HEX = re.compile(r"[0-9a-fA-F-]+")
 #: Words of the corpus that the dictionary holds at most, their least length, and the sites that a word must stand on.
 DICTIONARY_WORDS, DICTIONARY_LETTERS, DICTIONARY_SITES = 20_000, 4, 3
+#: Steps of a doubling into which words are sorted by their counts before the commonest are taken.
+COUNT_STEPS = 8
 
 
 class Dictionary:
@@ -101,8 +103,17 @@ def dictionary(docs: DataFrame, site: str = "source") -> Dictionary:
     per_site = words.groupBy("word", "site").agg(F.count("*").alias("n"))
     common = per_site.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("sites"))
     sites = F.lit(min(DICTIONARY_SITES, docs.select(site).distinct().limit(DICTIONARY_SITES).count()))
-    top = common.filter(F.col("sites") >= sites).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
-    return Dictionary([*PLAIN.words, *(r["word"] for r in top.select("word").collect())])
+    counted = settle(common.filter(F.col("sites") >= sites).select("word", "n", F.floor(F.log2("n") * COUNT_STEPS).alias("step")))
+    # steps are some hundred at most; without them every partition would send its own DICTIONARY_WORDS to the driver
+    least, held = 0, 0
+    for step, size in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        least, held = step, held + size
+        if held >= DICTIONARY_WORDS:
+            break
+    top = counted.filter(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
+    known = Dictionary([*PLAIN.words, *(r["word"] for r in top.select("word").collect())])
+    discard(counted)
+    return known
 
 
 def _free(found: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
