@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, line_dedup, neardup, quality_classifier, quality_rules, secrets, shards, token_rollup
+from . import bpe, decontaminate, langid, line_dedup, neardup, phrases, quality_classifier, quality_rules, runs, secrets, shards, token_rollup, weighted_sampling
 from .common import scratch, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,18 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_named_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_quality_boosted_rules": op2_quality_boosted_rules,
@@ -66,10 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_discriminant": op8_quality_discriminant,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_secret_forest": op10_secret_forest,
+    "op11_pair_named_phrases": op11_pair_named_phrases,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_weighted_fingerprints": op13_weighted_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_site_spread": line_dedup.REPORT_SQL,
     "op6_hamming_near_duplicates": neardup.LINK_SQL,
     "op9_benchmark_windows": decontaminate.REPORT_SQL,
+    "op11_pair_named_phrases": phrases.COLLOCATIONS_SQL,
 }
