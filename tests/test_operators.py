@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text
-from tidemark.operators import bandit, curves, evaluate, features, policy, rollup, series, simulate
+from tidemark.operators import bandit, curves, evaluate, features, ordered, policy, rollup, series, simulate, smoothing
 
 
 def frame(spark, rows, schema):
@@ -27,9 +28,9 @@ def test_negative_clock_is_moved_to_its_predecessor(spark):
 
 
 def test_inner_cycles_of_short_units(spark):
-    rows = [(1, c) for c in (5, 6, 6, 9, 11)] + [(2, 1), (3, 1), (3, 2)]
-    out = series.inner_cycles(frame(spark, rows, "unit int, cycle int")).orderBy("cycle")
-    assert [(r["unit"], r["cycle"], r["k"]) for r in out.collect()] == [(1, 6, 1), (1, 6, 1), (1, 9, 2)]
+    rows = [(1, c) for c in (5, 6, 9, 11)] + [(2, 1), (3, 1), (3, 2)]
+    out = series.inner(frame(spark, rows, "unit int, cycle int")).orderBy("cycle")
+    assert [(r["unit"], r["cycle"], r["k"]) for r in out.collect()] == [(1, 6, 1), (1, 9, 2)]
 
 
 def test_crossing_reads_the_row_after_and_may_leave_the_cycle(spark):
@@ -52,7 +53,7 @@ def test_shrinking_average_ends(spark):
 
 def test_spline_follows_points_and_short_curves_are_zero(spark):
     rows = [(1, x / 2, math.sin(x / 2)) for x in range(9)] + [(2, 1.0, 1.0)]
-    out = curves.spline_resample(frame(spark, rows, "u int, x double, y double"), "x", ["y"], ["u"], points=5, first=4.0, last=0.0, stiffness=1e-9).toPandas()
+    out = smoothing.spline_resample(frame(spark, rows, "u int, x double, y double"), "x", ["y"], ["u"], points=5, first=4.0, last=0.0, stiffness=1e-9).toPandas()
     one = out[out.u == 1].sort_values("v")
     assert np.allclose(one["y"], np.sin(one["v"]), atol=0.02)
     assert (out[out.u == 2]["y"] == 0).all()
@@ -75,10 +76,85 @@ def test_moments_are_population_skewness(spark):
 
 
 def test_kendall_with_ties(spark):
-    out = evaluate.kendall(frame(spark, [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 3)], "i int, x int, y int"), "i", "x", "y").first()
+    out = evaluate.kendall(frame(spark, [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 3)], "i int, x int, y int"), "x", "y").first()
     assert out["tau"] == pytest.approx(4 / 5)
 
 
+def plain_tau(rows):
+    pairs = [(np.sign(a[0] - b[0]), np.sign(a[1] - b[1])) for k, a in enumerate(rows) for b in rows[:k]]
+    size = sum(abs(x) for x, _ in pairs) * sum(abs(y) for _, y in pairs)
+    return sum(x * y for x, y in pairs) / size**0.5 if size else None
+
+
+@pytest.mark.parametrize("rows_a_range", [7, 1 << 20])
+def test_kendall_of_keys_with_heavy_ties(spark, rows_a_range):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(x), float(y)) for k in range(3) for x, y in zip(rng.integers(0, [3, 40, 9][k], 90), rng.choice([0.5, 0.5, 0.5, *rng.random(9 * k + 2)], 90))]
+    rows += [(3, 1, 1.0), (3, 1, 2.0), (4, 2, 2.0), (None, 1, 1.0), (None, 2, 0.5), (0, None, 1.0), (1, 5, None)]
+    out = evaluate.kendall(frame(spark, rows, "k int, x int, y double"), "x", "y", ["k"], rows=rows_a_range)
+    got = {r["k"]: r["tau"] for r in out.collect()}
+    for k in (0, 1, 2, 3, 4, None):
+        want = plain_tau([r[1:] for r in rows if r[0] == k and None not in r[1:]])
+        assert got[k] == (want if want is None else pytest.approx(want))
+    whole = evaluate.kendall(frame(spark, rows, "k int, x int, y double"), "x", "y", rows=rows_a_range).first()
+    assert whole["tau"] == pytest.approx(plain_tau([r[1:] for r in rows if None not in r[1:]]))
+    assert evaluate.kendall(frame(spark, [], "k int, x int, y double"), "x", "y", ["k"]).count() == 0
+
+
+def test_pairs_of_a_hot_value_reach_no_task(spark):
+    # a third of all rows has one x: its range makes no pair, and no other range is larger than its share
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).alias("x"), (F.col("id") * 7919 % 3000).alias("y"))
+    place, same = ordered._value_ranges(df, "x", 100)
+    sizes = {(r["p"], r["s"]): r["count"] for r in df.groupBy(place.alias("p"), same.alias("s")).count().collect()}
+    assert max(n for (_, s), n in sizes.items() if not s) < 300 and max(n for (_, s), n in sizes.items() if s) >= 1000
+
+
+def test_scan_in_ranges_equals_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, None if rng.random() < 0.6 else int(rng.integers(0, 9))) for k in (1, 2, None) for i in range([5, 60, 23][(k or 0) % 3])]
+    own = ordered.chunked(frame(spark, rows, "k int, i int, v int"), ["k"], ["i"], rows=6)
+    assert own.select("__chunk").distinct().count() > 5
+    out = ordered.scan(own, ["k"], ["i"], before={"b": F.col("v")}, after={"a": F.col("v")}, upto={"u": F.col("v")}, onward={"o": F.col("v")}, number="n", total={"t": (F.col("v"), F.sum)})
+    got = {(r["k"], r["i"]): (r["b"], r["a"], r["u"], r["o"], r["n"], r["t"]) for r in out.collect()}
+    for k in (1, 2, None):
+        v = [r[2] for r in rows if r[0] == k]
+        for i in range(len(v)):
+            known = [x for x in v[: i + 1] if x is not None], [x for x in v[i:] if x is not None]
+            want = (v[i - 1] if i else None, v[i + 1] if i + 1 < len(v) else None, known[0][-1] if known[0] else None, known[1][0] if known[1] else None, i + 1, sum(x for x in v if x is not None) if any(x is not None for x in v) else None)
+            assert got[k, i] == want
+
+
+@pytest.mark.parametrize("rows_a_range", [9, 1 << 20])
+def test_one_key_of_many_rows_is_scanned_in_ranges(spark, rows_a_range):
+    rng = np.random.default_rng(6)
+    t = np.cumsum(rng.random(200))
+    clock = np.where(np.arange(200) >= 120, t - 1000, t)
+    v = np.round(rng.normal(3, 0.6, 200), 2)
+    df = frame(spark, [(1, i, float(c), float(x), float(s)) for i, (c, x, s) in enumerate(zip(clock, v, t))], "u int, i int, t double, v double, q double")
+    fixed = [r["t"] for r in series.repair_if_negative_end(df, "t", ["u"], ["i"], rows_a_range).orderBy("i").collect()]
+    assert np.allclose(fixed, np.where(np.arange(200) >= 120, t - 1000 + (t[119] - (t[120] - 1000)), t))
+    plain = df.withColumn("s", series.slope("q", "v", ["u"], ["i"])).select("i", series.clean_discharge("s", "v", ["u"], ["i"]).alias("d"), series.clean_charge("s", "v", ["u"], ["i"]).alias("c"))
+    cleaned = series.cleaned_slopes(df, "q", "v", ["u"], ["i"], rows_a_range, "d", "c")
+    assert sorted(map(tuple, cleaned.select("i", "d", "c").collect())) == sorted(map(tuple, plain.collect()))
+    points = df.select("u", F.col("q").alias("x"), F.col("v").alias("y"))
+    targets = spark.range(300).select(F.lit(1).alias("u"), (F.col("id") / 3.0).alias("x"))
+    got = {r["x"]: r["y"] for r in curves.interpolate(points, targets, "x", "y", ["u"], rows_a_range).collect()}
+    for x, y in got.items():
+        assert y == (None if x < t[0] or x > t[-1] else pytest.approx(np.interp(x, t, v)))
+
+
+def test_ranks_over_all_rows_with_heavy_ties(spark):
+    values = [None, 3.0, 3.0, *[1.0] * 40, 2.0, 7.0, None]
+    df = frame(spark, list(enumerate(values)), "i int, v double")
+    got = {r["i"]: (r["place"], r["average"]) for r in ordered.ranked(df, "v", ["i"], rows=5).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    for i, v in enumerate(values):
+        same = [order.index(j) + 1 for j in range(len(values)) if values[j] == v]
+        assert got[i] == (order.index(i) + 1, sum(same) / len(same))
+    places = {r["v"]: r["place"] for r in evaluate.rank_of_value(df, "v", rows=2).collect()}
+    assert places == {7.0: 0, 3.0: 1, 2.0: 3, 1.0: 4, None: 44}
+
+
 def test_policy_space_has_its_known_size_and_range(spark):
     grid = policy.valid(policy.all_combinations(spark))
     by_third = {r["c3"]: r["count"] for r in grid.groupBy("c3").count().collect()}
@@ -159,20 +235,61 @@ def test_discharge_slope_curve_equals_a_plain_version(spark):
     assert np.allclose(out["dqdv"], want, atol=1e-9)
 
 
-def test_spline_equals_a_dense_solve():
+def dense_spline(x, y, stiffness):
+    """Levels and the trace of I - A."""
+    n, h = len(x), np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for k in range(n - 2):
+        q[k : k + 3, k] = 1 / h[k], -1 / h[k] - 1 / h[k + 1], 1 / h[k + 1]
+        r[k, k] = (h[k] + h[k + 1]) / 3
+        if k:
+            r[k, k - 1] = r[k - 1, k] = h[k] / 6
+    away = stiffness * q @ np.linalg.solve(r + stiffness * q.T @ q, q.T)
+    return y - away @ y, np.trace(away)
+
+
+def test_splines_equal_a_dense_solve_and_its_cross_validation():
     rng = np.random.default_rng(7)
-    for n in (3, 4, 5, 40):
-        x, y, stiffness = np.cumsum(rng.random(n) + 0.05), rng.normal(size=n), 0.3
-        h = np.diff(x)
-        q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-        for k in range(n - 2):
-            q[k : k + 3, k] = 1 / h[k], -1 / h[k] - 1 / h[k + 1], 1 / h[k + 1]
-            r[k, k] = (h[k] + h[k + 1]) / 3
-            if k:
-                r[k, k - 1] = r[k - 1, k] = h[k] / 6
-        level = y - stiffness * q @ np.linalg.solve(r + stiffness * q.T @ q, q.T @ y)
-        assert np.allclose(curves._spline(x, y, x, stiffness), level)
-    assert (curves._spline(np.array([1.0, 2.0]), np.array([1.0, 2.0]), np.array([1.5]), 1.0) == 0).all()
+    xs = [np.cumsum(rng.random(n) + 0.05) for n in (3, 4, 5, 40, 12)]
+    ys = [np.column_stack([np.sin(x) + rng.normal(0, 0.2, len(x)), rng.normal(size=len(x))]) for x in xs]
+    levels, _, used = smoothing.fit_splines(xs, ys, 0.3)
+    for x, y, level in zip(xs, ys, levels):
+        for v in range(2):
+            assert np.allclose(level[:, v], dense_spline(x, y[:, v], 0.3)[0])
+    levels, _, used = smoothing.fit_splines(xs, ys)
+    for x, y, level, chosen in zip(xs, ys, levels, used):
+        for v in range(2):
+            tried = ((x[-1] - x[0]) / (len(x) - 1)) ** 3 * smoothing.TRIED
+            fits = [dense_spline(x, y[:, v], w) for w in tried]
+            scores = [len(x) * ((y[:, v] - fit) ** 2).sum() / trace**2 for fit, trace in fits]
+            mine = int(np.argmin(np.abs(tried - chosen[v])))
+            assert scores[mine] == pytest.approx(min(scores), rel=1e-6) and np.allclose(level[:, v], fits[mine][0])
+
+
+def test_local_lines_equal_plain_loops(spark):
+    rng = np.random.default_rng(11)
+    for n, nearest in ((1, 5), (2, 5), (7, 9), (30, 7), (31, 4)):
+        x = np.cumsum(rng.random(n) + 0.01)
+        y = np.sin(x) + rng.normal(0, 0.1, n) + (np.arange(n) % 11 == 5) * 9
+        trust, want = np.ones(n), y
+        for turn in range(6):
+            want = np.empty(n)
+            for i in range(n):
+                near = sorted(range(n), key=lambda j: (abs(x[j] - x[i]), j))[: min(nearest, n)]
+                reach = max(abs(x[j] - x[i]) for j in near)
+                w = np.array([(1 - (abs(x[j] - x[i]) / reach) ** 3) ** 3 if reach else 1.0 for j in near])
+                w = w * trust[near] if (w * trust[near]).sum() > 0 else w
+                mx, my = np.average(x[near], weights=w), np.average(y[near], weights=w)
+                spread = (w * (x[near] - mx) ** 2).sum()
+                want[i] = my + ((w * (x[near] - mx) * (y[near] - my)).sum() / spread * (x[i] - mx) if spread > 1e-12 else 0)
+            size = np.median(np.abs(y - want))
+            if size < 1e-11:
+                break
+            trust = np.clip(1 - ((y - want) / (6 * size)) ** 2, 0, None) ** 2
+        assert np.allclose(smoothing.local_lines(x, y, nearest), want, atol=1e-7)
+    rows = [(k, i, float(i % 4) if i != 3 else None) for k in (1, None) for i in range(9)]
+    out = smoothing.robust_smooth(frame(spark, rows, "k int, i int, v double"), "i", "v", ["k"])
+    assert out.count() == 16 and out.columns == ["k", "i", "v"]
 
 
 def test_charge_slope_falling_at_a_standing_voltage_is_carried(spark):
@@ -183,16 +300,27 @@ def test_charge_slope_falling_at_a_standing_voltage_is_carried(spark):
     assert [round(r["c"], 6) for r in out] == [0, 2, 2, 0, 0, 0]
 
 
-def test_rankings_and_kernels_of_unbounded_length_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MOST_RANKED", 2)
+def test_kernels_of_unbounded_length_are_refused(spark, monkeypatch):
     monkeypatch.setattr(bandit, "MOST_ARMS", 2)
-    df = frame(spark, [(k, k, k, [1.0]) for k in range(3)], "i int, x int, y int, e array<double>")
-    with pytest.raises(ValueError):
-        evaluate.kendall(df, "i", "x", "y")
+    df = frame(spark, [(k, [1.0]) for k in range(3)], "i int, e array<double>")
     with pytest.raises(ValueError):
         bandit.kernel_pairs(df, "i", "e", 1.0)
 
 
+def test_batches_of_very_many_arms_come_from_few_candidates(spark):
+    rng = np.random.default_rng(12)
+    n, picks = 100_000, 7
+    lower = rng.integers(0, 60, n).astype(float)
+    upper = lower + rng.integers(1, 60, n)
+    df = spark.createDataFrame(pd.DataFrame({"e": 1, "arm_id": np.arange(n), "upper": upper, "lower": lower}))
+    few = bandit.candidates(df, "e", picks)
+    assert few.count() <= 2 * picks + 1
+    got = [r["arm_id"] for r in bandit.choose_batches(df, "e", picks).orderBy("place").collect()]
+    assert got == bandit.choose(upper, lower, picks)[0]
+    one = spark.createDataFrame([(1, 5, 2.0, 1.0)], "e int, arm_id long, upper double, lower double")
+    assert [tuple(r) for r in bandit.choose_batches(one, "e", 3).collect()] == [(1, 5, 0)]
+
+
 def test_choice_equals_plain_loops():
     rng = np.random.default_rng(3)
     for _ in range(20):

@@ -10,12 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Arms of one experiment, at most, of which every two are compared.
 MOST_ARMS = 5000
+#: Parts that the arms of an experiment are ordered in.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ def gaps(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """For each arm: the greatest upper bound of all others less its own lower bound."""
     top = np.argmax(upper)
     others = np.full(len(upper), upper[top])
-    others[top] = np.delete(upper, top).max()
+    others[top] = np.delete(upper, top).max(initial=-np.inf)
     return others - lower
 
 
@@ -87,10 +89,29 @@ def choose(upper: np.ndarray, lower: np.ndarray, picks: int) -> tuple[list[int],
     return out, proposal
 
 
+def _first_of(df: DataFrame, keys: list[str], order: list[Column], id_: str, most: int) -> DataFrame:
+    """The first ``most`` rows of every key; first those of parts of a key, so that no task orders all rows of one."""
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(id_), F.lit(PARTS)))
+    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))).filter(F.col("__n") <= most)
+    return inside.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= most).drop("__part", "__n")
+
+
+def candidates(bounds: DataFrame, experiment: str, picks: int) -> DataFrame:
+    """The arms among which the next batch of every experiment is: the ``picks`` least gaps and the ``picks`` + 1 greatest upper bounds.
+
+    Each pick takes one arm out, which is the one with the least gap or one with a greatest bound beside it: whatever was picked before, the next
+    least gap is among the first ``picks``, the greatest bound of the others among one more. The two greatest bounds, from which all gaps follow, are in it.
+    """
+    gap = greatest_other(bounds.select(experiment, "arm_id", "upper", "lower"), "upper", "arm_id", [experiment], "__other").withColumn("__gap", F.col("__other") - F.col("lower"))
+    least = _first_of(gap, [experiment], [F.asc_nulls_last("__gap"), F.asc("arm_id")], "arm_id", picks)
+    top = _first_of(gap, [experiment], [F.desc("upper"), F.asc("arm_id")], "arm_id", picks + 1)
+    return least.union(top).select(experiment, "arm_id", "upper", "lower").distinct()
+
+
 def choose_batches(bounds: DataFrame, experiment: str, picks: int) -> DataFrame:
     """experiment, arm_id and place of the next batch of every experiment; ``bounds`` has experiment, arm_id, upper and lower.
 
-    Arms are taken in order of arm_id where bounds are equal. An experiment has some hundred arms; experiments run side by side.
+    Arms are taken in order of arm_id where bounds are equal. Of an experiment with any number of arms 2 ``picks`` + 1 rows are looked at together.
     """
     kind = dict(bounds.dtypes)[experiment]
 
@@ -99,7 +120,7 @@ def choose_batches(bounds: DataFrame, experiment: str, picks: int) -> DataFrame:
         picked, _ = choose(own["upper"].to_numpy(float), own["lower"].to_numpy(float), picks)
         return pd.DataFrame({experiment: key[0], "arm_id": own["arm_id"].to_numpy()[picked], "place": range(len(picked))})
 
-    return bounds.select(experiment, "arm_id", "upper", "lower").groupBy(experiment).applyInPandas(one, f"`{experiment}` {kind}, arm_id long, place long")
+    return candidates(bounds, experiment, picks).groupBy(experiment).applyInPandas(one, f"`{experiment}` {kind}, arm_id long, place long")
 
 
 def play(arms: np.ndarray, rounds: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> pd.DataFrame:

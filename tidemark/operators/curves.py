@@ -1,12 +1,12 @@
-"""Curves on fixed grids: plateaus, interpolation, smoothing, differences, protocol profiles."""
+"""Curves on fixed grids: plateaus, interpolation, averages, differences, protocol profiles."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import chunked, scan
 from .series import along, clean_discharge, slope, whole
 
 #: The shared axis of resampled curves.
@@ -52,20 +52,19 @@ def with_anchors(df: DataFrame, x: str, y: str, keys: list[str], order: str) ->
     return anchors.unionByName(df.select(*keys, F.col(order).cast("long").alias(order), x, y))
 
 
-def interpolate(points: DataFrame, targets: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+def interpolate(points: DataFrame, targets: DataFrame, x: str, y: str, keys: list[str], rows: int | None = None) -> DataFrame:
     """``targets`` with ``y`` interpolated on the straight line between the two nearest points of the key; null outside.
 
     ``targets`` has the columns of ``keys``, ``x`` and any others. Points must have distinct ``x``
-    in a key. Points and targets are merged in one ordered pass, so that no range join is needed.
+    in a key. Points and targets are merged in one ordered scan, so that no range join is needed, and a key of any length is scanned in ranges.
     """
     rest = [c for c in targets.columns if c not in (*keys, x)]
     own = points.select(*keys, F.col(x).cast("double").alias(x), F.col(y).alias("__y"), F.lit(0).alias("__target"), *(F.lit(None).cast(dict(targets.dtypes)[c]).alias(c) for c in rest))
     asked = targets.select(*keys, F.col(x).cast("double").alias(x), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__target"), *rest)
-    both = own.unionByName(asked)
-    before = along(keys, [x, "__target"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(F.col(x), F.col("__target")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     point = F.when(F.col("__target") == 0, F.struct(F.col(x).alias("x"), F.col("__y").alias("y")))
-    marked = both.withColumn("__a", F.last(point, ignorenulls=True).over(before)).withColumn("__b", F.first(point, ignorenulls=True).over(after))
+    order = [x, "__target"]
+    # targets of one place are equal in order, and all find the same points
+    marked = scan(chunked(own.unionByName(asked), keys, order, rows), keys, order, upto={"__a": point}, onward={"__b": point})
     on_line = F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * F.try_divide(F.col(x) - F.col("__a.x"), F.col("__b.x") - F.col("__a.x"))
     value = F.when(F.col("__a.x") == F.col(x), F.col("__a.y")).otherwise(on_line)
     return marked.filter("__target = 1").select(*keys, x, *rest, value.alias(y))
@@ -118,63 +117,6 @@ def voltage_tail(spark: SparkSession, points: int = 100, start: float = 89.0, en
     return grid(spark, points, start, end).select("grid_idx", F.col("v").alias("soc"), F.exp(-decay * (F.col("v") - start)).alias("current"))
 
 
-def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, stiffness: float) -> np.ndarray:
-    """Natural cubic smoothing spline through rising ``x``, and zeros where it can't be fitted.
-
-    Minimises the squared distance from the points plus ``stiffness`` times the integral of the squared second derivative.
-    The second derivatives solve a system of five diagonals, in time proportional to the points.
-    """
-    n = len(x)
-    if n < 3:
-        return np.zeros(len(at))
-    h = np.diff(x)
-    r = 1 / h
-    middle = -(r[:-1] + r[1:])
-    main = (h[:-1] + h[1:]) / 3 + stiffness * (r[:-1] ** 2 + middle**2 + r[1:] ** 2)
-    next_ = h[1:-1] / 6 + stiffness * (middle[:-1] * r[1:-1] + r[1:-1] * middle[1:])
-    far = stiffness * r[1:-2] * r[2:-1]
-    inner = _five_diagonals(main, next_, far, np.diff(np.diff(y) * r))
-    bend = np.concatenate([[0.0], inner, [0.0]])
-    pull = np.zeros(n)
-    pull[:-2] += r[:-1] * inner
-    pull[1:-1] += middle * inner
-    pull[2:] += r[1:] * inner
-    level = y - stiffness * pull
-    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
-    value = a * level[k] + b * level[k + 1] + ((a**3 - a) * bend[k] + (b**3 - b) * bend[k + 1]) * h[k] ** 2 / 6
-    return np.where((at < x[0]) | (at > x[-1]), 0.0, value)
-
-
-def _five_diagonals(main: np.ndarray, next_: np.ndarray, far: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solve a symmetric positive system given by its main, next and second next diagonal."""
-    n = len(main)
-    d, one, two, z = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)  # two places of zeros wrap around to the start
-    for i in range(n):
-        d[i] = main[i] - one[i - 1] ** 2 * d[i - 1] - two[i - 2] ** 2 * d[i - 2]
-        one[i] = (next_[i] - two[i - 1] * one[i - 1] * d[i - 1]) / d[i] if i < n - 1 else 0.0
-        two[i] = far[i] / d[i] if i < n - 2 else 0.0
-        z[i] = right[i] - one[i - 1] * z[i - 1] - two[i - 2] * z[i - 2]
-    out = np.zeros(n + 2)
-    for i in range(n - 1, -1, -1):
-        out[i] = z[i] / d[i] - one[i] * out[i + 1] - two[i] * out[i + 2]
-    return out[:n]
-
-
-def spline_resample(df: DataFrame, x: str, ys: list[str], keys: list[str], points: int = GRID_POINTS, first: float = GRID_HIGH, last: float = GRID_LOW, stiffness: float = 1e-6) -> DataFrame:
-    """Each ``y`` of every key as a smoothing spline on the grid; keys that can't be fitted get zeros. A key is one curve of bounded length."""
-    at = np.linspace(first, last, points)
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        own = part.dropna(subset=[x, *ys]).groupby(x, sort=True)[ys].mean()
-        out = {c: [part[c].iloc[0]] * points for c in keys} | {"grid_idx": np.arange(points, dtype=np.int32), "v": at}
-        return pd.DataFrame(out | {y: _spline(own.index.to_numpy(float), own[y].to_numpy(float), at, stiffness) for y in ys})
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "grid_idx int", "v double", *(f"`{y}` double" for y in ys)])
-    return df.select(*keys, x, *ys).groupBy(*keys).applyInPandas(fit, schema)
-
-
 def lattice(spark: SparkSession, steps: int = 30) -> DataFrame:
     """All points of a cubic lattice over [0, 1] in three dimensions."""
     axis = [F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: k / (steps - 1))).alias(c) for c in ("r", "g", "b")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import chunked, discordant
+
 Z95 = 1.96
-#: Ranges that values are ranked in, and rows of a ranking that may be compared two by two.
-RANGES, MOST_RANKED = 64, 20_000
 
 
 def long_replicates(wide: DataFrame, keys: list[str], columns: list[str], name: str = "replicate", value: str = "value") -> DataFrame:
@@ -44,41 +46,51 @@ def error_metrics(pairs: DataFrame, predicted: str, actual: str, keys: list[str]
 
 
 def unique_rank(value: str, keys: list[str], tie: str) -> Column:
-    """1-based descending rank; ties go by ``tie``."""
+    """1-based descending rank in each key, of bounded keys such as the policies of a year; ties go by ``tie``. ordered.ranked() ranks all rows of a table."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ascending rank in which equals share the mean of their places."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
-def rank_of_value(values: DataFrame, value: str) -> DataFrame:
+def rank_of_value(values: DataFrame, value: str, rows: int | None = None) -> DataFrame:
     """Each distinct value and its place, from 0, in descending order of all rows; equal values have the first place, null the last.
 
-    Ranges of values are ordered apart and offset by the rows of the ranges above, so that no task orders all values.
+    Ranges of values are summed apart and offset by the sums of the ranges above, so that no task orders all values.
     """
     counted = values.groupBy(value).agg(F.count("*").alias("__n"))
-    edges = counted.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
-    at = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    ranged = counted.withColumn("__range", at)
-    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
-    offsets = ranged.groupBy("__range").agg(F.sum("__n").alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(offsets), "__range").select(value, (F.col("__offset") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("place"))
+    keyed = counted.withColumn("__null", F.col(value).isNull()).withColumn("__down", -F.col(value))
+    order = ["__null", "__down"]
+    numbered = chunked(keyed, [], order, rows)
+    inside = Window.partitionBy("__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = numbered.groupBy("__chunk").agg(F.sum("__n").alias("__rows")).select(F.col("__chunk").alias("__of"), F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__offset"))
+    placed = numbered.join(F.broadcast(offsets), F.col("__chunk") == F.col("__of"))
+    return placed.select(value, (F.col("__offset") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("place"))
+
 
+def kendall(pairs: DataFrame, x: str, y: str, keys: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Kendall's tau-b of each key over the rows that have both values; null where either is the same in all rows.
 
-def kendall(pairs: DataFrame, id_: str, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """Kendall's tau-b of each key. Every two rows of a key are compared once: for rankings of MOST_RANKED rows at most, which is checked."""
+    No two rows are compared: ties are counted by grouping, and pairs in opposite order by ordered.discordant().
+    """
     keys = keys or []
-    if (pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MOST_RANKED:
-        raise ValueError(f"a ranking has more than {MOST_RANKED} rows")
-    a, b = pairs.select(*keys, F.col(id_).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya")), pairs.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(id_).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    match = F.col("i") < F.col("j")
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"__{k}"))
-    dx, dy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    return a.join(b, match).groupBy(*keys).agg(F.try_divide(F.sum(dx * dy), F.sqrt(F.sum(F.abs(dx)) * F.sum(F.abs(dy)))).alias("tau"))
+    own = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    tied = lambda c: F.sum(F.col(c).cast("decimal(38,0)") * (F.col(c) - 1) / 2).cast("decimal(38,0)")
+    both = own.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
+    ties = lambda by, name: both.groupBy(*keys, by).agg(F.sum("n").alias("n")).groupBy(*keys).agg(tied("n").alias(name))
+    counts = both.groupBy(*keys).agg(F.sum("n").alias("__all"), tied("n").alias("__xy"))
+    parts = [counts, ties(x, "__x"), ties(y, "__y"), discordant(own, x, y, keys, rows).withColumnRenamed("n", "__q")]
+    row = parts[0]
+    for part in parts[1:]:
+        if keys:
+            named = part.toDF(*(f"__k{i}" for i in range(len(keys))), part.columns[-1])
+            match = reduce(lambda m, c: m & c, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+            row = row.join(named, match, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+        else:
+            row = row.crossJoin(F.broadcast(part))  # one row each
+    pairs_of = F.col("__all").cast("decimal(38,0)") * (F.col("__all") - 1) / 2
+    d = lambda c: c.cast("double")
+    agree = d(pairs_of.cast("decimal(38,0)") - F.col("__x") - F.col("__y") + F.col("__xy") - 2 * F.coalesce("__q", F.lit(0)))
+    spread = F.sqrt(d(pairs_of.cast("decimal(38,0)") - F.col("__x")) * d(pairs_of.cast("decimal(38,0)") - F.col("__y")))
+    return row.select(*keys, F.try_divide(agree, spread).alias("tau"))
 
 
 def top_change(changes: DataFrame, rank: str, change: str, percent: str, tops: tuple[int, ...] = (5, 10, 50, 224), keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .ordered import chunked, scan
+
 
 def along(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -18,13 +20,11 @@ def whole(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
-def inner_cycles(df: DataFrame, unit: str = "unit", cycle: str = "cycle", number: str = "k") -> DataFrame:
-    """Rows of all cycles but the first and the last of each unit, with the kept cycles numbered from 1 in ``number``."""
-    cycles = df.select(unit, cycle).distinct()
-    ends = cycles.withColumn("__low", F.min(cycle).over(whole([unit]))).withColumn("__high", F.max(cycle).over(whole([unit])))
-    kept = ends.filter((F.col(cycle) > F.col("__low")) & (F.col(cycle) < F.col("__high"))).drop("__low", "__high")
-    numbered = kept.withColumn(number, F.row_number().over(along([unit], [cycle])))
-    return df.join(numbered, [unit, cycle]).select(*(c for c in df.columns if c != number), number)
+def inner(df: DataFrame, unit: str = "unit", cycle: str = "cycle", number: str = "k") -> DataFrame:
+    """A table of one row a cycle without the first and the last of each unit, the others numbered from 1 in ``number``."""
+    first, last = F.min(cycle).over(whole([unit])), F.max(cycle).over(whole([unit]))
+    kept = df.withColumn("__low", first).withColumn("__high", last).filter((F.col(cycle) > F.col("__low")) & (F.col(cycle) < F.col("__high"))).drop("__low", "__high")
+    return kept.withColumn(number, F.row_number().over(along([unit], [cycle])))
 
 
 def elapsed_minutes(seconds: str, keys: list[str], order: list[str]) -> Column:
@@ -40,27 +40,29 @@ def share_of_first(value: str, keys: list[str], order: list[str]) -> Column:
     return F.try_divide(F.col(value), F.first(value).over(so_far(keys, order)))
 
 
-def repair_clock(df: DataFrame, time: str, keys: list[str], order: list[str], wrong: Column, only_if: Column | None = None) -> DataFrame:
+def repair_clock(df: DataFrame, time: str, keys: list[str], order: list[str], wrong: Column, only_if: Column | None = None, rows: int | None = None) -> DataFrame:
     """Shift ``time`` from the first ``wrong`` row of each key on, so that that row gets its predecessor's time.
 
-    ``only_if`` is an aggregate over the key that must hold for a repair. A key whose first row is
-    wrong has no predecessor and stays as it is.
+    ``only_if``, over the key's last time in ``__last``, must hold for a repair. A key whose first row is
+    wrong has no predecessor and stays as it is. A key is scanned in ranges, so that one of any length is many tasks' work.
     """
-    seen = F.sum(F.when(wrong, 1).otherwise(0)).over(so_far(keys, order))
-    step = F.lag(time).over(along(keys, order)) - F.col(time)
-    marked = df.withColumn("__seen", seen).withColumn("__first", wrong & (F.sum(F.when(wrong, 1).otherwise(0)).over(so_far(keys, order)) == 1)).withColumn("__step", step)
-    shift = F.max(F.when(F.col("__first"), F.col("__step"))).over(so_far(keys, order))
-    fixed = F.when(F.col("__seen") > 0, F.col(time) + F.coalesce(shift, F.lit(0.0))).otherwise(F.col(time))
+    at = F.struct(*order)
+    first = scan(
+        chunked(df.withColumn("__wrong", F.coalesce(wrong, F.lit(False))), keys, order, rows), keys, order, before={"__before": F.col(time)},
+        total={"__start": (F.when(F.col("__wrong"), at), F.min), "__tail": (F.struct(at.alias("at"), F.col(time).alias("t")), F.max)},
+    )
+    step = F.when(at == F.col("__start"), F.col("__before") - F.col(time))
+    moved = scan(first, keys, order, upto={"__shift": step})
+    fixed = F.when(at >= F.col("__start"), F.col(time) + F.coalesce("__shift", F.lit(0.0))).otherwise(F.col(time))
     if only_if is not None:
+        moved = moved.withColumn("__last", F.col("__tail.t"))
         fixed = F.when(only_if, fixed).otherwise(F.col(time))
-    return marked.withColumn(time, fixed).drop("__seen", "__first", "__step")
+    return moved.withColumn(time, fixed).select(*df.columns)
 
 
-def repair_if_negative_end(df: DataFrame, time: str, keys: list[str], order: list[str]) -> DataFrame:
+def repair_if_negative_end(df: DataFrame, time: str, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
     """Repair the clock of keys whose last time is negative."""
-    last = F.last(time).over(along(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    marked = df.withColumn("__last", last)
-    return repair_clock(marked, time, keys, order, F.col(time) < 0, F.col("__last") < 0).drop("__last")
+    return repair_clock(df, time, keys, order, F.col(time) < 0, F.col("__last") < 0, rows)
 
 
 def repair_clock_twice(df: DataFrame, time: str, keys: list[str], order: list[str], most: float = 100.0) -> DataFrame:
@@ -95,39 +97,52 @@ def slope(y: str, x: str, keys: list[str], order: list[str]) -> Column:
     return F.when(F.lag(F.lit(1)).over(w).isNull(), F.lit(0.0)).when(dx != 0, F.try_divide(dy, dx)).otherwise(still)
 
 
-def clean_discharge(raw: str, x: str, keys: list[str], order: list[str], clip: float = 50.0, low_cut: float = 2.0) -> Column:
-    """Discharge slope with outliers set to 0 and positive or zero slopes replaced by the last cleaned one.
+def discharge_rules(s: Column, x: Column, first: Column, clip: float = 50.0, low_cut: float = 2.0) -> Column:
+    """What the rules for a discharge slope make of a row, null where the previous result stays.
 
     The rules in order: null becomes 0, |slope| >= clip becomes 0, a positive slope and a slope of
     0 take the previous result, x <= low_cut becomes 0. The first row is 0. What is carried is
     always the last row that a rule resolved, so that it is a last non-null value.
     """
-    s = F.col(raw)
-    ruled = (
-        F.when(F.lag(F.lit(1)).over(along(keys, order)).isNull(), F.lit(0.0))
-        .when(s.isNull() | (F.abs(s) >= clip), F.lit(0.0))
-        .when(s >= 0, F.lit(None).cast("double"))
-        .when(F.col(x) <= low_cut, F.lit(0.0))
-        .otherwise(s)
-    )
+    zero = F.lit(0.0)
+    return F.when(first, zero).when(s.isNull() | (F.abs(s) >= clip), zero).when(s >= 0, F.lit(None).cast("double")).when(x <= low_cut, zero).otherwise(s)
+
+
+def charge_rules(s: Column, x: Column, first: Column, top: Column, clip: float = 25.0, low_cut: float = 2.5, top_margin: float = 0.001) -> Column:
+    """The same for a charge slope: null 0, negative carried, outliers 0, near the top of x 0, zero carried, x <= low_cut 0."""
+    zero, carried = F.lit(0.0), F.lit(None).cast("double")
+    return F.when(first | s.isNull(), zero).when(s < 0, carried).when((s >= clip) | (x >= top - top_margin), zero).when(s == 0, carried).when(x <= low_cut, zero).otherwise(s)
+
+
+def _is_first(keys: list[str], order: list[str]) -> Column:
+    return F.lag(F.lit(1)).over(along(keys, order)).isNull()
+
+
+def clean_discharge(raw: str, x: str, keys: list[str], order: list[str], clip: float = 50.0, low_cut: float = 2.0) -> Column:
+    """Discharge slope with outliers set to 0 and positive or zero slopes replaced by the last cleaned one, for keys of bounded length."""
+    ruled = discharge_rules(F.col(raw), F.col(x), _is_first(keys, order), clip, low_cut)
     return F.coalesce(F.last(ruled, ignorenulls=True).over(so_far(keys, order)), F.lit(0.0))
 
 
 def clean_charge(raw: str, x: str, keys: list[str], order: list[str], clip: float = 25.0, low_cut: float = 2.5, top_margin: float = 0.001) -> Column:
-    """Charge slope: null 0, negative carried, outliers 0, near the top of x 0, zero carried, x <= low_cut 0."""
-    s = F.col(raw)
-    top = F.max(x).over(whole(keys))
-    ruled = (
-        F.when(F.lag(F.lit(1)).over(along(keys, order)).isNull() | s.isNull(), F.lit(0.0))
-        .when(s < 0, F.lit(None).cast("double"))
-        .when((s >= clip) | (F.col(x) >= top - top_margin), F.lit(0.0))
-        .when(s == 0, F.lit(None).cast("double"))
-        .when(F.col(x) <= low_cut, F.lit(0.0))
-        .otherwise(s)
-    )
+    """Charge slope, cleaned, for keys of bounded length."""
+    ruled = charge_rules(F.col(raw), F.col(x), _is_first(keys, order), F.max(x).over(whole(keys)), clip, low_cut, top_margin)
     return F.coalesce(F.last(ruled, ignorenulls=True).over(so_far(keys, order)), F.lit(0.0))
 
 
+def cleaned_slopes(df: DataFrame, y: str, x: str, keys: list[str], order: list[str], rows: int | None = None, discharge: str = "discharge", charge: str = "charge") -> DataFrame:
+    """``df`` with the slope dy/dx of each row cleaned as a discharge and as a charge, for keys of any length, which are scanned in ranges."""
+    names = {"__y": F.col(y), "__x": F.col(x), "__any": F.lit(1)}
+    one = scan(chunked(df, keys, order, rows), keys, order, before=names, total={"__top": (F.col(x), F.max)})
+    dy, dx = F.col(y) - F.col("__y"), F.col(x) - F.col("__x")
+    first = F.col("__any").isNull()
+    still = F.when(dy > 0, float("inf")).when(dy < 0, float("-inf"))
+    sloped = one.withColumn("__slope", F.when(first, F.lit(0.0)).when(dx != 0, F.try_divide(dy, dx)).otherwise(still))
+    s = F.col("__slope")
+    two = scan(sloped, keys, order, upto={discharge: discharge_rules(s, F.col(x), first), charge: charge_rules(s, F.col(x), first, F.col("__top"))})
+    return two.select(*(c for c in df.columns if c not in (discharge, charge)), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in (discharge, charge)))
+
+
 def crossing_time(df: DataFrame, unit: str, cycle: str, order: list[str], seconds: str, reached: Column, hits: int = 2, fallback: float = 1200.0) -> DataFrame:
     """Seconds from a cycle's start to the row after its ``hits``-th row that is ``reached``, which may be in the next cycle.
 

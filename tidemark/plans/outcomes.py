@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, policy, rollup, series
+from ..operators import evaluate, ordered, policy, rollup, series
 from .tables import rounded, table
 
 QUERIES, SQL = {}, {}
@@ -90,22 +90,31 @@ def spread_parts(spark, sf_dir):
     return rounded(evaluate.spread_parts(_pairs(spark, sf_dir), ["g"], "a", "p"), 3)
 
 
-_BRANDS = "brand AS (SELECT p_brand AS b, count(*) AS n, CAST(round(sum(p_retailprice) / 1000) AS BIGINT) AS v, max(p_size) AS s FROM part GROUP BY 1)"
-
-
-def _brands(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("b")).agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice") / 1000).cast("long").alias("v"), F.max("p_size").alias("s"))
+@query("""WITH line AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, o_totalprice AS p, v, o_orderpriority AS g FROM orders JOIN line ON k = o_orderkey),
+whole AS (SELECT NULL::VARCHAR AS g, sum(sign(x.p - y.p) * sign(x.v - y.v)) AS s, sum(abs(sign(x.p - y.p))) AS a, sum(abs(sign(x.v - y.v))) AS b FROM o AS x JOIN o AS y ON x.k < y.k),
+parts AS (SELECT x.g, sum(sign(x.p - y.p) * sign(x.v - y.v)) AS s, sum(abs(sign(x.p - y.p))) AS a, sum(abs(sign(x.v - y.v))) AS b FROM o AS x JOIN o AS y ON x.g = y.g AND x.k < y.k GROUP BY x.g)
+SELECT g, round(s / sqrt(a::DOUBLE * b), 6) AS tau FROM (SELECT * FROM whole UNION ALL SELECT * FROM parts)""")
+def kendall_tau(spark, sf_dir):
+    """Rank correlation of an order's total and the sum of its lines: over all orders (a null g) and in each priority."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("v"))
+    both = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_orderpriority").alias("g"), "o_totalprice", "v")
+    overall = evaluate.kendall(both, "o_totalprice", "v").select(F.lit(None).cast("string").alias("g"), "tau")
+    return rounded(overall.union(evaluate.kendall(both, "o_totalprice", "v", ["g"])))
 
 
-@query(f"""WITH {_BRANDS} SELECT round(sum(sign(x.n - y.n) * sign(x.s - y.s)) / sqrt(sum(abs(sign(x.n - y.n))) * sum(abs(sign(x.s - y.s)))), 6) AS tau FROM brand AS x JOIN brand AS y ON x.b < y.b""")
-def kendall_tau(spark, sf_dir):
-    return rounded(evaluate.kendall(_brands(spark, sf_dir), "b", "n", "s"))
+@query("""WITH f AS (SELECT l_linenumber AS g, l_quantity AS x, l_discount AS y, count(*)::HUGEINT AS n FROM lineitem GROUP BY 1, 2, 3)
+SELECT a.g, round(sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(a.n * b.n * abs(sign(a.x - b.x)))::DOUBLE * sum(a.n * b.n * abs(sign(a.y - b.y)))), 6) AS tau FROM f AS a JOIN f AS b USING (g) GROUP BY a.g""")
+def kendall_tau_with_ties(spark, sf_dir):
+    """Of quantity and discount, which have few values each, in every line number."""
+    return rounded(evaluate.kendall(table(spark, sf_dir, "lineitem").withColumnRenamed("l_linenumber", "g"), "l_quantity", "l_discount", ["g"]))
 
 
-@query(f"""WITH {_BRANDS} SELECT b, CAST(row_number() OVER (ORDER BY v DESC, b) AS INTEGER) AS place, (rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0)::DOUBLE AS average FROM brand""")
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS place,
+  (rank() OVER (ORDER BY l_quantity DESC) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0)::DOUBLE AS average FROM lineitem""")
 def rank_kinds(spark, sf_dir):
-    brands = _brands(spark, sf_dir).withColumn("all", F.lit(1))
-    return brands.select("b", evaluate.unique_rank("v", ["all"], "b").alias("place"), evaluate.average_rank("n", ["all"]).alias("average"))
+    """Both ranks of every line by quantity, which has fifty values."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return ordered.ranked(lines, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "place", "average")
 
 
 @query("""WITH monthly AS (SELECT p_brand AS b, CAST(year(l_shipdate) AS INTEGER) AS y, sum(l_extendedprice) AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2

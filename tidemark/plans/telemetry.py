@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, features, rollup, series
+from ..operators import curves, features, rollup, series, smoothing
 from .tables import DAILY_SQL, ORDER, SAMPLES_SQL, daily, rounded, samples
 
 QUERIES, SQL = {}, {}
@@ -26,9 +26,9 @@ def query(sql: str | None = None):
 SELECT unit, CAST(k AS INTEGER) AS k, cycle, max(value) AS qcharge, max(value * value) AS qdischarge, max(value) AS tmax, min(value) AS tmin, round(avg(value), 6) AS tavg,
   arg_max(value, (t, idx)) AS ir FROM inside GROUP BY unit, k, cycle""")
 def cycle_summary(spark, sf_dir):
-    inside = series.inner_cycles(samples(spark, sf_dir)).withColumn("square", F.col("value") * F.col("value"))
-    out = rollup.cycle_summary(inside, ["unit", "k", "cycle"], ORDER, "value", "square", "value", "value")
-    return out.withColumn("tavg", F.round("tavg", 6))
+    squared = samples(spark, sf_dir).withColumn("square", F.col("value") * F.col("value"))
+    cycles = rollup.cycle_summary(squared, ["unit", "cycle"], ORDER, "value", "square", "value", "value")
+    return series.inner(cycles).withColumn("tavg", F.round("tavg", 6))
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT idx, unit, cycle, round((t - first_value(t) OVER w) / 60, 6) AS minutes, round(value - first_value(value) OVER w, 6) AS change,
@@ -67,9 +67,8 @@ _CLEAN = """first_row, s, CASE WHEN first_row THEN 0 WHEN s IS NULL OR abs(s) >=
 SELECT idx, unit, round(coalesce(last_value(a IGNORE NULLS) OVER w, 0), 4) + 0.0 AS discharge, round(coalesce(last_value(b IGNORE NULLS) OVER w, 0), 4) + 0.0 AS charge
 FROM ruled WINDOW w AS (PARTITION BY unit ORDER BY t, idx ROWS UNBOUNDED PRECEDING)""")
 def derivative_clean(spark, sf_dir):
-    keys = ["unit"]
-    sloped = samples(spark, sf_dir).withColumn("hours", F.col("t") / 3600).withColumn("s", series.slope("hours", "value", keys, ORDER))
-    return rounded(sloped.select("idx", "unit", series.clean_discharge("s", "value", keys, ORDER).alias("discharge"), series.clean_charge("s", "value", keys, ORDER).alias("charge")), 4)
+    hours = samples(spark, sf_dir).withColumn("hours", F.col("t") / 3600)
+    return rounded(series.cleaned_slopes(hours, "hours", "value", ["unit"], ORDER).select("idx", "unit", "discharge", "charge"), 4)
 
 
 @query(f"""WITH {SAMPLES_SQL}, marked AS (
@@ -219,5 +218,11 @@ def shared_cycles(spark, sf_dir):
 
 @query()
 def spline_resample(spark, sf_dir):
+    """Daily means as splines whose stiffness the data choose."""
     days = daily(spark, sf_dir).withColumn("x", F.col("cycle").cast("double"))
-    return rounded(curves.spline_resample(days, "x", ["q"], ["unit"], points=59, first=29.0, last=0.0, stiffness=0.5))
+    return rounded(smoothing.spline_resample(days, "x", ["q"], ["unit"], points=59, first=29.0, last=0.0))
+
+
+@query()
+def robust_smooth(spark, sf_dir):
+    return rounded(smoothing.robust_smooth(daily(spark, sf_dir), "cycle", "q", ["unit"]))
