@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: The share of documents that supervised operators hold out (crc32(doc_id as text) mod 4 = 2).
 HOLD_MODULUS, HOLD_REMAINDER = 4, 2
-#: Rows from which a join key counts as hot, hot keys that are split at most, and tasks of one hot key at most.
-HOT_ROWS, HOT_KEYS, HOT_PARTS = 2000, 1000, 512
+#: Rows from which a join key counts as hot, and hot keys that are split at most.
+HOT_ROWS, HOT_KEYS = 2000, 4096
 #: Bytes that a broadcast table may take on an executor, and what a row of one or two numbers takes there.
 BROADCAST_BYTES, BROADCAST_ROW = 64 << 20, 64
 
@@ -45,6 +45,10 @@ def scratch(spark: SparkSession) -> str:
     return name
 
 
+#: Names of the tables that settle() has written, in order, but for discarded ones.
+_written: dict[str, None] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage is cut.
 
@@ -54,17 +58,33 @@ def settle(df: DataFrame) -> DataFrame:
     """
     name = scratch(df.sparkSession)
     df.write.parquet(name)
+    _written[name] = None
     out = df.sparkSession.read.schema(df.schema).parquet(name)
     out._settled = name
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written.pop(name, None)
+
+
 def discard(*settled: DataFrame) -> None:
     """Delete tables of settle() that nothing still to be computed reads."""
     for df in settled:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._settled)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._settled)
+
+
+def written() -> list[str]:
+    """The names of all tables of settle() that still stand."""
+    return list(_written)
+
+
+def discard_written(spark: SparkSession, names: Iterable[str]) -> None:
+    """Delete tables of settle() by name."""
+    for name in names:
+        _delete(spark, name)
 
 
 def unused(columns: Iterable[str], *wanted: str) -> list[str]:
@@ -78,27 +98,33 @@ def unused(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def fits_broadcast(rows: int) -> bool:
-    """Whether so many rows of a number or two may be broadcast."""
-    return rows * BROADCAST_ROW <= BROADCAST_BYTES
+def fits_broadcast(rows: int, more_bytes: int = 0) -> bool:
+    """Whether so many rows of a number or two, and of so many bytes besides, may be broadcast."""
+    return rows * BROADCAST_ROW + more_bytes <= BROADCAST_BYTES
 
 
-def spread_join(rows: DataFrame, other: DataFrame, on: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``other``, which has few rows a key, without a task for all rows of a hot key.
 
-    The heaviest keys, HOT_KEYS at most, are broadcast with a number of parts; ``by`` deals the rows
-    of each over its parts, and ``other`` has a copy of its row for each part. Keys beyond them hold less than
-    a thousandth of all rows each. Which keys are split changes no result. ``counts``, if known, has the keys and their n.
+    The heaviest keys, HOT_KEYS at most, are broadcast with a number of parts in proportion to their rows; the rows
+    of each are dealt over its parts by their number, so that equal rows part as well, and ``other`` has a copy of its row for each part.
+    What is not split holds less than one row in HOT_KEYS, or HOT_ROWS. Which keys are split changes no result. ``counts``, if known, has the keys and their n.
+
+    ``rows`` must come from files or settled tables without a shuffle between, as a row that is computed again must have the same number.
     """
     counts = rows.groupBy(*on).agg(F.count("*").alias("hot_n")) if counts is None else counts.withColumnRenamed("n", "hot_n")
     found = counts.filter(F.col("hot_n") > HOT_ROWS).select(*on, "hot_n").orderBy(F.desc("hot_n")).limit(HOT_KEYS)
     heaviest = found.collect()
     if not heaviest:
         return rows.join(other, on, how)
+    part_rows = max(HOT_ROWS, heaviest[-1]["hot_n"]) if len(heaviest) == HOT_KEYS else HOT_ROWS
+    # all parts together are as many as keys and a share of all rows; the share keeps them few
+    part_rows = max(part_rows, -(-sum(r["hot_n"] for r in heaviest) // HOT_KEYS))
     hot = rows.sparkSession.createDataFrame(heaviest, found.schema)
-    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("hot_n") / HOT_ROWS), F.lit(HOT_PARTS)).cast("int").alias("hot_parts")))
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("hot_n") / part_rows).cast("int").alias("hot_parts")))
     parts = F.coalesce("hot_parts", F.lit(1))
-    dealt = rows.join(hot, on, "left").withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("hot_parts")
+    numbered = rows.withColumn("hot_row", F.monotonically_increasing_id())
+    dealt = numbered.join(hot, on, "left").withColumn("hot_part", F.pmod(F.xxhash64("hot_row"), parts).cast("int")).drop("hot_parts", "hot_row")
     copies = other.join(hot, on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
     return dealt.join(copies, [*on, "hot_part"], how).drop("hot_part")
 

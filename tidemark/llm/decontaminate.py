@@ -84,7 +84,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around("w"))
     else:
         # hashes alone are shuffled, and the few documents with a block are read again
-        some = spread_join(_blocks(docs, lengths), blocks, ["n", "h"], "key", "left_semi")
+        some = spread_join(_blocks(docs, lengths), blocks, ["n", "h"], "left_semi")
         places = some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "begin")).alias("places"))
         again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
         match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])
@@ -92,7 +92,16 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         near = each.select("doc_id", "key", "n", *_around("w"))
     runs = F.transform(F.sequence(F.lit(0), F.lit(_REACH) - F.col("n")), lambda i: F.struct((F.col("first") + i).alias("at"), F.slice("near", i + 1, F.col("n")).alias("run")))
     cut = near.select("doc_id", "key", "n", F.inline(runs)).distinct()
-    return cut.join(windows, ["n", "run"], "left_semi").select("doc_id", "key", "at", "n", "run")
+    found = _by_run(cut, windows, ["n", "run"], "left_semi")
+    return found.select("doc_id", "key", "at", "n", "run")
+
+
+def _by_run(found: DataFrame, windows: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``found`` joined with settled windows; where they are too large to broadcast, a passage that is everywhere is not one task's work."""
+    rows, size = windows.agg(F.count("*"), F.sum(F.octet_length(F.array_join("run", " ")) + 16 * F.size("run"))).first()
+    if fits_broadcast(rows, size or 0):
+        return found.join(F.broadcast(windows), on, how)
+    return spread_join(settle(found), windows, on, how)
 
 
 def hit_documents(docs: DataFrame, benchmark: DataFrame, with_items: bool = False) -> DataFrame:
@@ -106,7 +115,7 @@ def hit_documents(docs: DataFrame, benchmark: DataFrame, with_items: bool = Fals
     if not with_items:
         return per
     # items are looked up for the distinct windows of a document, and do not ride on every hit
-    items = found.select("doc_id", "key", "run").distinct().join(of_items, "run").select(F.col("doc_id").alias("id"), F.col("key").alias("id_key"), "item_id").distinct()
+    items = _by_run(found.select("doc_id", "key", "run").distinct(), of_items.select("item_id", "run"), ["run"], "inner").select(F.col("doc_id").alias("id"), F.col("key").alias("id_key"), "item_id").distinct()
     items = items.groupBy("id", "id_key").agg(F.collect_list("item_id").alias("hit_items"))
     return per.join(items, (F.col("key") == F.col("id_key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "key", "hit_words", "hit_items")
 
@@ -147,10 +156,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns, whatever their names.
 
-    Null and empty texts stay; repeated rows stay or go together; an empty benchmark removes nothing.
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark removes nothing, and an empty table gives none.
     """
     key = _free_key(docs)
-    found = hit_documents(docs, benchmark).select("doc_id", "key")
+    found = settle(hit_documents(docs, benchmark).select("doc_id", "key"))
+    if fits_broadcast(found.count()):
+        found = F.broadcast(found)  # else texts are shuffled
     return _beside(docs.withColumn(key, text_key(F.col("text"))), key, found, "left_anti").select(*docs.columns)
 
 
@@ -158,7 +169,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit word, and what stands between it and the next word, cut from ``text``.
 
     Null texts stay null; a text of hit words alone keeps what stands before its first word. Repeated rows are cut alike. All other columns
-    pass unchanged, whatever their names.
+    pass unchanged, whatever their names. An empty table gives none.
     """
     key = _free_key(docs)
     found = hit_documents(docs, benchmark)

@@ -29,7 +29,7 @@ def _with_hashes(found: DataFrame, hashes: DataFrame) -> DataFrame:
     """The lines with one of these hashes, which are settled; a line that is everywhere is not one task's work."""
     if fits_broadcast(hashes.count()):
         return found.join(F.broadcast(hashes), "h", "left_semi")
-    return spread_join(found, hashes, ["h"], "key", "left_semi")
+    return spread_join(found, hashes, ["h"], "left_semi")
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -48,7 +48,10 @@ def _cut(docs: DataFrame, site: str, min_sites: int, among: DataFrame | None) ->
     name = dict(zip(("id", "key", "places", "lines", "n_lines", "n_cut"), unused(docs.columns, "id", "key", "places", "lines", "n_lines", "n_cut")))
     spread = settle(boilerplate(docs if among is None else among, site, min_sites))
     places = _with_hashes(lines(docs, site), spread).groupBy("id", "key").agg(F.collect_set("at").alias(name["places"]))
-    places = places.select(F.col("id").alias(name["id"]), F.col("key").alias(f"{name['key']}_at"), name["places"])
+    places = settle(places.select(F.col("id").alias(name["id"]), F.col("key").alias(f"{name['key']}_at"), name["places"]))
+    rows, numbers = places.agg(F.count("*"), F.sum(F.size(name["places"]))).first()
+    if fits_broadcast(2 * rows, 8 * (numbers or 0)):
+        places = F.broadcast(places)  # else texts are shuffled
     # lines travel in place of the text, and those that stay are picked by number, in time that grows with the text alone
     others = [c for c in docs.columns if c != "text"]
     cut = docs.select(*others, text_key(F.col("text")).alias(name["key"]), F.split("text", "\n", -1).alias(name["lines"]))

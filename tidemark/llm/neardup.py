@@ -203,7 +203,7 @@ def _side(frame: DataFrame, name: str, **columns: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, whole: DataFrame, how: Plan) -> DataFrame:
     """The pairs whose shingle sets are as similar as the plan asks."""
-    joined = spread_join(pairs, _side(whole, "doc_id", to="a", xa="shingles"), ["a"], "b").join(_side(whole, "doc_id", to="b", xb="shingles"), "b")
+    joined = spread_join(pairs, _side(whole, "doc_id", to="a", xa="shingles"), ["a"]).join(_side(whole, "doc_id", to="b", xb="shingles"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     return joined.filter(how.den * common >= how.num * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct()
 
@@ -256,14 +256,14 @@ def _crowded_links(members: DataFrame, roots: DataFrame, classes: DataFrame, doc
     """
     now = settle(members.join(roots, "node", "left").select("node", "key", "pivot", F.coalesce("root", "node").alias("root")))
     split = settle(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"))
-    open_members = settle(spread_join(now, split.select("key"), ["key"], "node", "left_semi", split).select("node", "root", "pivot").distinct())
+    open_members = settle(spread_join(now, split.select("key"), ["key"], "left_semi", split).select("node", "root", "pivot").distinct())
     discard(now, split)
     clusters = components(open_members.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     each = settle(open_members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node"))
     sizes = each.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     shape = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     parts = shape.select("cluster", "main", *(F.ceil(c / BLOCK).cast("int").alias(name) for c, name in ((F.col("most"), "main_parts"), (F.col("all") - F.col("most"), "rest_parts"))))
-    placed = spread_join(each, parts, ["cluster"], "node").withColumn("is_main", F.col("root") == F.col("main"))
+    placed = spread_join(each, parts, ["cluster"]).withColumn("is_main", F.col("root") == F.col("main"))
     at = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int")
     # blocks of the rest come first, those of the main component after them
     placed = settle(placed.withColumn("block", F.when(F.col("is_main"), at + F.col("rest_parts")).otherwise(at)))
@@ -307,9 +307,9 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     classes = grouped.filter(F.col("node").isNotNull()).select("node", "signature")
     keys = _keys(classes, how)
     pivots = settle(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"))
-    shared = settle(spread_join(keys, pivots, ["key"], "node", counts=pivots).select("node", "key", "pivot", "n"))
+    shared = settle(spread_join(keys, pivots, ["key"], counts=pivots).select("node", "key", "pivot", "n"))
     pairs = settle(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    signed = spread_join(pairs, _side(classes, "node", to="a", sa="signature"), ["a"], "b").join(_side(classes, "node", to="b", sb="signature"), "b")
+    signed = spread_join(pairs, _side(classes, "node", to="a", sa="signature"), ["a"]).join(_side(classes, "node", to="b", sb="signature"), "b")
     near = settle(_near(signed, how).distinct())
     discard(pivots, pairs)
     whole = _whole_sets(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")), how)
@@ -322,7 +322,7 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     discard(near, shared, links, more)
     found = grouped.select(*_EQUAL, "n", "node").join(roots, "node", "left").select(*_EQUAL, F.coalesce("root", "node").alias("component"))
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
-    others = spread_join(full.drop("signature"), found, _EQUAL, "doc_id", "left", grouped.select(*_EQUAL, "n")).select("doc_id", "n_shingles", "component")
+    others = spread_join(full.drop("signature"), found, _EQUAL, "left", grouped.select(*_EQUAL, "n")).select("doc_id", "n_shingles", "component")
     return (
         others.union(empty).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -334,20 +334,25 @@ def deduplicate(docs: DataFrame, how: Plan) -> DataFrame:
 
     Repeated rows of a doc_id leave one row. A doc_id that stands on different texts names no document,
     and no more does a null one: rows of either stay, but for exact repeats of a named text, and
-    link nothing. All columns of ``docs`` return as they are, whatever their names.
+    link nothing. All columns of ``docs`` return as they are, whatever their names; an empty table gives none.
     """
-    key, other = unused(docs.columns, "key", "key_high")
+    key, other, count = unused(docs.columns, "key", "key_high", "rows_of_id")
     keyed = docs.withColumn(key, text_key(F.col("text")))
     named = keyed.filter(F.col("doc_id").isNotNull())
-    several = settle(named.groupBy("doc_id").agg(F.min(key).alias(key), F.max(key).alias(other)).filter(F.col(key) != F.col(other)).select("doc_id"))
-    some = not several.isEmpty()
-    single = named.join(several, "doc_id", "left_anti") if some else named
-    verdict = link(single.select("doc_id", "text"), how)
+    # ids are counted first, so that only rows of repeated ids are ever moved with their texts
+    often = settle(named.groupBy("doc_id").agg(F.min(key).alias(key), F.max(key).alias(other), F.count("*").alias(count)).filter(F.col(count) > 1).select("doc_id", (F.col(key) != F.col(other)).alias(other)))
+    repeats = often.count()
+    small = lambda ids, rows: F.broadcast(ids) if fits_broadcast(rows) else ids
+    once = named.join(small(often.select("doc_id"), repeats), "doc_id", "left_anti") if repeats else named
+    # of an id that stands on one text one row stays, of others each text
+    again = named.join(small(often, repeats), "doc_id").dropDuplicates(["doc_id", key]) if repeats else None
+    single = once.select("doc_id", "text")
+    verdict = link(single.union(again.filter(~F.col(other)).select("doc_id", "text")) if repeats else single, how)
     dropped = settle(verdict.filter(~F.col("kept")).select("doc_id").distinct())
-    gone = F.broadcast(dropped) if fits_broadcast(dropped.count()) else dropped
-    stay = single.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    if some:
-        stay = stay.union(named.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns))
+    gone = small(dropped, dropped.count())
+    stay = once.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeats:
+        stay = stay.union(again.filter(other).select(*docs.columns)).union(again.filter(~F.col(other)).join(gone, "doc_id", "left_anti").select(*docs.columns))
     return stay.union(docs.filter(F.col("doc_id").isNull()))
 
 

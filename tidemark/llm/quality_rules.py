@@ -57,7 +57,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = FIT_
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
 
-    Null and empty texts go, as they have no words; repeated rows stay or go together.
+    Null and empty texts go, as they have no words; repeated rows stay or go together; an empty table gives none.
     """
     prefix = "quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):

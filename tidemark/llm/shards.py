@@ -69,9 +69,10 @@ def _name_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
 
 def _with_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
     found = settle(_name_cells(coded, name, cells))
-    if fits_broadcast(found.count()):
+    rows, size = found.agg(F.count("*"), F.sum(F.octet_length(name))).first()
+    if fits_broadcast(rows, size or 0):
         return coded.join(F.broadcast(found), name)
-    return spread_join(coded, found, [name], "spread")
+    return spread_join(coded, found, [name])
 
 
 def _cut(value: str, edges: list[float]) -> Column:

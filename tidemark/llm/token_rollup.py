@@ -9,23 +9,26 @@ they are in HDFS and in local file systems; an object store without them needs a
 
 from __future__ import annotations
 
-import base64
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textkit
+from . import bpe, textkit
 from .common import settle, small_batches
 
 KEYS = ("source", "lang", "tokenizer")
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 #: What a row of a batch holds: for inserts n_tokens, for deletes old_tokens, for revised counts both.
 DELTA = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+#: Bytes from which a piece is merged by replay, pieces whose counts a worker remembers, and bits of a count.
+LONG_PIECE, REMEMBERED_PIECES, COUNT_BITS = 500, 400_000, 48
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -59,7 +62,7 @@ def commit(spark: SparkSession, root: str, batch: str, deltas: DataFrame) -> boo
     if files.exists(final):
         return False
     draft, _ = _file_system(spark, f"{root}/_draft-{uuid.uuid4().hex}")
-    signed(deltas).coalesce(1).write.parquet(draft.toString())  # a row a key
+    signed(deltas).repartition(1).write.parquet(draft.toString())  # a row a key, summed before it moves
     done = files.rename(draft, final) if not files.exists(final) else False
     if not done:
         files.delete(draft, True)
@@ -81,27 +84,83 @@ def totals(spark: SparkSession, root: str, among: list[str] | None = None) -> Da
     return summed.filter("n_docs <> 0 or n_tokens <> 0")
 
 
+class PieceCounts:
+    """Token counts of texts under several rank files that share a pattern: a text is split once, and a piece is counted once and then known.
+
+    Pieces are merged by tiktoken one by one, and those over LONG_PIECE bytes, on which its time grows with the square of their
+    length, by bpe.MergeReplay. Texts are never handed to tiktoken's own splitter, whose stack a long run of blanks overflows.
+    """
+
+    def __init__(self, files: list[bytes], pattern: str):
+        import regex
+        import tiktoken
+
+        self.files, self.text_pattern = files, pattern
+        self.pattern = regex.compile(pattern)
+        self.coders = [tiktoken.Encoding(str(k), pat_str=".", mergeable_ranks={t: r for r, t in enumerate(bpe.tokens(raw)) if t}, special_tokens={}) for k, raw in enumerate(files)]
+        self.long: dict[int, bpe.MergeReplay] = {}
+        self.known: dict[str, int] = {}
+
+    def _count(self, k: int, piece: bytes) -> int:
+        if len(piece) <= LONG_PIECE:
+            return len(self.coders[k]._encode_single_piece(piece))
+        if k not in self.long:
+            self.long[k] = bpe.MergeReplay(self.files[k], self.text_pattern)
+        return 1 if piece in self.long[k].ranks else len(self.long[k].replay([piece])[0])
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > REMEMBERED_PIECES:
+            self.known.clear()
+        for piece in pieces - self.known.keys():
+            raw = piece.encode("utf-8")
+            # one number holds the counts of all files, so that a text is one sum
+            self.known[piece] = sum(self._count(k, raw) << COUNT_BITS * k for k in range(len(self.files)))
+
+    def count(self, texts: list[str]) -> list[int]:
+        split = [self.pattern.findall(t) for t in texts]
+        self._learn(set().union(*split))
+        return [sum(map(self.known.__getitem__, pieces)) for pieces in split]
+
+    def count_long(self, text: str) -> int:
+        total, found = 0, (m.group() for m in self.pattern.finditer(text))
+        while pieces := list(islice(found, bpe.PIECES_AT_ONCE)):
+            self._learn(set(pieces))
+            total += sum(map(self.known.__getitem__, pieces))
+        return total
+
+    def parts(self, total: int) -> list[int]:
+        return [total >> COUNT_BITS * k & (1 << COUNT_BITS) - 1 for k in range(len(self.files))]
+
+
+_counter: dict[bytes, PieceCounts] = {}
+
+
+def _counts_of(files: list[bytes], pattern: str) -> PieceCounts:
+    """The counter of these files, which a worker process keeps between tasks; only the last is kept."""
+    key = hashlib.sha256(b"".join(hashlib.sha256(x).digest() for x in (*files, pattern.encode()))).digest()
+    if key not in _counter:
+        _counter.clear()
+        _counter[key] = PieceCounts(files, pattern)
+    return _counter[key]
+
+
 def count_tokens(docs: DataFrame, rank_paths: dict[str, str], pattern: str) -> DataFrame:
     """``docs`` without text, and a column of token counts for each tokenizer version; null and empty texts count 0."""
     rest = [c for c in docs.columns if c != "text" and c not in rank_paths]
-    files = {}
-    for name, path in rank_paths.items():
+    files = []
+    for path in rank_paths.values():
         with open(path, "rb") as f:
-            files[name] = f.read()
+            files.append(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        coders = []
-        for name, raw in shared.value.items():
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
-            coders.append(tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        counter = _counts_of(shared.value, pattern)
         for batch in batches:
             column = batch.column(len(rest))
-            for start, stop, _, _ in textkit.runs(column):
-                texts = column.slice(start, stop - start).to_pylist()
-                counts = [pa.array([len(c.encode_ordinary(t)) if t else 0 for t in texts], pa.int64()) for c in coders]
+            for start, stop, data, _ in textkit.runs(column):
+                texts = [t or "" for t in column.slice(start, stop - start).to_pylist()]
+                totals = [counter.count_long(texts[0])] if len(data) > textkit.RUN_BYTES else counter.count(texts)
+                counts = [pa.array(c, pa.int64()) for c in zip(*map(counter.parts, totals))]
                 yield pa.RecordBatch.from_arrays([*(x.slice(start, stop - start) for x in batch.columns[:-1]), *counts], names=[*rest, *rank_paths])
 
     fields = docs.select(*rest).schema.fields
