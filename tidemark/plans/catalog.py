@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, forms, outcomes, policies, telemetry
+from . import files, forms, outcomes, policies, streams, telemetry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = telemetry.QUERIES | policies.QUERIES | outcomes.QUERIES | forms.QUERIES | files.QUERIES
-ORACLE_SQL: dict[str, str] = telemetry.SQL | policies.SQL | outcomes.SQL | forms.SQL | files.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = telemetry.QUERIES | policies.QUERIES | outcomes.QUERIES | forms.QUERIES | files.QUERIES | streams.QUERIES
+ORACLE_SQL: dict[str, str] = telemetry.SQL | policies.SQL | outcomes.SQL | forms.SQL | files.SQL | streams.SQL
 FLAGSHIP = "cycle_summary"

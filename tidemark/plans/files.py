@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features
-from ..sources import readers, schemas, sinks
+from ..sources import named_files, readers, schemas, sinks, workbooks
 from ..sources.scratch import scratch
 from .tables import SAMPLES_SQL, rounded, samples, table
 
@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 #: Cells that the samples are dealt over, each a telemetry file and a metadata file.
-_CELLS = 3
+_CELLS = 24
 
 
 def _telemetry_folder(spark, sf_dir) -> str:
@@ -32,15 +32,16 @@ def _telemetry_folder(spark, sf_dir) -> str:
     folder = scratch(spark)
     own = samples(spark, sf_dir).withColumn("cell", F.col("unit") % _CELLS)
     kept = {"sample_idx": F.col("idx"), "test_time": F.col("t"), "step_idx": F.lit(1), "cycle_idx": F.col("cycle") % 3, "voltage": F.col("value")}
-    rows = own.select("cell", *(kept.get(c.split()[0], F.lit(None).cast("double")).alias(c.split()[0]) for c in schemas.TELEMETRY.split(", ")))
-    about = {"iv_ch_id": lambda k: F.lit(k), "schedule_file_name": lambda k: F.lit(f"x\\a-b-{k}_6c.sdu"), "databases": lambda k: F.lit("one,two"), "item_id": lambda k: F.lit(f"EL{k}50")}
-    for k in range(_CELLS):
-        cell = rows.filter(F.col("cell") == k).drop("cell").orderBy("test_time", "sample_idx")
-        sinks.named_csv(cell, folder, f"2024-01-24_batch_CH{k + 1}.csv")
-        one = spark.range(1).select(*(about.get(c.split()[0], lambda k: F.lit(0))(k).alias(c.split()[0]) for c in schemas.METADATA.split(", ")))
-        sinks.named_csv(one, folder, f"2024-01-24_batch_CH{k + 1}_Metadata.csv")
-    for name in ("~2024-01-24_batch_CH1.csv", "2024-02-01_batch_CH1.csv"):
-        sinks.named_csv(rows.drop("cell").limit(5), folder, name)
+    columns = [c.split()[0] for c in schemas.TELEMETRY.split(", ")]
+    rows = own.select("cell", *(kept.get(c, F.lit(None).cast("double")).alias(c) for c in columns))
+    named = lambda day, before="", after="": F.concat(F.lit(f"{before}{day}_batch_CH"), (F.col("cell") + 1).cast("string"), F.lit(f"{after}.csv"))
+    # a temporary file and one of another day for each cell, with the first samples of the batch
+    others = F.explode(F.array(named("2024-01-24"), F.when(F.col("sample_idx") < 50, named("2024-01-24", "~")), F.when(F.col("sample_idx") < 50, named("2024-02-01")))).alias("file")
+    named_files.write_csv(rows.select("*", others).filter("file is not null"), folder, "file", ["test_time", "sample_idx"], columns)
+    about = {"iv_ch_id": F.col("cell"), "schedule_file_name": F.concat(F.lit("x\\a-b-"), F.col("cell").cast("string"), F.lit("_6c.sdu")), "databases": F.lit("one,two"), "item_id": F.concat(F.lit("EL"), F.col("cell").cast("string"), F.lit("50"))}
+    fields = [c.split()[0] for c in schemas.METADATA.split(", ")]
+    cells = own.select("cell").distinct().select(named("2024-01-24", after="_Metadata").alias("file"), *(about.get(c, F.lit(0)).alias(c) for c in fields))
+    named_files.write_csv(cells, folder, "file", [], fields)
     return folder
 
 
@@ -80,10 +81,11 @@ SELECT CAST(round AS INTEGER) AS round, o_orderkey / 1.0::DOUBLE AS c1, o_custke
 def rounds_of_files(spark, sf_dir):
     """Headerless tables a round, whose numbers are in the names of the files; blanks are null, and the last round lacks its column."""
     folder = scratch(spark)
-    orders = table(spark, sf_dir, "orders")
-    for k in range(3):
-        own = orders.filter(F.col("o_orderkey") % 3 == k).select((F.col("o_orderkey") / 1.0).alias("c1"), (F.col("o_custkey") / 1.0).alias("c2"), F.lit(1.5).alias("c3"), F.lit(None).cast("double").alias("c4"), F.col("o_totalprice").alias("life"))
-        sinks.named_csv(own if k < 2 else own.drop("life"), folder, f"{k}.csv", header=False)
+    k = F.col("o_orderkey") % 3
+    rates = [(F.col("o_orderkey") / 1.0).alias("c1"), (F.col("o_custkey") / 1.0).alias("c2"), F.lit(1.5).alias("c3"), F.lit(None).cast("double").alias("c4")]
+    line = F.when(k < 2, F.to_csv(F.struct(*rates, F.col("o_totalprice").alias("life")))).otherwise(F.to_csv(F.struct(*rates)))
+    rows = table(spark, sf_dir, "orders").select(F.concat(k.cast("string"), F.lit(".csv")).alias("name"), F.concat(line, F.lit("\n")).cast("binary").alias("content"), "o_orderkey")
+    named_files.write_contents(rows, folder, ["o_orderkey"])
     return readers.rounds(spark, folder)
 
 
@@ -121,11 +123,10 @@ def state_of_rounds(spark, sf_dir):
 def run_log(spark, sf_dir):
     """A row a run and a column a round, from a log that rounds are added to one by one."""
     root = scratch(spark)
-    runs = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(F.max("n_nationkey").alias("a"), F.min("n_nationkey").alias("b"))
-    for r in runs.collect():  # a row a run
-        sinks.append_log(spark, root, r["r_name"], 0, float(r["a"]))
-        if r["r_regionkey"] < 3:
-            sinks.append_log(spark, root, r["r_name"], 1, float(r["b"]))
+    runs = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("run"), "r_regionkey").agg(F.max("n_nationkey").alias("a"), F.min("n_nationkey").alias("b"))
+    sinks.append_log(runs.select("run", F.lit(0).alias("round"), F.lit(-1.0).alias("life")), root)
+    sinks.append_log(runs.select("run", F.lit(0).alias("round"), F.col("a").alias("life")), root)
+    sinks.append_log(runs.filter("r_regionkey < 3").select("run", F.lit(1).alias("round"), F.col("b").alias("life")), root)
     return sinks.read_log(spark, root, 2)
 
 
@@ -161,5 +162,29 @@ def export_by_name(spark, sf_dir):
     """Written with its display names and read again."""
     path = scratch(spark)
     own = features.export(_scored(spark, sf_dir), by_rates=False)
-    sinks.display_csv(own, path, own.columns, ["Policy", "Barcode"])
+    sinks.display_csv(own, path, "table.csv", own.columns, ["Policy", "Barcode"])
     return rounded(readers.csv(spark, path, "Channel long, Barcode long, Lifetime int, Prediction double, CI_Lo double, CI_Hi double, Policy string"))
+
+
+@query("""SELECT 'nation' AS sheet, n_nationkey AS key, n_name AS name, n_regionkey / 1.0::DOUBLE AS parent FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, NULL FROM region""")
+def workbook_of_two_sheets(spark, sf_dir):
+    """A workbook with a sheet for each table, written and read again."""
+    folder = scratch(spark)
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    workbooks.write(workbooks.as_cells(nation, "places.xlsx", "nation", ["n_nationkey"]).union(workbooks.as_cells(region, "places.xlsx", "region", ["r_regionkey"])), folder)
+    found = workbooks.cells(spark, folder)
+    one = workbooks.sheet(found, "nation", "key long, name string, parent double")
+    two = workbooks.sheet(found, "region", "key long, name string").withColumn("parent", F.lit(None).cast("double"))
+    return one.select(F.lit("nation").alias("sheet"), "key", "name", "parent").union(two.select(F.lit("region"), "key", "name", "parent"))
+
+
+@query("""SELECT s_nationkey || '.xlsx' AS file, s_suppkey, s_name, s_acctbal FROM supplier""")
+def workbooks_of_a_key(spark, sf_dir):
+    """A workbook for each nation's suppliers, all written in one job."""
+    folder = scratch(spark)
+    own = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+    file = F.concat(F.col("s_nationkey").cast("string"), F.lit(".xlsx"))
+    workbooks.write(workbooks.as_cells(own, file, "suppliers", ["s_suppkey"]), folder)
+    found = workbooks.sheet(workbooks.cells(spark, folder), "suppliers", "s_nationkey long, s_suppkey long, s_name string, s_acctbal double")
+    return found.select("file", "s_suppkey", "s_name", "s_acctbal")

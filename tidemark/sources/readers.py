@@ -39,9 +39,22 @@ def metadata(spark: SparkSession, folder: str, batch_date: str) -> DataFrame:
     )
 
 
-def cells(samples: DataFrame, about: DataFrame) -> DataFrame:
-    """Samples with their cell's metadata, paired by file name; a row a cell, so that the metadata side is broadcast where it is small."""
-    return samples.join(about, "file")
+def cells(samples: DataFrame, about: DataFrame, strict: bool = True) -> DataFrame:
+    """Samples with their cell's metadata, paired by file name; a row a cell, so that the metadata side is broadcast where it is small.
+
+    A file without metadata fails the query where its samples are read. Without ``strict`` its samples stay, with null metadata; unpaired() lists such files.
+    """
+    both = samples.join(about.withColumn("__paired", F.lit(True)), "file", "left")
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("no metadata for "), F.coalesce("file", F.lit("a file without a name")))).cast("boolean")
+        both = both.filter(F.when(F.col("__paired").isNull(), fail).otherwise(True))
+    return both.drop("__paired")
+
+
+def unpaired(samples: DataFrame, about: DataFrame) -> DataFrame:
+    """Files of samples without metadata (side ``samples``) and of metadata without samples (side ``metadata``)."""
+    left, right = samples.select("file").distinct(), about.select("file").distinct()
+    return left.join(right, "file", "left_anti").select("file", F.lit("samples").alias("side")).union(right.join(left, "file", "left_anti").select("file", F.lit("metadata").alias("side")))
 
 
 def without_denied(samples: DataFrame, denied: DataFrame, keys: list[str]) -> DataFrame:
