@@ -1,5 +1,6 @@
 """Edge cases of series, curves and evaluation on hand-made rows."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text
-from tidemark.operators import bandit, curves, evaluate, features, ordered, policy, rollup, series, simulate, smoothing
+from tidemark.operators import bandit, curves, evaluate, features, ordered, policy, rollup, series, smoothing
 
 
 def frame(spark, rows, schema):
@@ -163,15 +164,6 @@ def test_policy_space_has_its_known_size_and_range(spark):
     assert round(low, 3) == 2.585 and round(high, 3) == 4.8
 
 
-def test_simulated_lives(spark):
-    # fixed values: published lives of five protocols without noise
-    known = {(3.6, 6.0, 5.6): 974, (5.2, 5.2, 5.2): 1010, (6.0, 4.4, 5.6): 996, (7.0, 5.6, 5.6): 698, (8.0, 7.0, 5.6): 573}
-    df = frame(spark, list(known), "c1 double, c2 double, c3 double")
-    assert {(r["c1"], r["c2"], r["c3"]): r["life"] for r in simulate.simulate(df).collect()} == known
-    noisy = [simulate.simulate(df, noise=simulate.NOISE, seed=1).collect() for _ in range(2)]
-    assert noisy[0] == noisy[1] and {r["life"] for r in noisy[0]} != set(known.values())
-
-
 def test_first_batch_of_the_policy_space(spark):
     # fixed values: the published first picks, which follow from the shuffle alone
     arms = policy.arms(policy.valid(policy.all_combinations(spark)), seed=0)
@@ -186,13 +178,6 @@ def test_greatest_other(spark):
     assert {(r["e"], r["arm"]): r["o"] for r in out.collect()} == {(1, 1): 9.0, (1, 2): 9.0, (1, 3): 9.0, (2, 1): None}
 
 
-def test_first_batch_is_in_order_of_arms():
-    arms = np.random.default_rng(0).random((60, 3))
-    out = bandit.play(arms, [], bandit.Settings(picks=48))
-    assert out.sort_values("place").query("place >= 0")["arm_id"].tolist() == list(range(48))
-    assert (out["upper"] - 947 == 820).all() and (out["lower"] - 947 == -820).all()
-
-
 def test_posterior_equals_the_primal_form():
     rng = np.random.default_rng(1)
     k = bandit.kernel(rng.random((12, 3)), 1.0)
@@ -300,11 +285,39 @@ def test_charge_slope_falling_at_a_standing_voltage_is_carried(spark):
     assert [round(r["c"], 6) for r in out] == [0, 2, 2, 0, 0, 0]
 
 
-def test_kernels_of_unbounded_length_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(bandit, "MOST_ARMS", 2)
+def test_unbounded_query_sets_and_axes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(bandit, "MOST_QUERIES", 2)
+    monkeypatch.setattr(policy, "AXIS", 2)
     df = frame(spark, [(k, [1.0]) for k in range(3)], "i int, e array<double>")
     with pytest.raises(ValueError):
-        bandit.kernel_pairs(df, "i", "e", 1.0)
+        bandit.kernel_to(df, "i", df, "i", "e", 1.0)
+    with pytest.raises(Exception, match="more than 2 values"):
+        policy.combinations(*(spark.range(3).select(F.col("id") + 1.0),) * 3).collect()
+
+
+def test_axes_of_a_table_give_the_same_grid(spark):
+    axes = [frame(spark, [(v,) for v in (*map(float, values), values[0], None)], "v double") for values in (policy.FIRST, policy.SECOND, policy.THIRD)]
+    one, two = (sorted(map(tuple, policy.valid(df).collect())) for df in (policy.combinations(*axes), policy.all_combinations(spark)))
+    assert one == two and len(one) == 224
+
+
+def test_shuffled_in_ranges(spark):
+    got = [r["arm_id"] for r in policy.shuffled(spark.range(100), "id", 3, rows=9).orderBy("id").collect()]
+    order = sorted(range(100), key=lambda k: (hashlib.md5(f"3-{k}".encode()).hexdigest(), k))
+    assert [order.index(k) for k in range(100)] == got
+
+
+def test_bounds_of_arms_equal_the_joint_posterior(spark):
+    rng = np.random.default_rng(5)
+    points, settings = rng.random((30, 3)), bandit.Settings()
+    seen, outcome = np.array([2, 2, 9, 17]), rng.normal(947, 200, 4)
+    arms = frame(spark, [(e, k, p.tolist()) for e in (1, 2) for k, p in enumerate(points)], "experiment int, arm_id long, point array<double>")
+    known = frame(spark, [(1, int(k), points[k].tolist(), float(y)) for k, y in zip(seen, outcome)], "experiment int, arm_id long, point array<double>, outcome double")
+    got = {(r["experiment"], r["arm_id"]): (r["upper"], r["lower"], r["mean"]) for r in bandit.arm_bounds(arms, known, settings, 2).collect()}
+    for e, args in ((1, (seen, outcome - settings.mean)), (2, (np.empty(0, int), np.empty(0)))):
+        upper, lower = bandit.bounds(*bandit.posterior(bandit.kernel(points, settings.gamma), *args, settings.sigma, settings.eta), bandit.beta_of_round(settings, 2))
+        for k in range(30):
+            assert got[e, k] == pytest.approx((upper[k] + 947, lower[k] + 947, (upper[k] + lower[k]) / 2 + 947), abs=2e-4)
 
 
 def test_batches_of_very_many_arms_come_from_few_candidates(spark):

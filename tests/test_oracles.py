@@ -46,9 +46,3 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-
-
-def test_policy_kernel_leaves_no_policy_out(spark):
-    arms = {r["position"] for r in __spark_entry__.queries()["policy_grid"](spark, SF_DIR).collect()}
-    pairs = {(r["i"], r["j"]) for r in __spark_entry__.queries()["policy_kernel"](spark, SF_DIR).collect()}
-    assert pairs == {(i, j) for i in arms for j in arms} and len(arms) == 224

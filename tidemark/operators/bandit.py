@@ -1,11 +1,11 @@
-"""Rounds of best-arm selection with a Gaussian kernel prior, one group of rows an experiment.
+"""Best-arm selection with a Gaussian kernel prior: posterior bounds of all arms, and the next batch.
 
-An experiment has some hundred arms, so that its linear algebra is one small solve; many
-experiments, such as a sweep of settings, run side by side as groups.
+What was observed of an experiment is small and is solved once; its arms may be many, and each is scored by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Arms of one experiment, at most, of which every two are compared.
-MOST_ARMS = 5000
+#: Outcomes of one experiment, and queries that all rows are compared with, at most.
+MOST_SEEN, MOST_QUERIES = 2000, 5000
 #: Parts that the arms of an experiment are ordered in.
 PARTS = 64
 
@@ -123,54 +123,63 @@ def choose_batches(bounds: DataFrame, experiment: str, picks: int) -> DataFrame:
     return candidates(bounds, experiment, picks).groupBy(experiment).applyInPandas(one, f"`{experiment}` {kind}, arm_id long, place long")
 
 
-def play(arms: np.ndarray, rounds: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> pd.DataFrame:
-    """One row an arm after the given rounds of (arms seen, outcomes): bounds, mean, place in the next batch, proposal and best arm."""
-    k = kernel(arms, settings.gamma)
-    proposals, proposal_gaps = [], []
-    seen, outcome = np.empty(0, dtype=int), np.empty(0)
-    for r in range(len(rounds) + 1):
-        if r:
-            seen, outcome = np.concatenate([seen, rounds[r - 1][0]]), np.concatenate([outcome, rounds[r - 1][1] - settings.mean])
-        upper, lower = bounds(*posterior(k, seen, outcome, settings.sigma, settings.eta), beta_of_round(settings, r))
-        if r:
-            proposal_gaps.append(gaps(upper, lower)[proposals[-1]])
-        batch, proposal = choose(upper, lower, settings.picks)
-        proposals.append(proposal)
-    place = np.full(len(arms), -1)
-    place[batch] = np.arange(len(batch))
-    best = proposals[int(np.argmin(proposal_gaps))] if proposal_gaps else -1
-    return pd.DataFrame({"arm_id": np.arange(len(arms)), "upper": upper + settings.mean, "lower": lower + settings.mean, "mean": (upper + lower) / 2 + settings.mean, "place": place, "proposal": proposals[-1], "best": best})
-
-
-def run_rounds(arms: DataFrame, observed: DataFrame, settings: Settings, experiment: str = "experiment") -> DataFrame:
-    """The state of every experiment after all its rounds.
-
-    ``arms`` has experiment, arm_id from 0 and the array ``point``; ``observed`` has experiment, round, arm_id and outcome.
+def posterior_of(seen: DataFrame, settings: Settings, experiment: str) -> DataFrame:
+    """experiment, points, weights and inverse of each experiment's outcomes: what the posterior of any arm follows from.
+
+    ``seen`` has experiment, arm_id, the array point and outcome. Only what was observed meets in one task: MOST_SEEN outcomes of an experiment at most, which is checked.
     """
+    kind = dict(seen.dtypes)[experiment]
+
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > MOST_SEEN:
+            raise ValueError(f"an experiment has more than {MOST_SEEN} outcomes")
+        own = own.sort_values("arm_id")
+        points = np.stack(own["point"].to_numpy()).astype(float)
+        inverse = np.linalg.inv(settings.eta**2 * kernel(points, settings.gamma) + settings.sigma**2 * np.eye(len(own)))
+        weights = inverse @ (own["outcome"].to_numpy(float) - settings.mean)
+        return pd.DataFrame({experiment: [key[0]], "points": [points.ravel()], "weights": [weights], "inverse": [inverse.ravel()]})
+
+    return seen.select(experiment, "arm_id", "point", "outcome").groupBy(experiment).applyInPandas(one, f"`{experiment}` {kind}, points array<double>, weights array<double>, inverse array<double>")
+
+
+def arm_bounds(arms: DataFrame, seen: DataFrame, settings: Settings, round_: int, experiment: str = "experiment") -> DataFrame:
+    """experiment, arm_id, upper, lower and mean of every arm after a round; ``arms`` has experiment, arm_id and the array point.
+
+    Arms are many tasks' work: each meets its experiment's outcomes, not the other arms. Without outcomes an arm has the prior's bounds.
+    """
+    known = posterior_of(seen, settings, experiment).withColumnRenamed(experiment, "__experiment")
+    joined = arms.select(experiment, "arm_id", "point").join(known, F.col(experiment).eqNullSafe(F.col("__experiment")), "left").drop("__experiment")
+    beta = beta_of_round(settings, round_)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            upper, lower = np.empty(len(batch)), np.empty(len(batch))
+            for _, rows in batch.groupby(experiment, dropna=False).indices.items():
+                part = batch.iloc[rows]
+                points = np.stack(part["point"].to_numpy()).astype(float)
+                mean, variance = np.zeros(len(part)), np.full(len(part), settings.eta**2)
+                first = part.iloc[0]
+                if first["weights"] is not None:
+                    old = np.asarray(first["points"]).reshape(len(first["weights"]), -1)
+                    apart = (points**2).sum(axis=1)[:, None] + (old**2).sum(axis=1) - 2 * points @ old.T
+                    cross = settings.eta**2 * np.exp(-settings.gamma * np.maximum(apart, 0))
+                    mean = cross @ np.asarray(first["weights"])
+                    variance = variance - ((cross @ np.asarray(first["inverse"]).reshape(len(old), len(old))) * cross).sum(axis=1)
+                upper[rows], lower[rows] = bounds(mean, variance, beta)
+            out = batch[[experiment, "arm_id"]].copy()
+            yield out.assign(upper=upper + settings.mean, lower=lower + settings.mean, mean=(upper + lower) / 2 + settings.mean)
+
     kind = dict(arms.dtypes)[experiment]
+    return joined.mapInPandas(run, f"`{experiment}` {kind}, arm_id long, upper double, lower double, mean double")
+
 
-    def one(key: tuple, a: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("arm_id")
-        rounds = [(part["arm_id"].to_numpy(int), part["outcome"].to_numpy(float)) for _, part in o.sort_values(["round", "arm_id"]).groupby("round")]
-        out = play(np.stack(a["point"].to_numpy()).astype(float), rounds, settings)
-        out.insert(0, experiment, key[0])
-        return out
-
-    schema = f"`{experiment}` {kind}, arm_id long, upper double, lower double, mean double, place long, proposal long, best long"
-    # new names for the columns, as both frames may come from one
-    mine = arms.select(experiment, "arm_id", "point").toDF(experiment, "arm_id", "point")
-    seen = observed.select(experiment, "round", "arm_id", "outcome").toDF(experiment, "round", "arm_id", "outcome")
-    return mine.groupBy(experiment).cogroup(seen.groupBy(experiment)).applyInPandas(one, schema)
-
-
-def kernel_pairs(points: DataFrame, id_: str, vector: str, gamma: float) -> DataFrame:
-    """Kernel value of every two arms, for arm tables of MOST_ARMS rows at most, which is checked."""
-    if points.count() > MOST_ARMS:
-        raise ValueError(f"an experiment has more than {MOST_ARMS} arms")
-    a = points.select(F.col(id_).alias("i"), F.col(vector).alias("__a"))
-    b = points.select(F.col(id_).alias("j"), F.col(vector).alias("__b"))
+def kernel_to(points: DataFrame, id_: str, queries: DataFrame, query_id: str, vector: str, gamma: float) -> DataFrame:
+    """Kernel value of every row against each of a stated set of queries, MOST_QUERIES at most, which is checked; both have ``vector``."""
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"there are more than {MOST_QUERIES} queries")
+    asked = F.broadcast(queries.select(F.col(query_id).alias("j"), F.col(vector).alias("__b")))
     square = F.aggregate(F.zip_with("__a", "__b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return a.crossJoin(F.broadcast(b)).select("i", "j", F.exp(-gamma * square).alias("k"))
+    return points.select(F.col(id_).alias("i"), F.col(vector).alias("__a")).crossJoin(asked).select("i", "j", F.exp(-gamma * square).alias("k"))
 
 
 def greatest_other(df: DataFrame, value: str, id_: str, keys: list[str], out: str = "other") -> DataFrame:

@@ -18,6 +18,13 @@ def grid(spark: SparkSession, points: int = GRID_POINTS, first: float = GRID_HIG
     return spark.range(points).select(F.col("id").cast("int").alias("grid_idx"), (F.lit(first) + F.col("id") * ((last - first) / (points - 1))).alias("v"))
 
 
+def own_grid(df: DataFrame, value: str, keys: list[str], points: int, rising: bool = False) -> DataFrame:
+    """An even grid for each key between the extremes of its values: keys, grid_idx and v, from the greatest down or, ``rising``, from the least up."""
+    ends = df.groupBy(*keys).agg(F.max(value).alias("__high"), F.min(value).alias("__low"))
+    first, last = ("__low", "__high") if rising else ("__high", "__low")
+    return ends.select(*keys, first, last, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_idx")).select(*keys, "grid_idx", (F.col(first) + F.col("grid_idx") * ((F.col(last) - F.col(first)) / (points - 1))).alias("v"))
+
+
 def plateau_level(value: str, keys: list[str]) -> Column:
     """Most frequent rounded value of the key, the smallest of equally frequent ones; halves round away from zero."""
     return F.mode(F.round(value), True).over(whole(keys))
@@ -112,9 +119,11 @@ def step_profile(df: DataFrame, rates: list[str], width: float = 20.0) -> DataFr
     return df.select(*df.columns, F.inline(steps))
 
 
-def voltage_tail(spark: SparkSession, points: int = 100, start: float = 89.0, end: float = 100.0, decay: float = 0.5) -> DataFrame:
-    """Current of the constant-voltage end of a charge over SOC."""
-    return grid(spark, points, start, end).select("grid_idx", F.col("v").alias("soc"), F.exp(-decay * (F.col("v") - start)).alias("current"))
+def voltage_tail(df: DataFrame, begin: str, keys: list[str], points: int = 100, start: float = 89.0, end: float = 100.0, decay: float = 0.5) -> DataFrame:
+    """The constant-voltage end of a charge for each row: its current over SOC falls from ``begin``."""
+    soc = F.lit(start) + F.col("grid_idx") * ((end - start) / (points - 1))
+    steps = df.select(*keys, begin, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_idx"))
+    return steps.select(*keys, "grid_idx", soc.alias("soc"), (F.col(begin) * F.exp(-decay * (soc - start))).alias("current"))
 
 
 def lattice(spark: SparkSession, steps: int = 30) -> DataFrame:
@@ -123,6 +132,12 @@ def lattice(spark: SparkSession, steps: int = 30) -> DataFrame:
     return spark.range(1).select(axis[0]).select("r", axis[1]).select("r", "g", axis[2])
 
 
+def lattice_cells(df: DataFrame, axes: list[str], low: float, high: float, steps: int = 30) -> DataFrame:
+    """Rows at each point of a cubic lattice over [low, high] that some row is nearest to; what lies outside goes to the border."""
+    at = [F.least(F.greatest(F.round((F.col(c) - low) / (high - low) * (steps - 1)), F.lit(0.0)), F.lit(steps - 1.0)) / (steps - 1) for c in axes]
+    return df.select(*(x.alias(c) for x, c in zip(at, ("r", "g", "b")))).groupBy("r", "g", "b").agg(F.count("*").alias("n"))
+
+
 def farthest_points(vectors: DataFrame, id_: str, vector: str, start: np.ndarray, picks: int) -> DataFrame:
     """Greedy choice of ``picks`` ids, each the farthest from ``start`` and all chosen before; ties take the smallest id.
 

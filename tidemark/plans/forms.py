@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import bandit, curves, evaluate, features, series, simulate
+from ..operators import bandit, curves, evaluate, features, ordered, series
 from .policies import _GRID, _grid
 from .tables import DAILY_SQL, ORDER, SAMPLES_SQL, daily, rounded, samples, table
 
@@ -42,11 +41,6 @@ def scalar_forms(spark, sf_dir):
     ))
 
 
-@query("SELECT CAST(i AS INTEGER) AS grid_idx, round(2.0 + i * (1.5::DOUBLE / 1000), 6) AS v FROM (SELECT unnest(generate_series(0, 1000)) AS i)")
-def rising_grid(spark, sf_dir):
-    return rounded(curves.grid(spark, 1001, 2.0, 3.5))
-
-
 @query(f"""WITH {SAMPLES_SQL} SELECT idx, unit, round(-((t - first_value(t) OVER w) / 60) / 60 * value * 1.1::DOUBLE, 6) + 0.0 AS charge FROM samples WINDOW w AS (PARTITION BY unit ORDER BY t, idx)""")
 def charge_from_time(spark, sf_dir):
     own = samples(spark, sf_dir).withColumn("minutes", series.elapsed_minutes("t", ["unit"], ORDER))
@@ -107,38 +101,6 @@ def features_of_a_shorter_life(spark, sf_dir):
     return rounded(features.unit_features(days, curve, "unit", "k", "q", "g", "v", "q", early=5, tail=15, cutoff=18).select("unit", "f3", "f4", "f6"))
 
 
-def _life_sql() -> str:
-    """Lives by recursion over the time steps: twelve temperatures a policy move by one affine map."""
-    move, heat, rest = simulate._step()
-    numbers = lambda x: "[" + ", ".join(f"{v!r}::DOUBLE" for v in map(float, x)) + "]"
-    rows = "[" + ", ".join(numbers(r) for r in move) + "]"
-    area = repr(float(np.pi * simulate.RADIUS**2 * simulate.LENGTH))
-    modes = ", ".join(f"('{m}', {f}::DOUBLE, {e}::DOUBLE, {s}::DOUBLE, {o})" for m, (f, e, s, o) in simulate.MODES.items())
-    until = [f"1.1::DOUBLE * 20 / 100 / current[{k}] * 3600" for k in range(1, 5)]
-    ends = ["(" + " + ".join(until[: k + 1]) + ")" for k in range(4)]
-    return f"""WITH RECURSIVE {_GRID}, rated AS (SELECT position, [c1 * 1.1::DOUBLE, c2 * 1.1::DOUBLE, c3 * 1.1::DOUBLE, 0.2::DOUBLE / (CAST(1 AS DOUBLE) / 6 - (0.2::DOUBLE / c1 + 0.2::DOUBLE / c2 + 0.2::DOUBLE / c3)) * 1.1::DOUBLE] AS current FROM grid
-), timed AS (SELECT position, [{", ".join(ends)}] AS ends, list_transform(current, lambda c: c * c * {simulate.RESISTANCE}::DOUBLE / {area}::DOUBLE) AS heat FROM rated
-), law(mode, factor, energy, scale, shift) AS (VALUES {modes}
-), state AS (SELECT position, mode, 0.0::DOUBLE AS clock, 0.0::DOUBLE AS damage, list_transform(generate_series(1, {len(move)}), lambda i: {simulate.START_C}::DOUBLE) AS t FROM timed, law
-  UNION ALL
-  SELECT position, mode, clock + {simulate.STEP_S}::DOUBLE, damage + list_sum(list_transform(warm, lambda x: factor * exp(-energy / ({simulate.BOLTZMANN}::DOUBLE * x)))), warm FROM (
-    SELECT position, mode, clock, damage, factor, energy, list_transform(generate_series(1, {len(move)}), lambda i: list_dot_product(({rows})[i], t) + ({numbers(heat)})[i] * heat[least(len(list_filter(ends, lambda e: clock >= e)) + 1, 4)] + ({numbers(rest)})[i]) AS warm
-    FROM state JOIN timed USING (position) JOIN law USING (mode) WHERE clock < ends[4])
-), ended AS (SELECT position, mode, max(damage) AS damage FROM state GROUP BY position, mode)
-SELECT position, mode, CAST(trunc(1 / damage / scale) AS BIGINT) + shift AS life FROM ended JOIN law USING (mode)"""
-
-
-@query(_life_sql())
-def simulated_modes(spark, sf_dir):
-    """Lives of all policies under each damage law, without noise."""
-    grid = _grid(spark).select("position", "c1", "c2", "c3")
-    parts = [simulate.simulate(grid, mode).select("position", F.lit(mode).alias("mode"), "life") for mode in simulate.MODES]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-SQL["simulate_life"] = f"WITH lives AS ({_life_sql()}) SELECT position, c1, c2, c3, life FROM lives JOIN (WITH {_GRID} SELECT * FROM grid) USING (position) WHERE mode = 'hi'"
-
-
 def _farthest_sql(picks: int) -> str:
     square = lambda b: f"list_sum(list_transform(generate_series(1, len(v.e)), lambda k: (v.e[k] - {b}[k]) * (v.e[k] - {b}[k])))"
     parts = ["v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", "p0 AS (SELECT vec_id, e, list_sum(list_transform(e, lambda x: x * x)) AS d FROM v ORDER BY d DESC, vec_id LIMIT 1)"]
@@ -168,15 +130,21 @@ def batch_choice(spark, sf_dir):
     return bandit.choose_batches(bounds, "experiment", 8)
 
 
-@query(f"""WITH {_GRID}, arm AS (SELECT row_number() OVER (ORDER BY position) - 1 AS arm_id, c1, c2, c3 FROM grid), pair AS (SELECT * FROM (VALUES (0, 3, 50, 900.0::DOUBLE, 1100.0::DOUBLE), (1, 20, 21, 700.0::DOUBLE, 1300.0::DOUBLE)) AS t(experiment, p, q, yp, yq)
+@query(f"""WITH {_GRID}, o AS (SELECT r_regionkey AS experiment, max(s_acctbal) AS yp, min(s_acctbal) AS yq FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1
+), n AS (SELECT count(*) AS n FROM grid), arm AS (SELECT row_number() OVER (ORDER BY position) - 1 AS arm_id, c1, c2, c3 FROM grid
+), pair AS (SELECT experiment, (experiment * 7 + 3) % n AS p, (experiment * 7 + 40) % n AS q, yp / 10 AS yp, yq / 10 AS yq FROM o, n
 ), k AS (SELECT experiment, a.arm_id, yp - 947 AS yp, yq - 947 AS yq, exp(-((a.c1 - x.c1) ** 2 + (a.c2 - x.c2) ** 2 + (a.c3 - x.c3) ** 2)) * 26896 AS kp, exp(-((a.c1 - z.c1) ** 2 + (a.c2 - z.c2) ** 2 + (a.c3 - z.c3) ** 2)) * 26896 AS kq,
     exp(-((z.c1 - x.c1) ** 2 + (z.c2 - x.c2) ** 2 + (z.c3 - x.c3) ** 2)) * 26896 AS o, 53792.0::DOUBLE AS g FROM pair JOIN arm AS x ON x.arm_id = p JOIN arm AS z ON z.arm_id = q, arm AS a
 ), g AS (SELECT experiment, arm_id, (kp * (g * yp - o * yq) + kq * (g * yq - o * yp)) / (g * g - o * o) AS mean, 26896 - (kp * (g * kp - o * kq) + kq * (g * kq - o * kp)) / (g * g - o * o) AS var FROM k)
 , m AS (SELECT experiment, arm_id, round_even(mean + 2.5 * sqrt(greatest(var, 0)), 4) AS u, round_even(mean - 2.5 * sqrt(greatest(var, 0)), 4) AS l FROM g)
-SELECT CAST(experiment AS INTEGER) AS experiment, arm_id, round(u + 947, 6) AS upper, round(l + 947, 6) AS lower, round((u + l) / 2 + 947, 6) AS mean FROM m""")
+SELECT experiment, arm_id, round(u + 947, 2) AS upper, round(l + 947, 2) AS lower, round((u + l) / 2 + 947, 2) AS mean FROM m""")
 def bandit_posterior(spark, sf_dir):
-    """Bounds and means of all arms after one round with two outcomes, which SQL solves as a system of two."""
-    grid = _grid(spark).select(F.row_number().over(series.along([F.lit(1)], ["position"])).alias("n"), F.array("c1", "c2", "c3").alias("point"))
-    arms = grid.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("experiment"), (F.col("n") - 1).cast("long").alias("arm_id"), "point")
-    seen = spark.createDataFrame([(0, 0, 3, 900.0), (0, 0, 50, 1100.0), (1, 0, 20, 700.0), (1, 0, 21, 1300.0)], "experiment int, round int, arm_id long, outcome double")
-    return rounded(bandit.run_rounds(arms, seen, bandit.Settings()).select("experiment", "arm_id", "upper", "lower", "mean"), 6)
+    """Bounds and means of all arms after a round in which each region's greatest and least balance were the outcomes, which SQL solves as a system of two."""
+    grid = ordered.scan(ordered.chunked(_grid(spark, sf_dir), [], ["position"]), [], ["position"], number="n").select((F.col("n") - 1).alias("arm_id"), F.array("c1", "c2", "c3").alias("point"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
+    ends = nations.groupBy(F.col("n_regionkey").alias("experiment")).agg((F.max("s_acctbal") / 10).alias("high"), (F.min("s_acctbal") / 10).alias("low"))
+    size = grid.agg(F.count("*").alias("size"))
+    outcome = lambda shift, c: F.struct(((F.col("experiment") * 7 + shift) % F.col("size")).alias("arm_id"), F.col(c).alias("outcome"))
+    seen = ends.crossJoin(F.broadcast(size)).select("experiment", F.inline(F.array(outcome(3, "high"), outcome(40, "low")))).join(grid, "arm_id")  # one row
+    arms = ends.select("experiment").crossJoin(F.broadcast(grid))  # the grid has AXIS values an axis at most
+    return rounded(bandit.arm_bounds(arms, seen, bandit.Settings(), 1), 2)

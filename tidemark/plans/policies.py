@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import bandit, curves, policy, simulate
-from .tables import rounded, table
+from ..operators import bandit, curves, policy
+from ..sources import readers
+from .tables import rounded, samples, table
 
 QUERIES, SQL = {}, {}
 
@@ -23,43 +24,53 @@ def query(sql: str | None = None):
     return add
 
 
-def _values(name: str, values) -> str:
-    return f"(SELECT unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in values)}]) AS {name}, generate_subscripts([{', '.join(map(str, values))}], 1) - 1 AS {name}_at)"
+#: Rates that the lines of orders stand for, as axes of the policy space.
+_AXES = {"c1": "round(3.6 + 40 * l_discount, 1)", "c2": "round(3.6 + 40 * l_tax, 1)", "c3": "round(3.2 + 0.4 * l_linenumber, 1)"}
 
-
-_GRID = f"""combos AS (SELECT CAST((c1_at * 8 + c2_at) * 6 + c3_at AS INTEGER) AS position, c1, c2, c3,
+_GRID = ", ".join(f"{c}_axis AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS {c}_at, count(*) OVER () AS {c}_n FROM (SELECT DISTINCT CAST({e} AS DOUBLE) AS {c} FROM lineitem))" for c, e in _AXES.items()) + """, combos AS (
+  SELECT CAST((c1_at * c2_n + c2_at) * c3_n + c3_at AS INTEGER) AS position, c1, c2, c3,
     CASE WHEN CAST(1 AS DOUBLE) / 6 - (0.2::DOUBLE / c1 + 0.2::DOUBLE / c2 + 0.2::DOUBLE / c3) <> 0 THEN 0.2::DOUBLE / (CAST(1 AS DOUBLE) / 6 - (0.2::DOUBLE / c1 + 0.2::DOUBLE / c2 + 0.2::DOUBLE / c3)) END AS c4
-  FROM {_values('c1', policy.FIRST)}, {_values('c2', policy.SECOND)}, {_values('c3', policy.THIRD)}
+  FROM c1_axis, c2_axis, c3_axis
 ), grid AS (SELECT * FROM combos WHERE c4 BETWEEN 0.1 AND 4.81 AND NOT (c1 = 4.8 AND c2 = 4.8 AND c3 = 4.8))"""
 
 
-def _grid(spark):
-    return policy.valid(policy.all_combinations(spark))
+def _axis(spark, sf_dir, name):
+    return table(spark, sf_dir, "lineitem").select(F.expr(f"cast({_AXES[name]} as double)").alias(name)).distinct()
+
+
+def _grid(spark, sf_dir):
+    """Every valid policy of the rates that the table holds."""
+    return policy.valid(policy.combinations(*(_axis(spark, sf_dir, c) for c in _AXES)))
 
 
 @query(f"WITH {_GRID} SELECT position, c1, c2, c3, round(c4, 3) AS c4 FROM grid")
 def policy_grid(spark, sf_dir):
-    return _grid(spark).withColumn("c4", F.round("c4", 3))
+    return _grid(spark, sf_dir).withColumn("c4", F.round("c4", 3))
+
+
+@query(f"WITH {_GRID} SELECT position, row_number() OVER (ORDER BY md5('7-' || position), position) - 1 AS arm_id FROM grid")
+def shuffled_policies(spark, sf_dir):
+    return policy.shuffled(_grid(spark, sf_dir).select("position"), "position", 7)
 
 
 @query(f"""WITH {_GRID} SELECT position, printf('%sC-%sC-%sC-%.3fC: %.0f', c1::VARCHAR, c2::VARCHAR, c3::VARCHAR, c4, position::DOUBLE) AS label,
   replace(replace(replace(c1 || '_' || c2 || '_' || c3, '.', 'pt') || '.sdu', 'pt0_', '_'), 'pt0.', '.') AS file, round_even(c1 * 1.1::DOUBLE, 4) AS current,
   CASE WHEN c1 * 1.1::DOUBLE > 5 THEN 'Range1' ELSE 'Range2' END AS instrument_range FROM grid""")
 def policy_label(spark, sf_dir):
-    return _grid(spark).select(
+    return _grid(spark, sf_dir).select(
         "position", text.life_label([F.col(c).cast("string") for c in ("c1", "c2", "c3")] + [F.col("c4")], F.col("position").cast("double")).alias("label"),
         text.machine_file(F.col("c1"), F.col("c2"), F.col("c3")).alias("file"), scalars.rate_to_current(F.col("c1")).alias("current"),
         scalars.current_range(F.col("c1") * 1.1, 5).alias("instrument_range"),
     )
 
 
-@query(f"""WITH mesh AS (SELECT c3, round(3.6 + i * 0.1, 6)::DOUBLE AS c1, round(3.6 + j * 0.1, 6)::DOUBLE AS c2 FROM {_values('c3', policy.THIRD)}, (SELECT unnest(generate_series(0, 44)) AS i), (SELECT unnest(generate_series(0, 34)) AS j)
+@query(f"""WITH {_GRID}, mesh AS (SELECT c3, round(3.6 + i * 0.1, 6)::DOUBLE AS c1, round(3.6 + j * 0.1, 6)::DOUBLE AS c2 FROM c3_axis, (SELECT unnest(generate_series(0, 44)) AS i), (SELECT unnest(generate_series(0, 34)) AS j)
 ), rated AS (SELECT *, 1::DOUBLE / 6 - (0.2::DOUBLE / c1 + 0.2::DOUBLE / c2 + 0.2::DOUBLE / c3) AS left_over FROM mesh
 ), m AS (SELECT c1, c2, c3, CASE WHEN left_over <> 0 AND 0.2 / left_over BETWEEN 0.1 AND 4.81 THEN 0.2 / left_over END AS c4 FROM rated)
 SELECT c1, c2, c3, round(c4, 6) AS c4, round(60 / c1 * 40 / 100 + 60 / c2 * 40 / 100, 6) AS minutes,
   CASE WHEN c1 <> c2 THEN round(100 * (10 - 48 / c2) / (60 / c1 - 60 / c2), 4) END AS switch FROM m""")
 def facet_mesh(spark, sf_dir):
-    mesh = policy.mesh(spark, (3.6, 0.1, 45), (3.6, 0.1, 35), list(policy.THIRD))
+    mesh = policy.mesh(_axis(spark, sf_dir, "c3"), (3.6, 0.1, 45), (3.6, 0.1, 35))
     c1, c2 = F.col("c1"), F.col("c2")
     out = mesh.select("c1", "c2", "c3", "c4", scalars.minutes_to_80(c1, F.lit(40.0), c2).alias("minutes"), F.when(c1 != c2, F.round(scalars.switch_for_minutes(F.lit(10.0), c1, c2), 4)).alias("switch"))
     return rounded(out)
@@ -68,22 +79,35 @@ def facet_mesh(spark, sf_dir):
 @query(f"""WITH {_GRID}, step AS (SELECT position, unnest([0, 1, 2, 3]) AS step, unnest([c1, c2, c3, c4]) AS rate FROM grid)
 SELECT position, CAST(step AS INTEGER) AS step, step * 20.0::DOUBLE AS soc_low, (step + 1) * 20.0::DOUBLE AS soc_high, round(rate, 6) AS rate FROM step""")
 def step_profile(spark, sf_dir):
-    return rounded(curves.step_profile(_grid(spark).select("position", "c1", "c2", "c3", "c4"), ["c1", "c2", "c3", "c4"]).select("position", "step", "soc_low", "soc_high", "rate"))
+    return rounded(curves.step_profile(_grid(spark, sf_dir).select("position", "c1", "c2", "c3", "c4"), ["c1", "c2", "c3", "c4"]).select("position", "step", "soc_low", "soc_high", "rate"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS grid_idx, round(89 + i * (11.0::DOUBLE / 99), 6) AS soc, round(exp(-0.5 * (i * (11.0::DOUBLE / 99))), 6) AS current FROM (SELECT unnest(generate_series(0, 99)) AS i)")
+@query("""SELECT p_partkey, CAST(i AS INTEGER) AS grid_idx, round(89 + i * (11.0::DOUBLE / 19), 6) AS soc, round(p_size * exp(-0.5 * (i * (11.0::DOUBLE / 19))), 6) AS current FROM part, (SELECT unnest(generate_series(0, 19)) AS i)""")
 def voltage_tail(spark, sf_dir):
-    return rounded(curves.voltage_tail(spark))
+    return rounded(curves.voltage_tail(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], points=20))
+
 
+def _own_grid_sql(points: int, first: str, last: str) -> str:
+    return f"""WITH ends AS (SELECT user_id AS unit, max(value) AS high, min(value) AS low FROM events GROUP BY 1)
+SELECT unit, CAST(i AS INTEGER) AS grid_idx, round({first} + i * (({last} - {first}) / {points - 1}), 6) AS v FROM ends, (SELECT unnest(generate_series(0, {points - 1})) AS i)"""
 
-@query("SELECT CAST(i AS INTEGER) AS grid_idx, round(3.5 - i * (1.5::DOUBLE / 999), 6) AS v FROM (SELECT unnest(generate_series(0, 999)) AS i)")
+
+@query(_own_grid_sql(100, "high", "low"))
 def voltage_grid(spark, sf_dir):
-    return rounded(curves.grid(spark))
+    return rounded(curves.own_grid(samples(spark, sf_dir), "value", ["unit"], 100))
+
 
+@query(_own_grid_sql(51, "low", "high"))
+def rising_grid(spark, sf_dir):
+    return rounded(curves.own_grid(samples(spark, sf_dir), "value", ["unit"], 51, rising=True))
 
-@query("WITH axis AS (SELECT unnest(generate_series(0, 29)) / 29.0::DOUBLE AS v) SELECT round(a.v, 6) AS r, round(b.v, 6) AS g, round(c.v, 6) AS b FROM axis AS a, axis AS b, axis AS c")
+
+@query("""WITH v AS (SELECT embedding::DOUBLE[] AS e FROM embeddings), cell AS (SELECT """ + ", ".join(f"least(greatest(round((e[{k}] + 1) / 2 * 7), 0), 7) / 7 AS {c}" for k, c in ((1, "r"), (2, "g"), (3, "b"))) + """ FROM v)
+SELECT round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, count(*) AS n FROM cell GROUP BY ALL""")
 def colour_lattice(spark, sf_dir):
-    return rounded(curves.lattice(spark))
+    """Vectors at each point of a lattice over their first three dimensions."""
+    first = table(spark, sf_dir, "embeddings").select(*(F.get(F.col("embedding").cast("array<double>"), k).alias(f"x{k}") for k in range(3)))
+    return rounded(curves.lattice_cells(first, ["x0", "x1", "x2"], -1.0, 1.0, 8))
 
 
 @query("""WITH lines AS (SELECT p_brand AS file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_no, p_name AS text, p_size FROM part)
@@ -130,13 +154,13 @@ def semi_align(spark, sf_dir):
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
 def anti_set(spark, sf_dir):
     taken = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(taken, "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
+    return readers.without_denied(table(spark, sf_dir, "customer"), taken, ["c_custkey"]).select("c_custkey", "c_nationkey")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def denylist(spark, sf_dir):
     denied = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("user_id"))
-    return table(spark, sf_dir, "events").join(denied, "user_id", "left_anti").select("event_id", "user_id")
+    return readers.without_denied(table(spark, sf_dir, "events"), denied, ["user_id"]).select("event_id", "user_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
@@ -144,22 +168,24 @@ def index_intersection(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey").intersect(table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey"))
 
 
-@query("""WITH part AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL), centre AS (SELECT label, k, avg(x) AS x FROM part GROUP BY label, k)
-SELECT a.label AS i, b.label AS j, round(exp(-0.5 * sum((a.x - b.x) * (a.x - b.x))), 6) AS k FROM centre AS a JOIN centre AS b USING (k) GROUP BY a.label, b.label""")
+@query("""WITH part AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL), centre AS (SELECT label, k, avg(x) AS x FROM part GROUP BY label, k),
+own AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)
+SELECT vec_id AS i, label AS j, round(exp(-0.5 * sum((own.x - centre.x) * (own.x - centre.x))), 6) AS k FROM own JOIN centre USING (k) GROUP BY vec_id, label""")
 def kernel_matrix(spark, sf_dir):
-    """The kernel over the centres of all labels, each the mean of all its vectors."""
-    part = table(spark, sf_dir, "embeddings").filter("label is not null").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
+    """The kernel of every vector with the centres of all labels, each the mean of all its vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    part = vectors.filter("label is not null").select("label", F.posexplode("e").alias("k", "x"))
     means = part.groupBy("label", "k").agg(F.avg("x").alias("x"))
     centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kx")).select("label", F.col("kx.x").alias("e"))  # a row a dimension
-    return rounded(bandit.kernel_pairs(centres, "label", "e", 0.5))
+    return rounded(bandit.kernel_to(vectors, "vec_id", centres, "label", "e", 0.5))
 
 
 @query(f"""WITH {_GRID}
-SELECT a.position AS i, b.position AS j, round(exp(-0.5 * ((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2) + (a.c3 - b.c3) * (a.c3 - b.c3))), 6) AS k FROM grid AS a, grid AS b""")
+SELECT a.position AS i, b.position AS j, round(exp(-0.5 * ((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2) + (a.c3 - b.c3) * (a.c3 - b.c3))), 6) AS k FROM grid AS a, grid AS b WHERE b.position % 10 = 0""")
 def policy_kernel(spark, sf_dir):
-    """The kernel over all arms there are: every valid policy of the grid."""
-    arms = _grid(spark).select("position", F.array("c1", "c2", "c3").alias("point"))
-    return rounded(bandit.kernel_pairs(arms, "position", "point", 0.5))
+    """The kernel of every valid policy with every tenth place of the grid."""
+    arms = _grid(spark, sf_dir).select("position", F.array("c1", "c2", "c3").alias("point"))
+    return rounded(bandit.kernel_to(arms, "position", arms.filter("position % 10 = 0"), "position", "point", 0.5))
 
 
 @query("""WITH b AS (SELECT l_suppkey AS arm, l_returnflag AS experiment, max(l_extendedprice) AS upper, min(l_extendedprice) AS lower FROM lineitem GROUP BY 1, 2), top AS (
@@ -170,22 +196,6 @@ def gap_index(spark, sf_dir):
     return bandit.greatest_other(bounds, "upper", "arm", ["experiment"]).select("arm", "experiment", F.round(F.col("other") - F.col("lower"), 4).alias("gap"))
 
 
-@query()
-def bandit_round(spark, sf_dir):
-    """Four experiments, one for each seed, on the policy grid, with two rounds of simulated outcomes each."""
-    lives = simulate.simulate(_grid(spark).select("position", "c1", "c2", "c3"))
-    seeds = spark.createDataFrame([(s,) for s in range(4)], "experiment int")
-    each = lives.crossJoin(F.broadcast(seeds)).withColumn("arm_id", F.row_number().over(Window.partitionBy("experiment").orderBy(F.xxhash64("position", "experiment"))) - 1)
-    arms = each.select("experiment", F.col("arm_id").cast("long").alias("arm_id"), F.array("c1", "c2", "c3").alias("point"))
-    seen = each.filter("arm_id < 96").select("experiment", (F.col("arm_id") / 48).cast("int").alias("round"), F.col("arm_id").cast("long").alias("arm_id"), F.col("life").cast("double").alias("outcome"))
-    return rounded(bandit.run_rounds(arms, seen, bandit.Settings()), 3)
-
-
-@query()
-def simulate_life(spark, sf_dir):
-    return simulate.simulate(_grid(spark).select("position", "c1", "c2", "c3"))
-
-
 @query()
 def farthest_point(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
