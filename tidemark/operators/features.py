@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,15 +12,9 @@ from .series import along
 
 
 def curve_moments(curves: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
-    """Least value, mean, sample variance, population skewness, sums of sizes and squares, and first value of each curve.
-
-    Central moments are taken about the mean in a second step of the same grouping, as functions of plain sums would cancel.
-    """
-    centred = curves.withColumn("__d", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
-    d = F.col("__d")
-    return centred.groupBy(*keys).agg(
-        F.min(value).alias("least"), F.avg(value).alias("mean"), F.try_divide(F.sum(d * d), F.count(value) - 1).alias("variance"),
-        F.try_divide(F.sum(d * d * d) / F.count(value), F.pow(F.sum(d * d) / F.count(value), F.lit(1.5))).alias("skew"),
+    """Least value, mean, sample variance, population skewness, sums of sizes and squares, and first value of each curve, in one aggregation."""
+    return curves.groupBy(*keys).agg(
+        F.min(value).alias("least"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.skewness(value).alias("skew"),
         F.sum(F.abs(value)).alias("sum_size"), F.sum(F.col(value) * F.col(value)).alias("sum_square"), F.min_by(value, position).alias("first"),
     )
 

@@ -89,6 +89,18 @@ def rounds_of_files(spark, sf_dir):
     return readers.rounds(spark, folder)
 
 
+@query("""SELECT p_brand || '.csv' AS file, nullif(p_size % 7, 0) AS life, count(*) AS n FROM part GROUP BY 1, 2""")
+def lives_of_files(spark, sf_dir):
+    """Files of one column without a header, a file a brand, with blank lines where a life is missing."""
+    folder = scratch(spark)
+    size = F.col("p_size") % 7
+    line = F.concat(F.when(size > 0, size.cast("string")).otherwise(F.lit('""')), F.lit("\n"))
+    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(".csv")).alias("name"), line.cast("binary").alias("content"), "p_partkey")
+    named_files.write_contents(rows, folder, ["p_partkey"])
+    found = readers.csv(spark, folder, schemas.LIVES, header=False).select(readers.file_name().alias("file"), "life")
+    return found.groupBy("file", "life").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT p_partkey AS id, printf('%.3f,%.3f', p_retailprice, p_size::DOUBLE) AS line FROM part""")
 def fixed_precision_lines(spark, sf_dir):
     path = scratch(spark)

@@ -137,7 +137,7 @@ def batch_choice(spark, sf_dir):
     exp(-((z.c1 - x.c1) ** 2 + (z.c2 - x.c2) ** 2 + (z.c3 - x.c3) ** 2)) * 26896 AS o, 53792.0::DOUBLE AS g FROM pair JOIN arm AS x ON x.arm_id = p JOIN arm AS z ON z.arm_id = q, arm AS a
 ), g AS (SELECT experiment, arm_id, (kp * (g * yp - o * yq) + kq * (g * yq - o * yp)) / (g * g - o * o) AS mean, 26896 - (kp * (g * kp - o * kq) + kq * (g * kq - o * kp)) / (g * g - o * o) AS var FROM k)
 , m AS (SELECT experiment, arm_id, round_even(mean + 2.5 * sqrt(greatest(var, 0)), 4) AS u, round_even(mean - 2.5 * sqrt(greatest(var, 0)), 4) AS l FROM g)
-SELECT experiment, arm_id, round(u + 947, 2) AS upper, round(l + 947, 2) AS lower, round((u + l) / 2 + 947, 2) AS mean FROM m""")
+SELECT experiment, arm_id, round(u + 947, 6) AS upper, round(l + 947, 6) AS lower, round((u + l) / 2 + 947, 6) AS mean FROM m""")
 def bandit_posterior(spark, sf_dir):
     """Bounds and means of all arms after a round in which each region's greatest and least balance were the outcomes, which SQL solves as a system of two."""
     grid = ordered.scan(ordered.chunked(_grid(spark, sf_dir), [], ["position"]), [], ["position"], number="n").select((F.col("n") - 1).alias("arm_id"), F.array("c1", "c2", "c3").alias("point"))
@@ -147,4 +147,4 @@ def bandit_posterior(spark, sf_dir):
     outcome = lambda shift, c: F.struct(((F.col("experiment") * 7 + shift) % F.col("size")).alias("arm_id"), F.col(c).alias("outcome"))
     seen = ends.crossJoin(F.broadcast(size)).select("experiment", F.inline(F.array(outcome(3, "high"), outcome(40, "low")))).join(grid, "arm_id")  # one row
     arms = ends.select("experiment").crossJoin(F.broadcast(grid))  # the grid has AXIS values an axis at most
-    return rounded(bandit.arm_bounds(arms, seen, bandit.Settings(), 1), 2)
+    return rounded(bandit.arm_bounds(arms, seen, bandit.Settings(), 1), 6)

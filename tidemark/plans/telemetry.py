@@ -226,3 +226,24 @@ def spline_resample(spark, sf_dir):
 @query()
 def robust_smooth(spark, sf_dir):
     return rounded(smoothing.robust_smooth(daily(spark, sf_dir), "cycle", "q", ["unit"]))
+
+
+@query(f"""WITH {SAMPLES_SQL}, own AS (SELECT unit, idx, value / 20 + 1 AS v, t / 3600 - first_value(t / 3600) OVER (PARTITION BY unit ORDER BY idx) AS q FROM samples
+), sloped AS (SELECT *, row_number() OVER w AS o, CASE WHEN lag(1) OVER w IS NULL THEN 0 WHEN v - lag(v) OVER w <> 0 THEN (q - lag(q) OVER w) / (v - lag(v) OVER w)
+    WHEN q > lag(q) OVER w THEN 'inf'::DOUBLE WHEN q < lag(q) OVER w THEN '-inf'::DOUBLE END AS s FROM own WINDOW w AS (PARTITION BY unit ORDER BY idx)
+), ruled AS (SELECT *, CASE WHEN o = 1 THEN 0 WHEN s IS NULL OR abs(s) >= 50 THEN 0 WHEN s >= 0 THEN NULL WHEN v <= 2 THEN 0 ELSE s END AS a FROM sloped
+), cleaned AS (SELECT unit, o, v, coalesce(last_value(a IGNORE NULLS) OVER (PARTITION BY unit ORDER BY o ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS s FROM ruled
+), anchored AS (SELECT * FROM cleaned UNION ALL SELECT unit, -1, 3.6, 0 FROM cleaned WHERE o = 1 UNION ALL SELECT unit, 0, v + 1e-4, -1e-4 FROM cleaned WHERE o = 1
+), single AS (SELECT unit, v, arg_min(s, o) AS s FROM anchored GROUP BY unit, v
+), line AS (SELECT *, lead(v) OVER w AS v2, lead(s) OVER w AS s2 FROM single WINDOW w AS (PARTITION BY unit ORDER BY v)
+), target AS (SELECT unit, CAST(i AS INTEGER) AS g, 3.5 + i * (-1.5::DOUBLE / 49) AS v FROM (SELECT DISTINCT unit FROM own), (SELECT unnest(generate_series(0, 49)) AS i)
+), found AS (SELECT t.unit, g, t.v, CASE WHEN t.v = l.v THEN l.s ELSE l.s + (l.s2 - l.s) * ((t.v - l.v) / (l.v2 - l.v)) END AS y
+    FROM target AS t LEFT JOIN line AS l ON l.unit = t.unit AND t.v >= l.v AND (t.v < l.v2 OR (l.v2 IS NULL AND t.v = l.v))
+), reach AS (SELECT *, least(4, g, 49 - g) AS h FROM found)
+SELECT a.unit, a.g AS grid_idx, round(a.v, 6) AS v, round(sum(b.y) / (2 * max(a.h) + 1), 5) + 0.0 AS dqdv FROM reach AS a JOIN reach AS b ON a.unit = b.unit AND b.g BETWEEN a.g - a.h AND a.g + a.h GROUP BY a.unit, a.g, a.v""")
+def discharge_slope_curve(spark, sf_dir):
+    """The whole way from samples to a smoothed slope curve on the shared grid, for every unit."""
+    start = F.first(F.col("t") / 3600).over(series.so_far(["unit"], ["idx"]))
+    own = samples(spark, sf_dir).select("unit", "idx", (F.col("value") / 20 + 1).alias("v"), (F.col("t") / 3600 - start).alias("q"))
+    out = curves.discharge_slope_curve(own, ["unit"], "idx", "v", "q", points=50)
+    return out.select("unit", "grid_idx", F.round("v", 6).alias("v"), (F.round("dqdv", 5) + 0.0).alias("dqdv"))

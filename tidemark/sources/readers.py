@@ -17,7 +17,8 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True, patter
 
 
 def file_name() -> Column:
-    return F.col("_metadata.file_name")
+    """The name of a row's file, which Spark gives with signs such as # escaped as in a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def telemetry(spark: SparkSession, folder: str, batch_date: str) -> DataFrame:
