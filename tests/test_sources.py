@@ -56,12 +56,17 @@ def test_sinks(spark, tmp_path):
 
 def test_stream_summaries(spark, tmp_path):
     folder = tmp_path / "in"
-    rows = spark.createDataFrame([("2024-01-01 01:00:00", 1, 2.0), ("2024-01-01 05:00:00", 1, 4.0), ("2024-01-02 01:00:00", 1, 9.0)], "ts string, u int, v double")
-    rows = rows.withColumn("ts", F.to_timestamp("ts"))
-    rows.write.parquet(str(folder))
-    out = daily.windowed(daily.arriving(spark, str(folder), "ts timestamp, u int, v double"), "ts", ["u"], "v")
-    daily.once(out, "summaries", str(tmp_path / "at")).awaitTermination(60)
-    assert [(r["n"], r["mean"]) for r in spark.table("summaries").orderBy("window_start").collect()] == [(2, 3.0), (1, 9.0)]
+    out, at = str(tmp_path / "out"), str(tmp_path / "at")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "ts string, u int, v double").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(str(folder))
+        windows = daily.windowed(daily.arriving(spark, str(folder), "ts timestamp, u int, v double"), "ts", ["u"], "v")
+        return [(r["n"], r["mean"]) for r in daily.run(spark, windows, out, at).orderBy("window_start").collect()]
+
+    assert arrive(("2024-01-01 01:00:00", 1, 2.0), ("2024-01-01 05:00:00", 1, 4.0), ("2024-01-02 01:00:00", 1, 9.0)) == []
+    # a late sample counts until two days after its window; then the window is closed
+    assert arrive(("2024-01-01 06:00:00", 1, 6.0), ("2024-01-04 01:00:00", 1, 1.0)) == [(3, 4.0)]
+    assert arrive(("2024-01-01 07:00:00", 1, 7.0), ("2024-01-09 01:00:00", 1, 1.0)) == [(3, 4.0), (1, 9.0), (1, 1.0)]
 
 
 def test_samples_without_metadata_fail_or_stay(spark):

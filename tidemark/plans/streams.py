@@ -54,3 +54,17 @@ def paired_streams(spark, sf_dir):
         rows.write.mode("append").parquet(folder)
     found = pairing.run(spark, pairs, out, checkpoint)
     return found.filter("idx >= 0").select("idx", "unit", "brand", "unpaired")
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, max(value) AS greatest, min(value) AS least, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+def streamed_days(spark, sf_dir):
+    """Daily summaries of events that arrive day by day, half of each day's a day late; a row of a later time closes the last windows."""
+    folder, out, checkpoint = (scratch(spark) for _ in range(3))
+    own = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "event_id")
+    days = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + F.col("event_id") % 2
+    found = None
+    for part in (own.filter(days < 15), own.filter(days >= 15), own.agg((F.max("ts") + F.expr("interval 9 days")).alias("ts")).select("ts", F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit(-1).cast("long").alias("event_id"))):
+        part.drop("event_id").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.mode("append").parquet(folder)
+        windows = daily.windowed(daily.arriving(spark, folder, "ts timestamp, event_type string, value double"), "ts", ["event_type"], "value")
+        found = daily.run(spark, windows, out, checkpoint)
+    return rounded(found.select("window_start", "event_type", "n", "greatest", "least", "mean"))

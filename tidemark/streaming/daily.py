@@ -20,6 +20,7 @@ def windowed(stream: DataFrame, time: str, keys: list[str], value: str, width: s
     )
 
 
-def once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Run what has arrived into a table in memory, from where the last run stopped."""
-    return stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(spark: SparkSession, windows: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Add the windows that have closed since the last run to the table in ``out``, and read it; a window closes once the watermark has passed its end."""
+    windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(out)
