@@ -188,3 +188,17 @@ def test_stages_on_odd_and_empty_tables(request, spark, name):
     source = request.getfixturevalue(name)
     kept = {stage: f(spark, source, SF_DIR).count() for stage, f in corpus_pipeline.STAGES}
     assert kept["line dedup"] == kept["byte-level BPE"] == source.count()
+
+
+# op1
+
+
+def test_shards_prune_files(spark, none):
+    from tidemark.llm import shards
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    curve = {r["by"]: r["shards"] for r in shards.pruning(docs, shards.place(docs)).collect()}
+    dealt = {r["by"]: r["shards"] for r in shards.pruning(docs, docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard"))).collect()}
+    assert set(curve) == {"lang", "source", "size", "lang+source", "lang+size", "source+size"}
+    assert all(curve[by] < dealt[by] for by in ("lang", "source", "lang+source", "lang+size")) and curve["lang+source"] < 0.5 * dealt["lang+source"]
+    assert shards.pruning(none, shards.place(none)).count() == 0

@@ -227,9 +227,9 @@ def judged(text: str, path: str | None, model: boosting.Trees, known: Dictionary
     return [(a, z, kind, float(v)) for (a, z, kind), v in zip(found, votes)]
 
 
-def _learned(docs: DataFrame, path: str, findings: list[tuple[str, str, bool]] | None):
+def _learned(docs: DataFrame, path: str, findings: list[tuple[str, str, bool]] | None, known: Dictionary | None):
     """The forest and the dictionary, some thousand nodes and DICTIONARY_WORDS words, for all tasks."""
-    known = dictionary(docs, path)
+    known = known or dictionary(docs, path)
     return docs.sparkSession.sparkContext.broadcast((train(findings or made_findings(), known), known))
 
 
@@ -239,14 +239,14 @@ _FOUND = T.StructType([
 ])
 
 
-def scan(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, bool]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, bool]] | None = None, known: Dictionary | None = None) -> DataFrame:
     """doc_id, start, length (characters), kind, SHA-256 of the value, score and is_secret of every candidate in every whole text.
 
     Null and empty texts have no candidates; a null path tells nothing; repeated rows give repeated
     findings; a null doc_id stays null; an empty table gives no rows. Of overlapping candidates the first kind counts (formats,
-    assignments, bare tokens). Texts are scanned whole where they are read, in time that grows with their length.
+    assignments, bare tokens). With a dictionary that was kept, a text's findings don't depend on the other texts. Texts are scanned whole where they are read, in time that grows with their length.
     """
-    learned = _learned(docs, path, findings)
+    learned = _learned(docs, path, findings, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,9 +261,9 @@ def scan(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, b
     return small_batches(docs.select(F.col("doc_id").cast("long"), F.col(path).cast("string").alias("path"), "text")).mapInArrow(run, _FOUND)
 
 
-def redact(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, bool]] | None = None) -> DataFrame:
+def redact(docs: DataFrame, path: str = "source", findings: list[tuple[str, str, bool]] | None = None, known: Dictionary | None = None) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by its kind in angle brackets; all else as it was, as in scan(). An empty table gives none."""
-    learned = _learned(docs, path, findings)
+    learned = _learned(docs, path, findings, known)
     names = docs.columns
     text_at, path_at = names.index("text"), names.index(path)
 

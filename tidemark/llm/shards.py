@@ -20,8 +20,8 @@ BITS = 4
 DIMENSIONS = ("lang", "source", "size")
 #: Pieces that all cells are split into at most, besides one piece a cell; a piece is placed by one task.
 PIECES = 8192
-#: Ranges that the distinct names of a dimension are ordered in.
-NAME_RANGES = 64
+#: Ranges that the distinct names of a dimension are ordered in, names of a range where they are many, and ranges at most.
+NAME_RANGES, NAMES_A_RANGE, MOST_NAME_RANGES = 64, 1 << 16, 1 << 16
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -57,10 +57,11 @@ def _name_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
 
     Ranges of names are numbered apart and offset by the rows of the ranges before, so that no task orders all names.
     """
-    counted = coded.groupBy(name).agg(F.count("*").alias("n"))
-    ranged = settle(counted.repartitionByRange(NAME_RANGES, name).withColumn("range", F.spark_partition_id()))
+    counted = settle(coded.groupBy(name).agg(F.count("*").alias("n")))
+    ranges = min(MOST_NAME_RANGES, max(NAME_RANGES, counted.count() // NAMES_A_RANGE))
+    ranged = settle(counted.repartitionByRange(ranges, name).withColumn("range", F.spark_partition_id()))
     sums = ranged.groupBy("range").agg(F.sum("n").alias("rows"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over NAME_RANGES rows
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over MOST_NAME_RANGES rows at most
     offsets = sums.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(Window.partitionBy()).alias("total"))
     inside = Window.partitionBy("range").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
@@ -92,7 +93,7 @@ def place(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     languages and sources come before all others. An empty table gives an empty result; other columns are not read.
 
     Passes: one over the documents that keeps only numbers and names, and some over those. What goes
-    to one task or is broadcast has at most 2**(3*bits) cells or that and PIECES rows more, or NAME_RANGES rows, or names of a checked number.
+    to one task or is broadcast has at most 2**(3*bits) cells or that and PIECES rows more, or MOST_NAME_RANGES rows, or names of a checked number.
     """
     text_crc32 = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
@@ -134,3 +135,21 @@ def place(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
         (F.col("rows_before") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
+
+
+def pruning(docs: DataFrame, placed: DataFrame, steps: int = 8) -> DataFrame:
+    """How many shards a reader must open: by (of which dimensions a filter is), values (filters there are), shards (in which a filter's rows lie, on average) and all_shards.
+
+    Filters are each value of one or two of language, source and a range of size (``steps`` ranges of equal rows). ``placed`` is place() of ``docs``, or
+    any other dealing of its ids to shards. Ids must be unique; rows without one are left out. An empty table gives no rows.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    rows = settle(named.join(placed.select("doc_id", "shard"), "doc_id"))
+    edges = rows.agg(F.percentile_approx("bytes", [k / steps for k in range(1, steps)], 10_000)).first()[0] or []
+    ranged = rows.withColumn("size", _cut("bytes", edges))
+    total = ranged.agg(F.count_distinct("shard").alias("all_shards"))
+    parts = []
+    for by in (("lang",), ("source",), ("size",), ("lang", "source"), ("lang", "size"), ("source", "size")):
+        each = ranged.groupBy(*by).agg(F.count_distinct("shard").alias("n"))
+        parts.append(each.groupBy().agg(F.count("*").alias("values"), F.avg("n").alias("shards")).select(F.lit("+".join(by)).alias("by"), "values", "shards"))
+    return reduce(DataFrame.union, parts).filter("values > 0").crossJoin(F.broadcast(total))  # one row
