@@ -133,10 +133,18 @@ def sensitivity(df: DataFrame, keys: list[str], life: str, rank: str) -> DataFra
 
 
 def spread_parts(replicates: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
-    """Mean and population deviation of all outcomes, deviation of the residuals, mean deviation within keys, and what the quadrature leaves between keys."""
-    within = replicates.groupBy(*keys).agg(F.stddev_pop(actual).alias("__w")).agg(F.avg("__w").alias("sigma_within"))
-    overall = replicates.agg(F.avg(actual).alias("mean"), F.stddev_pop(actual).alias("sigma"), F.stddev_pop(F.col(predicted) - F.col(actual)).alias("sigma_residual"))
-    parts = overall.crossJoin(within)  # one row each
+    """Mean and population deviation of all outcomes, deviation of the residuals, mean deviation within keys, and what the quadrature leaves between keys.
+
+    The rows are read once: deviations of all rows follow from the number, mean and deviation of each key.
+    """
+    stats = lambda c, name: [F.count(c).alias(f"__n_{name}"), F.avg(c).alias(f"__m_{name}"), F.var_pop(c).alias(f"__v_{name}")]
+    per_key = replicates.groupBy(*keys).agg(*stats(F.col(actual), "a"), *stats(F.col(predicted) - F.col(actual), "r"))
+    n = lambda name: F.col(f"__n_{name}")
+    mean = lambda name: F.try_divide(F.sum(n(name) * F.col(f"__m_{name}")), F.sum(n(name)))
+    # within keys, and between them about the mean of all rows
+    between = lambda name: F.try_divide(F.sum(n(name) * F.pow(F.col(f"__m_{name}"), F.lit(2))), F.sum(n(name))) - F.pow(mean(name), F.lit(2))
+    spread = lambda name: F.sqrt(F.greatest(F.try_divide(F.sum(n(name) * F.col(f"__v_{name}")), F.sum(n(name))) + between(name), F.lit(0.0)))
+    parts = per_key.agg(mean("a").alias("mean"), spread("a").alias("sigma"), spread("r").alias("sigma_residual"), F.avg(F.sqrt("__v_a")).alias("sigma_within"))
     return parts.withColumn("eta", F.sqrt(F.greatest(F.col("sigma") * F.col("sigma") - F.col("sigma_within") * F.col("sigma_within"), F.lit(0.0))))
 
 
