@@ -185,3 +185,47 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
 def test_fingerprints_run_no_python(documents):
     plan = weighted_sampling.report(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_collocations(docs, least, most, top):
+    """By counting all phrases of up to ``most`` words."""
+    import re
+
+    f, total = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, most + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i : i + k])] += 1
+    frequent = {key: n for key, n in f.items() if len(key[1]) > 1 and n >= least}
+    out = []
+    for (lang, words), a in frequent.items():
+        longer = (n for (other, more), n in frequent.items() if other == lang and len(more) > len(words) and any(more[i : i + len(words)] == words for i in range(len(more) - len(words) + 1)))
+        if any(100 * n >= 50 * a for n in longer):
+            continue
+        cuts = [(1_000_000 * a * a // (f[lang, words[:k]] * f[lang, words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        out.append((lang, -score, -a, " ".join(words).encode(), f[lang, words[:k]], f[lang, words[k:]]))
+    ranked = []
+    for lang in sorted(total):
+        for rank, (_, score, a, phrase, l, r) in enumerate(sorted(x for x in out if x[0] == lang)[:top], 1):
+            ranked.append((lang, rank, phrase.decode(), -a, l, r, total[lang], -score))
+    return ranked
+
+
+@pytest.mark.parametrize("most", [2, 3, 5])
+def test_phrases_of_more_words_equal_plain_counts(spark, most):
+    rng = np.random.default_rng(most)
+    texts = [(["en", "de", None][k % 3], " ".join(rng.choice(["a", "b", "c", "d.", "New", "york"], 60, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1]))) for k in range(12)]
+    made = spark.createDataFrame(texts, "lang string, text string")
+    got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in phrases.collocations(made, 4, most, 25).collect())
+    assert got == sorted(plain_collocations(texts, 4, most, 25))
+
+
+def test_outcomes_of_terms_at_the_ends_of_their_range(spark):
+    ends = spark.createDataFrame([(2**63 - 1, 9.0), (-(2**63), 0.0)], "term long, log_weight double")
+    assert ends.select(*(weighted_sampling._outcome("term", "log_weight", k).alias(f"s{k}") for k in range(8))).count() == 2

@@ -46,7 +46,7 @@ def _outcome(term: str, log_weight: str, k: int) -> Column:
     t = F.floor(x)
     # ln c - r (t - b) - r, where r (t - b) is ln W less what floor() took away
     value = log_c - F.col(log_weight) - r * (1 - x + t)
-    return F.shiftleft(F.floor(value * _FINE), BITS).bitwiseOR((F.col(term) + t * 40503).bitwiseAND(_MASK))
+    return F.shiftleft(F.floor(value * _FINE), BITS).bitwiseOR((F.col(term).bitwiseAND(_MASK) + t * 40503).bitwiseAND(_MASK))
 
 
 def _hex(samples: list[Column]) -> Column:
@@ -71,14 +71,14 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
     Texts without a word, null ones too, have an empty fingerprint. Equal texts have equal ones. An empty table gives none; repeated rows
     are told apart by a number and each have theirs; all other columns pass, and one named ``out`` is replaced.
     """
-    row, = unused([*docs.columns, out], "row")
+    row, made_of = unused([*docs.columns, out], "row", "print")
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     each = numbered.select(F.col(row).alias("row"), F.explode(words(F.col(text))).alias("word")).filter("word <> ''")
     terms = each.groupBy("row", F.xxhash64("word").alias("term")).agg(F.log(F.count("*")).alias("log_weight"))
     made = _sampled(terms, ["row"], samples)
-    prints = made.select(F.col("row").alias(row), _hex([F.col(f"s{k}").bitwiseAND(_MASK) for k in range(samples)]).alias(f"{row}_print"))
+    prints = made.select(F.col("row").alias(row), _hex([F.col(f"s{k}").bitwiseAND(_MASK) for k in range(samples)]).alias(made_of))
     kept = [F.col(c) for c in docs.columns if c != out]
-    return numbered.join(prints, row, "left").select(*kept, F.coalesce(f"{row}_print", F.lit("")).alias(out))
+    return numbered.join(prints, row, "left").select(*kept, F.coalesce(made_of, F.lit("")).alias(out))
 
 
 _KEY = ("doc_id", "h")
@@ -107,8 +107,7 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     coarse = F.greatest(F.size(F.filter(F.transform(table, lambda r: F.get(r, F.lit(0))), lambda c: c <= own)) - 1, F.lit(0))
     fine = F.greatest(F.size(F.filter(F.get(table, F.col("coarse")), lambda c: c <= own)) - 1, F.lit(0))
     placed = whole.withColumn("coarse", coarse).withColumn("range", F.col("coarse") * many + fine).drop("coarse")
-    # a table that is read from files, as two uses of rows made here would not share their shuffle
-    heads = settle(docs.sparkSession.createDataFrame([(*k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)], "doc_id long, h long, range int"))
+    heads = docs.sparkSession.createDataFrame([(*k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)], "doc_id long, h long, range int")
     own_key = [whole[c].eqNullSafe(heads[c]) for c in _KEY]
     ahead = whole.join(F.broadcast(heads), own_key[0] & own_key[1]).groupBy("range", heads["doc_id"], heads["h"]).agg(F.min("text").alias("text"))
     both = placed.select("range", "doc_id", "h", "text", F.lit(False).alias("ahead")).union(ahead.select("range", "doc_id", "h", "text", F.lit(True)))
