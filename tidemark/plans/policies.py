@@ -181,11 +181,11 @@ def kernel_matrix(spark, sf_dir):
 
 
 @query(f"""WITH {_GRID}
-SELECT a.position AS i, b.position AS j, round(exp(-0.5 * ((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2) + (a.c3 - b.c3) * (a.c3 - b.c3))), 6) AS k FROM grid AS a, grid AS b WHERE b.position % 10 = 0""")
+SELECT a.position AS i, b.position AS j, round(exp(-0.5 * ((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2) + (a.c3 - b.c3) * (a.c3 - b.c3))), 6) AS k FROM grid AS a, grid AS b""")
 def policy_kernel(spark, sf_dir):
-    """The kernel of every valid policy with every tenth place of the grid."""
+    """The kernel of every valid policy with every other."""
     arms = _grid(spark, sf_dir).select("position", F.array("c1", "c2", "c3").alias("point"))
-    return rounded(bandit.kernel_to(arms, "position", arms.filter("position % 10 = 0"), "position", "point", 0.5))
+    return rounded(bandit.kernel_to(arms, "position", arms, "position", "point", 0.5))
 
 
 @query("""WITH b AS (SELECT l_suppkey AS arm, l_returnflag AS experiment, max(l_extendedprice) AS upper, min(l_extendedprice) AS lower FROM lineitem GROUP BY 1, 2), top AS (
