@@ -84,7 +84,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         near = _blocks(docs, lengths, "w").join(F.broadcast(blocks), ["n", "h"]).select("doc_id", "key", "n", *_around("w"))
     else:
         # hashes alone are shuffled, and the few documents with a block are read again
-        some = spread_join(_blocks(docs, lengths), blocks, ["n", "h"], "left_semi")
+        some = spread_join(settle(_blocks(docs, lengths)), blocks, ["n", "h"], "left_semi")
         places = some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "begin")).alias("places"))
         again = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
         match = (places["key"] == again["key"]) & places["doc_id"].eqNullSafe(again["doc_id"])

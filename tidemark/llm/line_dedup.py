@@ -29,7 +29,7 @@ def _with_hashes(found: DataFrame, hashes: DataFrame) -> DataFrame:
     """The lines with one of these hashes, which are settled; a line that is everywhere is not one task's work."""
     if fits_broadcast(hashes.count()):
         return found.join(F.broadcast(hashes), "h", "left_semi")
-    return spread_join(found, hashes, ["h"], "left_semi")
+    return spread_join(settle(found), hashes, ["h"], "left_semi")
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:

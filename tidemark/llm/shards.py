@@ -73,7 +73,7 @@ def _with_cells(coded: DataFrame, name: str, cells: int) -> DataFrame:
     rows, size = found.agg(F.count("*"), F.sum(F.octet_length(name))).first()
     if fits_broadcast(rows, size or 0):
         return coded.join(F.broadcast(found), name)
-    return spread_join(coded, found, [name])
+    return spread_join(settle(coded), found, [name])
 
 
 def _cut(value: str, edges: list[float]) -> Column:
