@@ -107,11 +107,13 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     coarse = F.greatest(F.size(F.filter(F.transform(table, lambda r: F.get(r, F.lit(0))), lambda c: c <= own)) - 1, F.lit(0))
     fine = F.greatest(F.size(F.filter(F.get(table, F.col("coarse")), lambda c: c <= own)) - 1, F.lit(0))
     placed = whole.withColumn("coarse", coarse).withColumn("range", F.col("coarse") * many + fine).drop("coarse")
-    heads = docs.sparkSession.createDataFrame([(*k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)], "doc_id long, h long, range int")
+    # a table that is read from files, as two uses of rows made here would not share their shuffle
+    heads = settle(docs.sparkSession.createDataFrame([(*k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)], "doc_id long, h long, range int"))
     own_key = [whole[c].eqNullSafe(heads[c]) for c in _KEY]
     ahead = whole.join(F.broadcast(heads), own_key[0] & own_key[1]).groupBy("range", heads["doc_id"], heads["h"]).agg(F.min("text").alias("text"))
     both = placed.select("range", "doc_id", "h", "text", F.lit(False).alias("ahead")).union(ahead.select("range", "doc_id", "h", "text", F.lit(True)))
-    return both, len(firsts)
+    # never null, so that no test for it stands below one of two uses, which then would not share their shuffle
+    return both.withColumn("range", F.coalesce("range", F.lit(0))), len(firsts)
 
 
 def report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
