@@ -76,6 +76,19 @@ def test_moments_are_population_skewness(spark):
     assert out["variance"] == pytest.approx(x.var(ddof=1)) and out["first"] == 1.0
 
 
+def test_moments_that_are_rounding_are_those_of_the_formula(spark):
+    """Two points have no skewness and equal ones no variance, but for the rounding of their mean."""
+    curves_ = {1: [0.01, 0.02], 2: [29.27, 2.11], 3: [0.1, 0.1, 0.1], 4: [1.0, 1.0], 5: [0.7]}
+    rows = [(u, i, v) for u, values in curves_.items() for i, v in enumerate(values)] + [(6, 0, None), (1, 9, None)]
+    out = {r["u"]: r for r in features.curve_moments(frame(spark, rows, "u int, i int, v double"), ["u"], "i", "v").collect()}
+    for u, values in curves_.items():
+        mean = sum(values) / len(values)
+        square, cube = sum((v - mean) * (v - mean) for v in values), sum((v - mean) * (v - mean) * (v - mean) for v in values)
+        assert out[u]["variance"] == (square / (len(values) - 1) if len(values) > 1 else None)
+        assert (out[u]["skew"] or 0.0) == pytest.approx(cube / len(values) / (square / len(values)) ** 1.5 if square > 0 else 0.0, rel=1e-9, abs=0.0)
+    assert out[6]["variance"] is None and out[6]["skew"] is None
+
+
 def test_kendall_with_ties(spark):
     out = evaluate.kendall(frame(spark, [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 3)], "i int, x int, y int"), "x", "y").first()
     assert out["tau"] == pytest.approx(4 / 5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,9 +12,17 @@ from .series import along
 
 
 def curve_moments(curves: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
-    """Least value, mean, sample variance, population skewness, sums of sizes and squares, and first value of each curve, in one aggregation."""
-    return curves.groupBy(*keys).agg(
-        F.min(value).alias("least"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.skewness(value).alias("skew"),
+    """Least value, mean, sample variance, population skewness, sums of sizes and squares, and first value of each curve.
+
+    Moments are sums of powers of the deviations from the mean, along the positions: where they are nothing but rounding, as the
+    skewness of two points is, they are that of their formula. One shuffle serves the mean and the sums.
+    """
+    mean = F.avg(value).over(along(keys, [position]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    c, n = F.col("__c"), F.count(value)
+    square, cube = F.sum(c * c), F.sum(c * c * c)
+    return curves.withColumn("__c", F.col(value) - mean).groupBy(*keys).agg(
+        F.min(value).alias("least"), F.avg(value).alias("mean"), F.when(n > 1, square / (n - 1)).alias("variance"),
+        F.when(square > 0, (cube / n) / F.pow(square / n, F.lit(1.5))).alias("skew"),
         F.sum(F.abs(value)).alias("sum_size"), F.sum(F.col(value) * F.col(value)).alias("sum_square"), F.min_by(value, position).alias("first"),
     )
 
