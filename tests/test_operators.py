@@ -169,6 +169,31 @@ def test_ranks_over_all_rows_with_heavy_ties(spark):
     assert places == {7.0: 0, 3.0: 1, 2.0: 3, 1.0: 4, None: 44}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ranks_of_values_that_cuts_have(spark, seed):
+    """Values that begin, end, fill and cross ranges, not-a-numbers and both zeros; one sort of the rows serves all ranks."""
+    rng = np.random.default_rng(seed)
+    values = [[None, math.nan, 0.0, -0.0, 1.0, 2.0, 5.0, 7.5][k] for k in rng.integers(0, 8, 150)]
+    df = frame(spark, list(enumerate(values)), "i int, v double")
+    out = ordered.ranked(df, "v", ["i"], descending=False, rows=[4, 13, 60][seed])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Sort [__chunk" in line and "i#" in line]) == 1
+    got = {r["i"]: (r["place"], r["average"]) for r in out.collect()}
+    number = [(v is None, v is not None and math.isnan(v), 0.0 if v is None or math.isnan(v) else v + 0.0) for v in values]
+    order = sorted(range(len(values)), key=lambda i: (number[i], i))
+    for i in range(len(values)):
+        same = [order.index(j) + 1 for j in range(len(values)) if number[j] == number[i]]
+        assert got[i] == (order.index(i) + 1, sum(same) / len(same))
+
+
+def test_search_for_a_range_takes_a_step_for_each_doubling(spark):
+    assert [len(ordered._halves(n)) for n in (1, 3, 1000, 1 << 14)] == [1, 2, 10, 15]
+    df = spark.range(2000).select("id", (F.col("id") * 7919 % 2000).alias("v"))
+    placed = ordered.chunked(df, [], ["v"], rows=3)
+    firsts = [tuple(r) for r in placed.groupBy("__chunk").agg(F.min("v"), F.max("v")).orderBy("__chunk").collect()]
+    assert len(firsts) > 300 and all(a[2] < b[1] for a, b in zip(firsts, firsts[1:]))
+
+
 def test_policy_space_has_its_known_size_and_range(spark):
     grid = policy.valid(policy.all_combinations(spark))
     by_third = {r["c3"]: r["count"] for r in grid.groupBy("c3").count().collect()}

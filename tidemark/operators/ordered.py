@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,41 +22,55 @@ ROWS, RANGES, SAMPLED = 1 << 19, 1 << 14, 50
 PAIR_RANGES, PAIR_ROWS = 1024, 1 << 16
 
 
-def _lookup(cuts: Column, own: Column) -> Column:
-    """The number of cuts that are not greater; ``cuts`` is a rising array of rising arrays of equal length but for the last."""
-    heads = F.transform(cuts, lambda c: F.get(c, F.lit(0)))
-    row = F.greatest(F.size(F.filter(heads, lambda c: c <= own)) - 1, F.lit(0))
-    return row * F.coalesce(F.size(F.get(cuts, F.lit(0))), F.lit(0)) + F.coalesce(F.size(F.filter(F.get(cuts, row), lambda c: c <= own)), F.lit(0))
+def _halves(many: int) -> list[int]:
+    """The steps of a search by halves among ``many`` cuts: ten times the cuts take three steps more."""
+    return [1 << k for k in reversed(range(many.bit_length()))]
 
 
-def _rows_of(values: list) -> list[list]:
-    """A list as rows of about its root's length, so that a place in it is found in two short steps."""
-    step = math.isqrt(max(0, len(values) - 1)) + 1
-    return [values[k : k + step] for k in range(0, len(values), step)]
+def _step(at: Column, step: Column, cuts: Column, own: Column) -> Column:
+    return at + F.when(F.get(cuts, at + step - 1) <= own, step).otherwise(F.lit(0))
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, out: str = "__chunk") -> DataFrame:
+def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, out: str = "__chunk", edge: tuple[str, int] | None = None) -> DataFrame:
     """``df`` with a number that rises along (keys, order): rows of one number follow each other there, ``rows`` of them or about as many.
 
-    The cuts are taken from a sample; they change no result. Rows that are equal in keys and order get one number.
+    The cuts are taken from a sample; they change no result. Rows that are equal in keys and order get one number. ``edge`` is the name of a
+    further column and how many of the first columns it looks at: the number of the first cut that equals the row in these, null if none does. Rows
+    that are equal there stand in one range if it is null, and otherwise in the range that this cut ends, the next, or both and those behind.
     """
     rows = rows or ROWS
     by = [*keys, *order]
-    many = min(RANGES, math.ceil(df.count() / rows))
-    if many < 2:
-        return df.withColumn(out, F.lit(0))
-    own = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)))
-    names = own.columns
-    share = min(1.0, SAMPLED * many / df.count())
-    sampled = own if share == 1.0 else own.sample(share, seed=7)
-    firsts = sampled.repartitionByRange(many, *(F.asc_nulls_first(c) for c in names)).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*names)).alias("first"))
-    # a row a range; the list stays small, whatever the table
-    cuts = [r["first"] for r in firsts.orderBy("first").collect()][1:]
+    n = df.count()
+    many = min(RANGES, math.ceil(n / rows))
+    cuts = []
+    if many > 1:
+        own = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)))
+        names = own.columns
+        share = min(1.0, SAMPLED * many / n)
+        sampled = own if share == 1.0 else own.sample(share, seed=7)
+        firsts = sampled.repartitionByRange(many, *(F.asc_nulls_first(c) for c in names)).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*names)).alias("first"))
+        # a row a range; the list stays small, whatever the table
+        cuts = [r["first"] for r in firsts.orderBy("first").collect()][1:]
     if not cuts:
-        return df.withColumn(out, F.lit(0))
-    table = df.sparkSession.createDataFrame([(_rows_of(cuts),)], f"cuts array<array<{own.schema.simpleString()}>>")
-    place = _lookup(F.col("__cuts"), F.struct(*(F.col(c).alias(n) for c, n in zip(by, names))))
-    return df.crossJoin(F.broadcast(table.toDF("__cuts"))).withColumn(out, place).drop("__cuts")  # one row
+        return df.withColumns({out: F.lit(0)} | ({edge[0]: F.lit(None).cast("int")} if edge else {}))
+    first = [0] * len(cuts)
+    for k in range(1, len(cuts)):
+        same = edge and all(a == b or a != a and b != b for a, b in zip(cuts[k - 1][: edge[1]], cuts[k][: edge[1]]))
+        first[k] = first[k - 1] if same else k
+    struct = own.schema.simpleString()
+    table = df.sparkSession.createDataFrame([(cuts, first)], f"__cuts array<{struct}>, __first array<int>")
+    placed = df.crossJoin(F.broadcast(table))  # one row
+    # a column a step, which is compiled; a lambda over the steps is not, and takes many times as long
+    placed = placed.withColumn("__own", F.struct(*(F.col(c).alias(n) for c, n in zip(by, names))).cast(struct)).withColumn(out, F.lit(0))
+    for step in _halves(len(cuts)):
+        placed = placed.withColumn(out, _step(F.col(out), F.lit(step), F.col("__cuts"), F.col("__own")))
+    if edge:
+        def at(k: Column) -> Column:
+            equal = [F.get("__cuts", k)[n].eqNullSafe(F.col(c)) for c, n in zip(by[: edge[1]], names)]
+            return F.when((k >= 0) & (k < len(cuts)) & reduce(lambda a, b: a & b, equal), F.get("__first", k))
+
+        placed = placed.withColumn(edge[0], F.coalesce(at(F.col(out) - 1), at(F.col(out))))
+    return placed.drop("__cuts", "__first", "__own")
 
 
 def scan(
@@ -113,32 +128,56 @@ def ranked(df: DataFrame, value: str, tie: list[str], descending: bool = True, r
     """``df`` with two ranks over all rows: ``unique`` from 1, equals by ``tie``, and ``average``, in which equals share the mean of their places.
 
     Null values come after all others, and share their places as well. A value that very many rows have is cut into ranges by its ties.
+    The rows are sorted once, inside their ranges. Only a value that a cut has can stand in several ranges; its places come from the ranges' row numbers.
     """
     signed = -F.col(value) if descending else F.col(value)
     own = df.withColumn("__null", F.col(value).isNull()).withColumn("__v", signed)
-    order = ["__null", "__v", *tie]
-    numbered = scan(chunked(own, [], order, rows), [], order, number="__n", before={"__p": F.struct("__null", "__v")}, after={"__f": F.struct("__null", "__v")})
-    mine = F.struct("__null", "__v")
-    new, last = ~F.col("__p").eqNullSafe(mine), ~F.col("__f").eqNullSafe(mine)
-    both = scan(numbered, [], order, upto={"__first": F.when(new, F.col("__n"))}, onward={"__last": F.when(last, F.col("__n"))})
-    return both.select(*df.columns, F.col("__n").alias(unique), ((F.col("__first") + F.col("__last")) / 2).alias(average))
+    numbered = chunked(own, [], ["__null", "__v", *tie], rows, edge=("__edge", 2))
+    chunk = Window.partitionBy("__chunk")
+    # the finest order first: one sort serves all three
+    local = numbered.withColumn("__n", F.row_number().over(chunk.orderBy("__null", "__v", *tie)))
+    local = local.withColumn("__r", F.rank().over(chunk.orderBy("__null", "__v"))).withColumn("__same", F.count("*").over(chunk.orderBy("__null", "__v").rangeBetween(Window.currentRow, Window.currentRow)))
+    # three rows a range at most: what the cut before it has, what the cut after it has, and all else
+    counted = numbered.groupBy("__chunk", "__edge").agg(F.count("*").alias("__m"))
+    before = Window.orderBy("__chunk").rangeBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("__offset", F.coalesce(F.sum("__m").over(before), F.lit(0))).withColumn("__rows", F.sum("__m").over(chunk))
+    # a value's rows begin its range if the cut there is the first with it, and end it otherwise
+    begins = F.col("__offset") + F.when(F.col("__chunk") > F.col("__edge"), F.lit(0)).otherwise(F.col("__rows") - F.col("__m"))
+    of_edge = Window.partitionBy("__edge")
+    edges = placed.select(
+        F.col("__chunk").alias("__of"), F.col("__edge").alias("__at"), "__offset",
+        F.when(F.col("__edge").isNotNull(), F.min(begins).over(of_edge) + 1).alias("__begins"), F.sum("__m").over(of_edge).alias("__total"),
+    )
+    both = local.join(F.broadcast(edges), (F.col("__chunk") == F.col("__of")) & F.col("__edge").eqNullSafe(F.col("__at")))
+    mean = F.when(F.col("__edge").isNull(), F.col("__offset") + F.col("__r") + (F.col("__same") - 1) / 2).otherwise(F.col("__begins") + (F.col("__total") - 1) / 2)
+    return both.select(*df.columns, (F.col("__offset") + F.col("__n")).alias(unique), mean.alias(average))
 
 
-def _value_ranges(df: DataFrame, value: str, rows: int) -> tuple[Column, Column]:
-    """The range of a value and whether all values of its range are equal; a value that fills ranges has one of its own."""
-    n = df.count()
+def _value_ranges(df: DataFrame, value: str, rows: int, n: int | None = None) -> tuple[Column, Column]:
+    """The range of a value and whether all values of its range are equal; a value that fills ranges has one of its own. ``n`` is the number of rows."""
+    n = df.count() if n is None else n
     many = max(1, min(PAIR_RANGES, math.ceil(n / rows)))
-    found = df.agg(F.percentile_approx(value, [k / many for k in range(1, many)] or [0.5], 100 * many)).first()[0] or []
-    # 2 v for "from v on" and 2 v + 1 for "after v": hot values are between two cuts
-    hot = {v for v in found if found.count(v) > 1}
-    cuts = sorted({(v, 0) for v in found} | {(v, 1) for v in hot})
-    if many == 1 or not cuts:
+    if many == 1:
+        return F.lit(0), F.lit(False)
+    share = min(1.0, SAMPLED * many / n)
+    sampled = df if share == 1.0 else df.sample(share, seed=7)
+    found = sampled.agg(F.percentile_approx(value, [k / many for k in range(1, many)], 100 * many)).first()[0] or []
+    # a cut before each value and, behind those that fill a range, another
+    hot = sorted({v for v in found if found.count(v) > 1})
+    cuts = sorted(set(found))
+    if not cuts:
         return F.lit(0), F.lit(False)
-    own = F.struct(F.col(value).alias("v"), F.lit(0).alias("after"))
     kind = dict(df.dtypes)[value]
-    struct = lambda c: F.struct(F.lit(c[0]).cast(kind).alias("v"), F.lit(c[1]).alias("after"))
-    table = F.array(*(F.array(*map(struct, row)) for row in _rows_of(cuts)))
-    return _lookup(table, own), F.col(value).isin(*hot) if hot else F.lit(False)
+
+    def below(values: list, own: Column) -> Column:
+        """The number of values that are not greater."""
+        table = F.array(*(F.lit(v).cast(kind) for v in values))
+        return F.aggregate(F.array(*map(F.lit, _halves(len(values)))), F.lit(0), lambda at, step: _step(at, step, table, own))
+
+    own = F.col(value)
+    if not hot:
+        return below(cuts, own), F.lit(False)
+    return below(cuts, own) + below(hot, own) - own.isin(*hot).cast("int"), own.isin(*hot)
 
 
 def inversions(values: np.ndarray) -> int:
@@ -172,8 +211,9 @@ def discordant(pairs: DataFrame, x: str, y: str, keys: list[str], rows: int | No
     value that fills a range has no such pair there, so that no range need hold more than its share.
     """
     rows = rows or PAIR_ROWS
-    x_range, x_same = _value_ranges(pairs, x, rows)
-    y_range, y_same = _value_ranges(pairs, y, rows)
+    n = pairs.count()
+    x_range, x_same = _value_ranges(pairs, x, rows, n)
+    y_range, y_same = _value_ranges(pairs, y, rows, n)
     names = [f"k{i}" for i in range(len(keys))]
     own = pairs.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(x).alias("x"), F.col(y).alias("y"), x_range.alias("r"), y_range.alias("c"), x_same.alias("x_same"), y_same.alias("y_same"))
     kinds = dict(own.dtypes)
