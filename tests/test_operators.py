@@ -115,6 +115,16 @@ def test_kendall_of_keys_with_heavy_ties(spark, rows_a_range):
     assert evaluate.kendall(frame(spark, [], "k int, x int, y double"), "x", "y", ["k"]).count() == 0
 
 
+def test_kendall_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: made.add(1) or v, "long").asNondeterministic()
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), seen(F.col("id") * 7919 % 41).alias("x"), (F.col("id") * 7877 % 59).alias("y"))
+    got = {r["g"]: r["tau"] for r in evaluate.kendall(df, "x", "y", ["g"], rows=10).collect()}
+    assert made.value == 300
+    for g in range(3):
+        assert got[g] == pytest.approx(plain_tau([(i * 7919 % 41, i * 7877 % 59) for i in range(g, 300, 3)]))
+
+
 def test_pairs_of_a_hot_value_reach_no_task(spark):
     # a third of all rows has one x: its range makes no pair, and no other range is larger than its share
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).alias("x"), (F.col("id") * 7919 % 3000).alias("y"))

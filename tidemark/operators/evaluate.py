@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .ordered import chunked, discordant
 
 Z95 = 1.96
@@ -69,10 +70,11 @@ def rank_of_value(values: DataFrame, value: str, rows: int | None = None) -> Dat
 def kendall(pairs: DataFrame, x: str, y: str, keys: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Kendall's tau-b of each key over the rows that have both values; null where either is the same in all rows.
 
-    No two rows are compared: ties are counted by grouping, and pairs in opposite order by ordered.discordant().
+    No two rows are compared: ties are counted by grouping, and pairs in opposite order by ordered.discordant(). The rows are made once
+    and settled in the scratch folder, as counts, cuts, ties and inversions each read them.
     """
     keys = keys or []
-    own = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    own = settled(pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*keys, x, y])))
     tied = lambda c: F.sum(F.col(c).cast("decimal(38,0)") * (F.col(c) - 1) / 2).cast("decimal(38,0)")
     both = own.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
     ties = lambda by, name: both.groupBy(*keys, by).agg(F.sum("n").alias("n")).groupBy(*keys).agg(tied("n").alias(name))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
 
@@ -24,3 +24,10 @@ def scratch(spark: SparkSession) -> str:
     path = sc._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return name
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch name and read back, for what many steps read and is costly to make again."""
+    name = scratch(df.sparkSession)
+    df.write.parquet(name)
+    return df.sparkSession.read.schema(df.schema).parquet(name)
