@@ -46,6 +46,31 @@ def test_phrases_of_odd_rows(spark, odd, none):
     assert found_phrases(made) == phrases_in_sql(made) != []
 
 
+def test_entries_of_blocks_are_counted_and_named_in_one_shuffle(documents, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    plans, settled = [], phrases.settle
+    monkeypatch.setattr(phrases, "settle", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), settled(df))[1])
+    phrases.grams(documents)
+    raised = [plan for plan in plans if "FlatMapCoGroups" in plan]
+    assert len(raised) == phrases.MAX_WORDS - 1 and not any("Join" in plan for plan in raised)
+    named = [plan for plan in plans if "monotonically_increasing_id" in plan and "Window" in plan]
+    assert len(named) == phrases.MAX_WORDS - 1 and not any("Join" in plan or "Aggregate" in plan for plan in named)
+
+
+def test_a_frequent_key_has_one_id_and_one_row_with_its_count(documents, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    level = phrases.settle(phrases.blocks(documents))
+    entries = {(r["block"], r["at"]): ((r["lang"], r["word"]), r["n"]) for r in level.filter("at is not null").collect()}
+    count = Counter()
+    for key, n in entries.values():
+        count[key] += n
+    named = phrases.settle(phrases._named(level, ["lang", "word"], 10)).collect()
+    assert sorted((r["block"], r["at"]) for r in named) == sorted(at for at, (key, _) in entries.items() if count[key] >= 10) != []
+    of_id = {r["id"]: (r["lang"], r["word"]) for r in named if r["f"] is not None}
+    assert len(of_id) == len(set(of_id.values())) == sum(r["f"] is not None for r in named)
+    assert all(entries[r["block"], r["at"]][0] == of_id[r["id"]] and r["f"] in (None, count[of_id[r["id"]]]) for r in named)
+
+
 def test_scores_beyond_64_bits(spark):
     count = 10_000_000_000_000
     rows = spark.createDataFrame([(count, [count + 7], [count + 9])], "f long, prefix_f array<long>, suffix_f array<long>")

@@ -1,12 +1,12 @@
 """Phrase collocations by hierarchical pair naming.
 
 Words that are frequent enough get ids; two neighbouring (k-1)-grams with ids make a pair, and the pairs that are
-frequent over all documents get the ids of the k-grams. The ids come from joins over the whole corpus, so that equal
+frequent over all documents get the ids of the k-grams. The ids come from windows over the whole corpus, so that equal
 phrases have one name everywhere. A k-gram's pair is also its two parent pointers: counts of all prefixes and
 suffixes are reached over them, for the cuts, and a longer phrase marks its parents as subsumed over them.
 
 Texts are read once. Python tasks turn them into blocks: the sequence of a block as numbers that are local to it, and a
-row for each distinct word of the block. What is counted and joined is those rows, so that a word or pair on which a
+row for each distinct word of the block. What is counted and named is those rows, so that a word or pair on which a
 third of all positions fall is one row a block, and no table of names is sent anywhere as a whole.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import discard, fits_broadcast, settle, small_batches
+from .common import discard, settle, small_batches
 
 # What separates pieces and words.
 PIECE_END = textkit.byte_table(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
@@ -138,6 +138,18 @@ def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
     return counted.withColumn("id", F.monotonically_increasing_id())
 
 
+def _named(level: DataFrame, key: list[str], least: int) -> DataFrame:
+    """The entries of frequent keys with the id of their key; one entry of each key has the key and its count f besides.
+
+    A key is one row a block, so that its window has no more rows than there are blocks. Counting and
+    naming share one shuffle of the entries. ``level`` must be settled: an id is the number of a row.
+    """
+    entries = level.filter("at is not null").select(*key, "block", "at", "n", F.monotonically_increasing_id().alias("row"))
+    own = Window.partitionBy(*key)
+    counted = entries.withColumns({"f": F.sum("n").over(own), "id": F.min("row").over(own)}).filter(F.col("f") >= least)
+    return counted.select("block", "at", "id", *(F.when(F.col("row") == F.col("id"), F.col(c)).alias(c) for c in [*key, "f"]))
+
+
 def grams(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MAX_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1, 2, ... words, and lang and n of all word occurrences.
 
@@ -147,24 +159,28 @@ def grams(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MAX_WORDS)
     level = settle(blocks(docs))
     totals = settle(level.filter("at is not null").groupBy("lang").agg(F.sum("n").alias("n")))
     none = F.array().cast("array<long>")
-    names = [settle(_frequent(level, ["lang", "word"], least).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("prefix_f"), none.alias("suffix_f")))]
-    key = ["lang", "word"]
-    for words in range(2, most_words + 1):
-        known = names[-1].select("id", "lang", F.col("phrase").alias("word")) if words == 2 else names[-1].select("id", "left", "right")
-        if words > 2 and fits_broadcast(known.count()):  # three numbers a row
-            known = F.broadcast(known)
-        ids = level.filter("at is not null").select("block", "at", *key).join(known, key).select("block", "at", "id")
-        higher = settle(_raise_level(level, ids, words < most_words))
-        discard(level)
-        level, key = higher, ["left", "right"]
-        found = _frequent(level, key, least)
-        side = lambda name: names[-1].select(*(F.col(c).alias(f"{name}_{c}") for c in names[-1].columns))
-        both = found.join(side("l"), F.col("left") == F.col("l_id")).join(side("r"), F.col("right") == F.col("r_id"))
-        names.append(settle(both.select(
-            "id", F.col("l_lang").alias("lang"), F.concat_ws(" ", "l_phrase", "r_last").alias("phrase"), F.col("r_last").alias("last"), "f",
-            F.concat("l_prefix_f", F.array("l_f")).alias("prefix_f"), F.concat("r_suffix_f", F.array("r_f")).alias("suffix_f"),
-            "left", "right", "l_f", "r_f",
-        )))
+    names = []
+    for words in range(1, most_words + 1):
+        key = ["lang", "word"] if words == 1 else ["left", "right"]
+        if words < most_words:
+            named = settle(_named(level, key, least))
+            found = named.filter("f is not null").drop("block", "at")
+        else:  # these are parts of nothing longer
+            found = _frequent(level, key, least)
+        if words == 1:
+            names.append(settle(found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("prefix_f"), none.alias("suffix_f"))))
+        else:
+            side = lambda name: names[-1].select(*(F.col(c).alias(f"{name}_{c}") for c in names[-1].columns))
+            both = found.join(side("l"), F.col("left") == F.col("l_id")).join(side("r"), F.col("right") == F.col("r_id"))
+            names.append(settle(both.select(
+                "id", F.col("l_lang").alias("lang"), F.concat_ws(" ", "l_phrase", "r_last").alias("phrase"), F.col("r_last").alias("last"), "f",
+                F.concat("l_prefix_f", F.array("l_f")).alias("prefix_f"), F.concat("r_suffix_f", F.array("r_f")).alias("suffix_f"),
+                "left", "right", "l_f", "r_f",
+            )))
+        if words < most_words:
+            higher = settle(_raise_level(level, named.select("block", "at", "id"), words + 1 < most_words))
+            discard(level, named)
+            level = higher
     discard(level)
     return names, totals
 
